@@ -18,10 +18,18 @@ def chunks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
             yield batch.slice(at, rows)
 
 
-def union_array(df: DataFrame, fill: Callable[[np.ndarray, pa.RecordBatch], None], slots: int, dtype: str, rows: int, add: bool) -> np.ndarray:
-    """An array of `slots` cells filled from every row of df: partial arrays per partition, merged by slice.
+def both_set(a: np.ndarray, b: np.ndarray, _slice: int) -> np.ndarray:
+    return a | b
 
-    The result is bounded by slots, not by the data; only it reaches the driver. add: cells are summed, else or-ed.
+
+def summed(a: np.ndarray, b: np.ndarray, _slice: int) -> np.ndarray:
+    return a + b
+
+
+def union_array(df: DataFrame, fill: Callable[[np.ndarray, pa.RecordBatch], None], slots: int, dtype: str, rows: int, join: Callable) -> np.ndarray:
+    """An array of `slots` cells filled from every row of df: partial arrays per partition, joined slice by slice.
+
+    The result is bounded by slots, not by the data; only it reaches the driver.
     """
 
     def partial(batches):
@@ -38,12 +46,7 @@ def union_array(df: DataFrame, fill: Callable[[np.ndarray, pa.RecordBatch], None
         for batch in batches:
             for k, blob in zip(batch.column("slice").to_pylist(), batch.column("blob").to_pylist(), strict=True):
                 part = np.frombuffer(zlib.decompress(blob), dtype)
-                if k not in held:
-                    held[k] = part.copy()
-                elif add:
-                    held[k] += part
-                else:
-                    held[k] |= part
+                held[k] = join(held[k], part, k) if k in held else part
         for k, part in held.items():
             yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "blob": pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())})
 

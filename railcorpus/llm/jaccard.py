@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from railcorpus.llm.arrows import Bloom, bits_for, chunks, union_array
+from railcorpus.llm.arrows import Bloom, bits_for, both_set, chunks, union_array
 from railcorpus.llm.textform import ROWS, Shingles
 
 
@@ -24,7 +24,7 @@ def members(posts: DataFrame, width: int, least: int, wanted: DataFrame | None,
     if wanted is not None:
         bloom = Bloom(bits_for(rows))
         cells = spark.sparkContext.broadcast(
-            union_array(wanted, lambda c, b: bloom.put(c, b.column(0).to_numpy().view("u8")), bloom.slots, "u1", 1 << 16, False)
+            union_array(wanted, lambda c, b: bloom.put(c, b.column(0).to_numpy().view("u8")), bloom.slots, "u1", 1 << 16, both_set)
         )
 
     def run(batches):

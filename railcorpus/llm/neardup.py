@@ -6,7 +6,7 @@ Exact for a Jaccard threshold t on shingle sets, without comparing all pairs:
 2. Two sets with similarity >= t share a shingle among the first n - ceil(t n) + 1 of each in any common order.
    The order is rare first, by a table of counts of fixed size (an estimate only changes the cost), so each set goes
    into the blocks of its rarest shingles. Blocks of frequent shingles are cut into tiles and compared tile by tile.
-3. In a block, sorted by population count, 128-bit parity sketches are compared by exclusive-or and bit counts. Sets
+3. In a block, sorted by population count, 192-bit parity sketches are compared by exclusive-or and bit counts. Sets
    with similarity >= t differ in at most (1-t)/(1+t) (n_a + n_b) shingles, so in no more bits: nothing is lost. Stretches
    whose population counts differ by more than that radius are skipped.
 4. The few pairs left are verified exactly on their texts.
@@ -20,103 +20,144 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from railcorpus.llm.arrows import chunks, union_array
+from railcorpus.llm.arrows import SLICE, chunks, union_array
 from railcorpus.llm.jaccard import members, verified
-from railcorpus.llm.textform import ROWS, Shingles, _splitmix, _within
+from railcorpus.llm.textform import ROWS, WORDS, Shingles, _splitmix, _within
 
-ENTRY = np.dtype([("key", "<u4"), ("sig", "<u8"), ("lo", "<u8"), ("hi", "<u8"), ("n", "<u4"), ("side", "u1")])
+SET = np.dtype([("sig", "<u8"), ("bits", "<u8", (WORDS,)), ("n", "<u4")])
+ENTRY = np.dtype([("key", "<u4"), ("at", "<u2"), ("side", "u1")])
 PAIRS_AT_ONCE = 1 << 20
+FINE, COARSE = 1 << 23, 1 << 16  # slots: one byte each, ending at 255; four bytes each
 
 
-def rarity_table(posts: DataFrame, width: int, least: int, log2_slots: int) -> np.ndarray:
-    """log2 of the estimated number of posts with a shingle, by shingle hash modulo the table's size."""
-    slots = 1 << log2_slots
+def rarity_tables(posts: DataFrame, width: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Upper estimates of the number of posts with a shingle, by its hash: exact up to 254 but for shared slots; and log2 of
+    large numbers."""
 
     def fill(cells, batch):
-        s = Shingles(batch.column(0), width, least)
-        cells += np.bincount((s.flat & np.uint64(slots - 1)).astype(np.int64), minlength=slots).astype(cells.dtype)
+        flat = Shingles(batch.column(0), width, least).flat
+        slot, count = np.unique((flat & np.uint64(FINE - 1)).astype(np.int64), return_counts=True)
+        cells[slot] = np.minimum(cells[slot] + count, 255).astype(np.uint8)
+        coarse = cells[FINE:].view("<u4")
+        coarse += np.bincount((flat & np.uint64(COARSE - 1)).astype(np.int64), minlength=COARSE).astype(np.uint32)
+
+    def join(a, b, k):
+        if k * SLICE < FINE:
+            return np.minimum(a.astype(np.uint16) + b, 255).astype(np.uint8)
+        return (a.view("<u4") + b.view("<u4")).view(np.uint8)
+
+    cells = union_array(posts.select(F.col("text").cast("string")), fill, FINE + 4 * COARSE, "u1", ROWS, join)
+    coarse = cells[FINE:].view("<u4")
+    return cells[:FINE], np.ceil(np.log2(np.maximum(coarse - coarse.mean(), 1) + 1)).astype(np.uint8)
+
+
+def fresh_rows(sig: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows bring a signature for the first time in this partition, and all signatures so far."""
+    _, first = np.unique(sig, return_index=True)
+    fresh = np.zeros(len(sig), bool)
+    fresh[first] = True
+    fresh &= ~np.isin(sig, seen)
+    return fresh, np.concatenate([seen, sig[fresh]])
+
+
+def blobs(s: Shingles, sig: np.ndarray, of: np.ndarray, key: np.ndarray, side: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Block entries (set number, key, side) by part; a part's sets come once."""
+    part = (key >> np.uint64(40)).astype(np.int64) % parts
+    order = np.argsort(part * len(sig) + of, kind="stable")
+    of, part, key = of[order], part[order], key[order]
+    new_part = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+    new_set = np.concatenate([[True], (part[1:] != part[:-1]) | (of[1:] != of[:-1])]) if len(part) else np.zeros(0, bool)
+    number = np.cumsum(new_set) - 1
+    sets = np.empty(int(new_set.sum()), SET)
+    pick = of[new_set]
+    sets["sig"], sets["bits"], sets["n"] = sig[pick], s.sketch()[pick], s.size[pick]
+    ends = np.append(new_part[1:], len(part))[: len(new_part)]
+    out = np.empty(len(of), ENTRY)
+    base = number[new_part] if len(new_part) else number
+    out["key"], out["at"], out["side"] = key.astype(np.uint32), number - np.repeat(base, ends - new_part), side[order]
+    to = np.append(base[1:], len(sets))[: len(base)]
+    return pa.RecordBatch.from_pydict(
+        {
+            "part": pa.array(part[new_part], pa.int32()),
+            "sets": pa.array([sets[a:b].tobytes() for a, b in zip(base, to, strict=True)], pa.binary()),
+            "entries": pa.array([out[a:b].tobytes() for a, b in zip(new_part, ends, strict=True)], pa.binary()),
+        }
+    )
+
 
-    counts = union_array(posts.select(F.col("text").cast("string")), fill, slots, "u4", ROWS, True)
-    noise = counts.mean()
-    return np.ceil(np.log2(np.maximum(counts - noise, 1) + 1)).astype(np.uint8)
+BLOBS = "part int, sets binary, entries binary"
 
 
-def block_entries(batches, rarity, width, least, threshold, parts, tile_log2):
-    """Blobs of block entries by part."""
-    slots = np.uint64(len(rarity) - 1)
+def block_entries(batches, fine, coarse, width, least, threshold, parts, tile_log2):
+    """Each set's entries in the blocks of its rarest shingles; blocks that only one set is in are left out."""
     seen = np.zeros(0, np.uint64)
     for batch in chunks(batches, ROWS):
         s = Shingles(batch.column(0), width, least)
         sig = s.signature()
-        _, first = np.unique(sig, return_index=True)
-        fresh = np.zeros(len(sig), bool)
-        fresh[first] = True
-        fresh &= ~np.isin(sig, seen)
-        seen = np.concatenate([seen, sig[fresh]])
-        lo, hi = s.sketch()
-        rare = rarity[(s.flat & slots).astype(np.int64)]
-        order = np.argsort((s.of.astype(np.uint32) << np.uint32(8)) | rare, kind="stable")
+        fresh, seen = fresh_rows(sig, seen)
+        rare = fine[(s.flat & np.uint64(FINE - 1)).astype(np.int64)].astype(np.uint32)
+        crowd = coarse[(s.flat & np.uint64(COARSE - 1)).astype(np.int64)]
+        rank = np.where(rare < 255, rare, 255 + crowd)
+        order = np.argsort((s.of.astype(np.uint32) << np.uint32(9)) | rank, kind="stable")
         prefix = s.size - np.ceil(threshold * s.size - 1e-9).astype(np.int64) + 1
-        order = order[(_within(s.size) < np.repeat(prefix, s.size)) & fresh[s.of]]
-        of, rare = s.of[order], rare[order].astype(np.int64)
+        order = order[(_within(s.size) < np.repeat(prefix, s.size)) & fresh[s.of] & (rare[order] > 1)]
+        of, rare, crowd = s.of[order], rare[order], crowd[order].astype(np.int64)
         key = _splitmix(s.flat[order])
         side = np.zeros(len(of), np.uint8)
-        hot = np.flatnonzero(rare > tile_log2)
+        hot = np.flatnonzero((rare == 255) & (crowd > tile_log2))
         if len(hot):  # a frequent shingle's block as tiles: every pair of strips meets in one tile
-            strips = 1 << (rare[hot] - tile_log2)
+            strips = 1 << (crowd[hot] - tile_log2)
             mine = (_splitmix(sig[of[hot]] ^ np.uint64(0x5BD1)) & (strips - 1).astype(np.uint64)).astype(np.int64)
             rep = np.repeat(np.arange(len(hot)), strips)
             other, own = _within(strips), mine[rep]
             low, high = np.minimum(own, other), np.maximum(own, other)
-            with np.errstate(over="ignore"):
-                tile = _splitmix(key[hot][rep] + (low * 1000003 + high + 1).astype(np.uint64))
+            tile = _splitmix(key[hot][rep] ^ _splitmix((low * 1000003 + high + 1).astype(np.uint64)))
             cold = np.setdiff1d(np.arange(len(of)), hot, assume_unique=True)
             side = np.concatenate([side[cold], np.where(own == other, 0, np.where(own < other, 1, 2)).astype(np.uint8)])
             of, key = np.concatenate([of[cold], of[hot][rep]]), np.concatenate([key[cold], tile])
-        part = (key >> np.uint64(40)).astype(np.int64) % parts
-        order = np.argsort(part, kind="stable")
-        of, part = of[order], part[order]
-        out = np.empty(len(of), ENTRY)
-        out["key"], out["sig"], out["lo"], out["hi"], out["n"], out["side"] = key[order].astype(np.uint32), sig[of], lo[of], hi[of], s.size[of], side[order]
-        here, at = np.unique(part, return_index=True)
-        ends = np.append(at[1:], len(part))[: len(at)]
-        yield pa.RecordBatch.from_pydict({"part": pa.array(here, pa.int32()), "blob": pa.array([out[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary())})
+        yield blobs(s, sig, of, key, side, parts)
 
 
 def tiles(table: pa.Table, threshold: float) -> pa.Table:
     """Candidate pairs of one part: equal key, sketches within the radius."""
-    e = np.concatenate([np.frombuffer(x.as_buffer(), ENTRY) for x in table.column("blob")])
-    pop = (np.bitwise_count(e["lo"]) + np.bitwise_count(e["hi"])).astype(np.int64)
-    order = np.argsort((e["key"].astype(np.int64) << 8) | pop, kind="stable")
-    e, pop = e[order], pop[order]
-    place = (e["key"].astype(np.int64) << 8) | pop
-    n = e["n"].astype(np.int64)
+    sets = [np.frombuffer(x.as_buffer(), SET) for x in table.column("sets")]
+    entries = [np.frombuffer(x.as_buffer(), ENTRY) for x in table.column("entries")]
+    base = np.cumsum([0] + [len(x) for x in sets[:-1]])
+    at = np.concatenate([e["at"].astype(np.int64) + b for e, b in zip(entries, base, strict=True)])
+    e, sets = np.concatenate(entries), np.concatenate(sets)
+    bits = [np.ascontiguousarray(sets["bits"][:, w]) for w in range(WORDS)]
+    pop = sum(np.bitwise_count(b).astype(np.int64) for b in bits)
+    size = sets["n"].astype(np.int64)
+    place = (e["key"].astype(np.int64) << 8) | pop[at]
+    order = np.argsort(place, kind="stable")
+    at, place, side = at[order], place[order], e["side"][order]
+    n = size[at]
     radius = (1 - threshold) / (1 + threshold)
     # the partner is no larger than n / t, so the population counts differ by no more than this
-    reach = np.minimum(np.floor(radius * (n + n / threshold) + 1e-6).astype(np.int64), 255 - pop)
-    stop = np.searchsorted(place, place + reach, side="right")
-    partners = stop - np.arange(len(e)) - 1
-    found_a, found_b = [], []
+    reach = np.minimum(np.floor(radius * (n + n / threshold) + 1e-6).astype(np.int64), 255 - (place & 255))
+    partners = np.searchsorted(place, place + reach, side="right") - np.arange(len(place)) - 1
     ends = np.cumsum(partners)
-    at = 0
-    while at < len(e):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE, side="right")))
-        reps = partners[at:to]
-        i = np.repeat(np.arange(at, to), reps)
+    found = [np.zeros((0, 2), np.int64)]
+    first = 0
+    while first < len(place):
+        to = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PAIRS_AT_ONCE, side="right")))
+        reps = partners[first:to]
+        i = np.repeat(np.arange(first, to), reps)
         j = i + 1 + _within(reps)
-        differ = np.bitwise_count(e["lo"][i] ^ e["lo"][j]).astype(np.int64) + np.bitwise_count(e["hi"][i] ^ e["hi"][j])
-        a, b = e["sig"][i], e["sig"][j]
-        ok = (differ <= radius * (n[i] + n[j]) + 1e-6) & (a != b) & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-6)
-        ok &= (e["side"][i] == 0) | (e["side"][i] != e["side"][j])
-        a, b = a[ok].view("i8"), b[ok].view("i8")
-        found_a.append(np.minimum(a, b))
-        found_b.append(np.maximum(a, b))
-        at = to
-    pairs = np.unique(np.stack([np.concatenate(found_a), np.concatenate(found_b)], 1), axis=0) if found_a else np.zeros((0, 2), np.int64)
+        met = (side[i] == 0) | (side[i] != side[j])
+        x, y = at[i[met]], at[j[met]]
+        total = size[x] + size[y]
+        differ = sum(np.bitwise_count(b[x] ^ b[y]).astype(np.int64) for b in bits)
+        ok = (differ <= radius * total + 1e-6) & (np.minimum(size[x], size[y]) >= threshold * np.maximum(size[x], size[y]) - 1e-6)
+        a, b = sets["sig"][x[ok]].view("i8"), sets["sig"][y[ok]].view("i8")
+        ok = a != b
+        found.append(np.unique(np.stack([np.minimum(a, b)[ok], np.maximum(a, b)[ok]], 1), axis=0))
+        first = to
+    pairs = np.unique(np.concatenate(found), axis=0)
     return pa.table({"sig_a": pa.array(pairs[:, 0]), "sig_b": pa.array(pairs[:, 1])})
 
 
-def near_sets(posts: DataFrame, threshold: float = 0.8, width: int = 5, least: int = 5, log2_slots: int = 20, tile_log2: int = 13, extra: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+def near_sets(posts: DataFrame, threshold: float = 0.8, width: int = 5, least: int = 5, tile_log2: int = 13, extra: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Near-same sets among posts (id, text).
 
     Returns (sig_a, sig_b, jaccard) with sig_a < sig_b, and the members (sig, id, *extra). Null texts and texts under
@@ -124,15 +165,20 @@ def near_sets(posts: DataFrame, threshold: float = 0.8, width: int = 5, least: i
     """
     spark = posts.sparkSession
     rows = posts.count()
-    parts = int(max(32, 2 ** np.ceil(np.log2(max(rows, 1) / 4096))))
-    rarity = spark.sparkContext.broadcast(rarity_table(posts, width, least, log2_slots))
-    entries = posts.select(F.col("text").cast("string")).mapInArrow(
-        lambda batches: block_entries(batches, rarity.value, width, least, threshold, parts, tile_log2), "part int, blob binary"
-    )
-    pairs = entries.groupBy("part").applyInArrow(lambda t: tiles(t, threshold), "sig_a long, sig_b long").distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    parts = int(max(8, 2 ** np.ceil(np.log2(max(rows, 1) / 16384))))
+    tables = spark.sparkContext.broadcast(rarity_tables(posts, width, least))
+    entries = posts.select(F.col("text").cast("string")).mapInArrow(lambda batches: block_entries(batches, *tables.value, width, least, threshold, parts, tile_log2), BLOBS)
+    pairs = entries.groupBy("part").applyInArrow(lambda t: tiles(t, threshold), "sig_a long, sig_b long")
+    return settle(pairs, posts, threshold, width, least, extra)
+
+
+def settle(pairs: DataFrame, posts: DataFrame, threshold: float, width: int, least: int, extra: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Verified candidate pairs, and the members of all sets. What is kept is recomputed if an executor is lost."""
+    pairs = pairs.distinct().persist(StorageLevel.MEMORY_AND_DISK)
     sigs = pairs.select(F.explode(F.array("sig_a", "sig_b")).alias("sig"))
-    held = members(posts, width, least, sigs, 2 * pairs.count(), extra)
-    return verified(pairs, held.select("sig", "text"), width, least, threshold), held.drop("text").dropDuplicates(["sig", "id"])
+    held = members(posts, width, least, sigs, 2 * pairs.count(), extra).persist(StorageLevel.MEMORY_AND_DISK)
+    near = verified(pairs, held.select("sig", "text"), width, least, threshold).persist(StorageLevel.MEMORY_AND_DISK)
+    return near, held.drop("text").dropDuplicates(["sig", "id"])
 
 
 def near_pairs(near: DataFrame, held: DataFrame, most_copies: int = 1000) -> DataFrame:

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railcorpus.llm import lookalike, neardup
+from railcorpus.llm import cooccur, leakage, lookalike, mixing, neardup, packing
 from railcorpus.llm.data import posts
+from railcorpus.llm.tokens import token_sizes
 from railcorpus.session import table
 
 # Near-same as TESTDATA.md has it for posts: 3-token shingles, 8 tokens or more, Jaccard 0.6 or more.
@@ -38,14 +39,112 @@ def p3_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.consistent_form(posts(spark, sf_dir, "train").dropDuplicates(["id"]), "text", "form").select("id", "form")
 
 
+def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = posts(spark, sf_dir, "train", extra=("split", "source"))
+    evaluation = posts(spark, sf_dir, "validation", "test", extra=("split", "source"))
+    return leakage.cross_pairs(*leakage.overlaps(train, evaluation, **NEAR, extra=("split", "source")))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _overlaps(spark, sf_dir).select("post_a", "post_b")
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps by split and source, beside what was once claimed."""
+    found = _overlaps(spark, sf_dir).groupBy("split", "source").agg(F.count("*").alias("pairs"), F.countDistinct("post_b").alias("posts"))
+    claimed = table(spark, sf_dir, "leakage_report").select(F.col("split").alias("s"), F.col("source").alias("o"), "train_overlap", "status")
+    out = found.join(claimed, F.col("split").eqNullSafe(F.col("s")) & F.col("source").eqNullSafe(F.col("o")), "full")
+    out = out.select(F.coalesce("split", "s").alias("split"), F.coalesce("source", "o").alias("source"), "pairs", "posts", "train_overlap", "status")
+    return out.na.fill(0, ["pairs", "posts"])
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     near, held = neardup.near_sets(posts(spark, sf_dir, "train", "validation"), **NEAR)
     return neardup.near_pairs(near, held)
 
 
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cooccur.distinct_items(table(spark, sf_dir, "counts").where("split = 'train'"), table(spark, sf_dir, "vocabulary"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cooccur.item_pairs(_items(spark, sf_dir), least_joint=5, least_npmi=0.6).select("term_a", "term_b")
+
+
+def p6_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair in 5 posts or more with its counts, to renew npmi_edges."""
+    out = cooccur.item_pairs(_items(spark, sf_dir), least_joint=5)
+    return out.select("term_a", "term_b", "joint", "count_a", "count_b", "n", F.round("npmi", 9).alias("npmi"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cooccur.term_frequencies(_items(spark, sf_dir), table(spark, sf_dir, "vocabulary")).where("mark is not null").select("term_id")
+
+
+def p7_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cooccur.term_frequencies(_items(spark, sf_dir), table(spark, sf_dir, "vocabulary"))
+
+
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "text")
+    return token_sizes(docs, "text", "size")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(_sized(spark, sf_dir).select("id", "size"))
+    return packed.where("pieces > 1 and piece = 0").select(F.col("id").alias("doc_id"))
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_sized(spark, sf_dir).select("id", "size"))
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(p8_containers(spark, sf_dir))
+
+
+def _mixture(spark: SparkSession, sf_dir: str):
+    return mixing.mix(_sized(spark, sf_dir).persist(), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(*_mixture(spark, sf_dir)).where("short").select("source")
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir)[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(*_mixture(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
 
+_ITEMS = """
+    items AS (SELECT doc_id, term_id, MAX(cnt) AS cnt FROM counts
+              WHERE split = 'train' AND cnt >= 1 AND doc_id IS NOT NULL AND term_id IN (SELECT term_id FROM vocabulary WHERE term_id IS NOT NULL)
+              GROUP BY doc_id, term_id),
+    n AS (SELECT CAST(COUNT(DISTINCT doc_id) AS BIGINT) AS n FROM items),
+    d AS (SELECT term_id, COUNT(*) AS df, CAST(SUM(cnt) AS BIGINT) AS tf FROM items GROUP BY term_id)"""
+_PAIRS = f"""WITH {_ITEMS},
+    k AS (SELECT a.term_id AS term_a, b.term_id AS term_b, COUNT(*) AS joint FROM items a JOIN items b ON a.doc_id = b.doc_id AND a.term_id < b.term_id
+          GROUP BY 1, 2 HAVING COUNT(*) >= 5),
+    s AS (SELECT term_a, term_b, joint, x.df AS count_a, y.df AS count_b, n,
+                 LN((joint / n) / ((x.df / n) * (y.df / n))) / -LN(joint / n) AS npmi
+          FROM k JOIN d x ON x.term_id = term_a JOIN d y ON y.term_id = term_b CROSS JOIN n)"""
+_TERMS = f"""WITH {_ITEMS},
+    t AS (SELECT term_id, MIN(term) AS term FROM vocabulary WHERE term_id IS NOT NULL GROUP BY term_id),
+    f AS (SELECT t.term_id, term, COALESCE(df, 0) AS documents, COALESCE(tf, 0) AS occurrences, n FROM t LEFT JOIN d USING (term_id) CROSS JOIN n),
+    m AS (SELECT *, CASE WHEN documents < 3 THEN 'rare' WHEN documents > 0.25 * n THEN 'common' END AS mark FROM f)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p6_found": _PAIRS + " SELECT term_a, term_b FROM s WHERE npmi >= 0.6",
+        "p6_edges": _PAIRS + " SELECT term_a, term_b, joint, count_a, count_b, n, ROUND(npmi, 9) AS npmi FROM s",
+        "p7_found": _TERMS + " SELECT term_id FROM m WHERE mark IS NOT NULL",
+        "p7_frequencies": _TERMS + " SELECT * FROM m",
+    }

@@ -187,20 +187,22 @@ def unify(cps: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     t = tables()
     if len(cps) and 0x1F < int(cps.min()) and int(cps.max()) < 0x7F:
         return cps, offs
-    size = _take(t.size, cps, 1).astype(np.int64)
-    dropped = cps >= 0xE0000
-    size[dropped & (cps <= 0xE0FFF)] = 0
-    if (size == 1).all():
-        out = _take(t.single, cps, None)
-    else:
-        ends = np.cumsum(size)
-        out = np.repeat(_take(t.single, cps, None), size)
-        many = np.flatnonzero(size > 1)
-        if len(many):
-            n = size[many]
-            at = np.repeat(ends[many] - n, n) + _within(n)
-            out[at] = t.pool[np.repeat(t.start[cps[many]], n) + _within(n)]
-        offs = np.concatenate([[0], ends])[offs]
+    size = _take(t.size, cps, 1)
+    if len(cps) and int(cps.max()) >= 0xE0000:
+        size[(cps >= 0xE0000) & (cps <= 0xE0FFF)] = 0
+    out = _take(t.single, cps, None)
+    odd = np.flatnonzero(size != 1)
+    if len(odd):
+        n = size[odd].astype(np.int64)
+        moved = np.concatenate([[0], np.cumsum(n - 1)])
+        at = np.repeat(odd + moved[:-1], n) + _within(n)
+        rest = np.ones(len(cps) + moved[-1], bool)
+        rest[at] = False
+        whole = np.empty(len(rest), np.uint32)
+        whole[rest] = out[size == 1]
+        many = n > 1
+        whole[at] = t.pool[np.repeat(t.start[np.minimum(cps[odd[many]], LIMIT - 1)], n[many]) + _within(n[many])]
+        out, offs = whole, offs + moved[np.searchsorted(odd, offs)]
     return _compose(out, offs)
 
 
@@ -337,6 +339,7 @@ def token_hashes(cps: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 
 ROW_BITS = 13
 ROWS = 1 << ROW_BITS
+WORDS = 3
 
 
 class Shingles:
@@ -378,10 +381,10 @@ class Shingles:
         with np.errstate(over="ignore"):
             return _splitmix(_segments(_splitmix(self.flat), self.first) + self.size.astype(np.uint64))
 
-    def sketch(self) -> tuple[np.ndarray, np.ndarray]:
-        """128 parity bits of each row's set, in two words: sets that differ in d shingles differ in at most d bits."""
-        bit = self.flat & np.uint64(127)
+    def sketch(self) -> np.ndarray:
+        """(rows, WORDS) parity bits of each row's set: sets that differ in d shingles differ in at most d bits."""
+        bit = self.flat % np.uint64(64 * WORDS)
         one = np.uint64(1) << (bit & np.uint64(63))
-        low = bit < 64
-        xor = np.bitwise_xor
-        return _segments(np.where(low, one, np.uint64(0)), self.first, xor), _segments(np.where(low, np.uint64(0), one), self.first, xor)
+        word = bit >> np.uint64(6)
+        parts = [_segments(np.where(word == w, one, np.uint64(0)), self.first, np.bitwise_xor) for w in range(WORDS)]
+        return np.stack(parts, 1)
