@@ -6,9 +6,10 @@ Exact for a Jaccard threshold t on shingle sets, without comparing all pairs:
 2. Two sets with similarity >= t share a shingle among the first n - ceil(t n) + 1 of each in any common order.
    The order is rare first, by a table of counts of fixed size (an estimate only changes the cost), so each set goes
    into the blocks of its rarest shingles. Blocks of frequent shingles are cut into tiles and compared tile by tile.
-3. In a block, sorted by population count, 192-bit parity sketches are compared by exclusive-or and bit counts. Sets
-   with similarity >= t differ in at most (1-t)/(1+t) (n_a + n_b) shingles, so in no more bits: nothing is lost. Stretches
-   whose population counts differ by more than that radius are skipped.
+3. In a block, sorted by population count (the set's size), 192-bit parity sketches are compared by exclusive-or and bit
+   counts. Sets with similarity >= t differ in at most (1-t)/(1+t) (n_a + n_b) shingles, so in no more bits: nothing is
+   lost. Stretches whose population counts are too far apart are skipped, as are sets that meet too late in the common
+   order to still share enough.
 4. The few pairs left are verified exactly on their texts.
 """
 
@@ -21,11 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from railcorpus.llm.arrows import SLICE, chunks, union_array
+from railcorpus.llm.components import components
 from railcorpus.llm.jaccard import members, verified
 from railcorpus.llm.textform import ROWS, WORDS, Shingles, _splitmix, _within
 
 SET = np.dtype([("sig", "<u8"), ("bits", "<u8", (WORDS,)), ("n", "<u4")])
-ENTRY = np.dtype([("key", "<u4"), ("at", "<u2"), ("side", "u1")])
+ENTRY = np.dtype([("key", "<u4"), ("at", "<u2"), ("place", "<u2"), ("side", "u1")])
 PAIRS_AT_ONCE = 1 << 20
 FINE, COARSE = 1 << 23, 1 << 16  # slots: one byte each, ending at 255; four bytes each
 
@@ -60,8 +62,8 @@ def fresh_rows(sig: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return fresh, np.concatenate([seen, sig[fresh]])
 
 
-def blobs(s: Shingles, sig: np.ndarray, of: np.ndarray, key: np.ndarray, side: np.ndarray, parts: int) -> pa.RecordBatch:
-    """Block entries (set number, key, side) by part; a part's sets come once."""
+def blobs(s: Shingles, sig: np.ndarray, of: np.ndarray, key: np.ndarray, place: np.ndarray, side: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Block entries (set number, key, place in the set's order, side) by part; a part's sets come once."""
     part = (key >> np.uint64(40)).astype(np.int64) % parts
     order = np.argsort(part * len(sig) + of, kind="stable")
     of, part, key = of[order], part[order], key[order]
@@ -74,7 +76,7 @@ def blobs(s: Shingles, sig: np.ndarray, of: np.ndarray, key: np.ndarray, side: n
     ends = np.append(new_part[1:], len(part))[: len(new_part)]
     out = np.empty(len(of), ENTRY)
     base = number[new_part] if len(new_part) else number
-    out["key"], out["at"], out["side"] = key.astype(np.uint32), number - np.repeat(base, ends - new_part), side[order]
+    out["key"], out["at"], out["place"], out["side"] = key.astype(np.uint32), number - np.repeat(base, ends - new_part), np.minimum(place[order], 65535), side[order]
     to = np.append(base[1:], len(sets))[: len(base)]
     return pa.RecordBatch.from_pydict(
         {
@@ -96,11 +98,13 @@ def block_entries(batches, fine, coarse, width, least, threshold, parts, tile_lo
         sig = s.signature()
         fresh, seen = fresh_rows(sig, seen)
         rare = fine[(s.flat & np.uint64(FINE - 1)).astype(np.int64)].astype(np.uint32)
-        crowd = coarse[(s.flat & np.uint64(COARSE - 1)).astype(np.int64)]
+        crowd = coarse[(s.flat & np.uint64(COARSE - 1)).astype(np.int64)].astype(np.uint32)
         rank = np.where(rare < 255, rare, 255 + crowd)
         order = np.argsort((s.of.astype(np.uint32) << np.uint32(9)) | rank, kind="stable")
         prefix = s.size - np.ceil(threshold * s.size - 1e-9).astype(np.int64) + 1
-        order = order[(_within(s.size) < np.repeat(prefix, s.size)) & fresh[s.of] & (rare[order] > 1)]
+        place = _within(s.size)
+        pick = (place < np.repeat(prefix, s.size)) & fresh[s.of] & (rare[order] > 1)
+        order, place = order[pick], place[pick]
         of, rare, crowd = s.of[order], rare[order], crowd[order].astype(np.int64)
         key = _splitmix(s.flat[order])
         side = np.zeros(len(of), np.uint8)
@@ -114,8 +118,8 @@ def block_entries(batches, fine, coarse, width, least, threshold, parts, tile_lo
             tile = _splitmix(key[hot][rep] ^ _splitmix((low * 1000003 + high + 1).astype(np.uint64)))
             cold = np.setdiff1d(np.arange(len(of)), hot, assume_unique=True)
             side = np.concatenate([side[cold], np.where(own == other, 0, np.where(own < other, 1, 2)).astype(np.uint8)])
-            of, key = np.concatenate([of[cold], of[hot][rep]]), np.concatenate([key[cold], tile])
-        yield blobs(s, sig, of, key, side, parts)
+            of, key, place = np.concatenate([of[cold], of[hot][rep]]), np.concatenate([key[cold], tile]), np.concatenate([place[cold], place[hot][rep]])
+        yield blobs(s, sig, of, key, place, side, parts)
 
 
 def tiles(table: pa.Table, threshold: float) -> pa.Table:
@@ -126,29 +130,29 @@ def tiles(table: pa.Table, threshold: float) -> pa.Table:
     at = np.concatenate([e["at"].astype(np.int64) + b for e, b in zip(entries, base, strict=True)])
     e, sets = np.concatenate(entries), np.concatenate(sets)
     bits = [np.ascontiguousarray(sets["bits"][:, w]) for w in range(WORDS)]
-    pop = sum(np.bitwise_count(b).astype(np.int64) for b in bits)
     size = sets["n"].astype(np.int64)
-    place = (e["key"].astype(np.int64) << 8) | pop[at]
-    order = np.argsort(place, kind="stable")
-    at, place, side = at[order], place[order], e["side"][order]
+    where = (e["key"].astype(np.uint64) << np.uint64(32)) | size[at].astype(np.uint64)
+    order = np.argsort(where, kind="stable")
+    at, where, side, place = at[order], where[order], e["side"][order], e["place"][order].astype(np.int64)
     n = size[at]
-    radius = (1 - threshold) / (1 + threshold)
-    # the partner is no larger than n / t, so the population counts differ by no more than this
-    reach = np.minimum(np.floor(radius * (n + n / threshold) + 1e-6).astype(np.int64), 255 - (place & 255))
-    partners = np.searchsorted(place, place + reach, side="right") - np.arange(len(place)) - 1
+    radius, overlap = (1 - threshold) / (1 + threshold), threshold / (1 + threshold)
+    # the partner comes later, so it is no smaller; it is no larger than n / t, nor than the shingles left from here on allow
+    most = np.floor(np.minimum(n / threshold, (n - place) / overlap - n) + 1e-6).astype(np.int64)
+    stop = np.searchsorted(where, (where - n.astype(np.uint64)) + np.maximum(most, 0).astype(np.uint64), side="right")
+    partners = np.maximum(stop - np.arange(len(where)) - 1, 0)
     ends = np.cumsum(partners)
     found = [np.zeros((0, 2), np.int64)]
     first = 0
-    while first < len(place):
+    while first < len(where):
         to = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PAIRS_AT_ONCE, side="right")))
         reps = partners[first:to]
         i = np.repeat(np.arange(first, to), reps)
         j = i + 1 + _within(reps)
-        met = (side[i] == 0) | (side[i] != side[j])
-        x, y = at[i[met]], at[j[met]]
-        total = size[x] + size[y]
+        total = n[i] + n[j]
+        met = ((side[i] == 0) | (side[i] != side[j])) & (n[j] - place[j] >= overlap * total - 1e-6)
+        x, y, total = at[i[met]], at[j[met]], total[met]
         differ = sum(np.bitwise_count(b[x] ^ b[y]).astype(np.int64) for b in bits)
-        ok = (differ <= radius * total + 1e-6) & (np.minimum(size[x], size[y]) >= threshold * np.maximum(size[x], size[y]) - 1e-6)
+        ok = differ <= radius * total + 1e-6
         a, b = sets["sig"][x[ok]].view("i8"), sets["sig"][y[ok]].view("i8")
         ok = a != b
         found.append(np.unique(np.stack([np.minimum(a, b)[ok], np.maximum(a, b)[ok]], 1), axis=0))
@@ -198,3 +202,16 @@ def near_pairs(near: DataFrame, held: DataFrame, most_copies: int = 1000) -> Dat
     out = links.join(a, "sig_a").join(b, "sig_b")
     out = out.where((F.col("sig_a") == F.col("sig_b")) & (F.col("id_a") < F.col("id_b")) | (F.col("sig_a") != F.col("sig_b")) & F.col("stands"))
     return out.select(F.least("id_a", "id_b").alias("post_a"), F.greatest("id_a", "id_b").alias("post_b")).where("post_a <> post_b").distinct()
+
+
+def near_groups(near: DataFrame, held: DataFrame) -> DataFrame:
+    """(post_id, group_id, links) of every post with a near-same or equal one; links counts near-same sets, copies not among
+    them."""
+    size = held.groupBy("sig").agg(F.count("*").alias("copies"), F.min("id").alias("first"))
+    joined = components(near.select(F.col("sig_a").alias("u"), F.col("sig_b").alias("v")))
+    degree = near.select(F.explode(F.array("sig_a", "sig_b")).alias("sig")).groupBy("sig").agg(F.count("*").alias("links"))
+    sets = size.join(joined.withColumnRenamed("node", "sig"), "sig", "left").join(degree, "sig", "left").where("copies > 1 or root is not null")
+    sets = sets.withColumn("root", F.coalesce("root", "sig"))
+    least = sets.groupBy("root").agg(F.min("first").alias("group_id"))
+    rows = held.join(sets.select("sig", "root", "links"), "sig").join(least, "root")
+    return rows.groupBy(F.col("id").alias("post_id")).agg(F.min("group_id").alias("group_id"), F.max(F.coalesce("links", F.lit(0))).alias("links"))
