@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railcorpus.llm import cooccur, leakage, lookalike, mixing, neardup, packing
+from railcorpus.llm import cooccur, density, leakage, lookalike, mixing, neardup, packing, reading
 from railcorpus.llm.data import posts
 from railcorpus.llm.tokens import token_sizes
 from railcorpus.session import table
@@ -22,6 +22,20 @@ def _forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train.unionByName(terms)
 
 
+def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return density.density_peaks(table(spark, sf_dir, "term_emb"), "term_id", "embedding")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _terms(spark, sf_dir).select(F.col("key").cast("int").alias("term_id"), F.col("group_key").cast("int").alias("group_key"))
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each group with its size, densest term and most typical terms."""
+    names = table(spark, sf_dir, "term_emb").select(F.col("term_id").cast("long").alias("key"), F.col("term").alias("name"))
+    return density.describe(_terms(spark, sf_dir).persist(), names)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = lookalike.same_look_pairs(_forms(spark, sf_dir), ["field"])
     number = F.col("field") == "vocabulary"
@@ -63,6 +77,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_pairs(near, held)
 
 
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a post with a near-same or equal one: its group's smallest post, and its number of links to other texts."""
+    near, held = neardup.near_sets(posts(spark, sf_dir, "train", "validation"), **NEAR)
+    return neardup.near_groups(near, held)
+
+
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cooccur.distinct_items(table(spark, sf_dir, "counts").where("split = 'train'"), table(spark, sf_dir, "vocabulary"))
 
@@ -119,6 +139,20 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(*_mixture(spark, sf_dir))
 
 
+def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_levels(spark, sf_dir).where(f"level >= {reading.LEVELS - 0.5}").select("doc_id")
+
+
+def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, tokens and mean surprisal by estimated level."""
+    graded = p10_levels(spark, sf_dir).withColumn("grade", F.floor(F.col("level") + 0.5).cast("int"))
+    return graded.groupBy("grade").agg(F.count("*").alias("documents"), F.sum("tokens").alias("tokens"), F.round(F.avg("surprisal"), 3).alias("surprisal"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
