@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,5 +34,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors once a context, unless their Python path has it already."""
+    sc, root = spark.sparkContext, Path(__file__).resolve().parent.parent
+    if getattr(sc, "_railcorpus_shipped", False) or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    made = tempfile.mkdtemp(prefix="railcorpus-")
+    sc.addPyFile(shutil.make_archive(f"{made}/railcorpus", "zip", root, "railcorpus"))
+    sc._railcorpus_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
