@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railcorpus.llm import cooccur, density, leakage, lookalike, mixing, neardup, packing, reading
+from railcorpus.llm import cooccur, density, leakage, lookalike, mixing, neardup, packing, pii, reading
 from railcorpus.llm.data import posts
 from railcorpus.llm.tokens import token_sizes
 from railcorpus.session import table
@@ -22,6 +22,20 @@ def _forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train.unionByName(terms)
 
 
+def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.entities(posts(spark, sf_dir, "train", "validation"), pii.known_names(table(spark, sf_dir, "known_names")))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entities(spark, sf_dir).select(F.col("id").alias("post_id"), "kind").distinct()
+
+
+def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every train and validation post with typed placeholders for what was found."""
+    rows = posts(spark, sf_dir, "train", "validation").groupBy("id").agg(F.min("text").alias("text"))
+    return pii.redact(rows, _entities(spark, sf_dir).distinct()).withColumnRenamed("id", "post_id")
+
+
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return density.density_peaks(table(spark, sf_dir, "term_emb"), "term_id", "embedding")
 

@@ -184,9 +184,13 @@ def _rows(offs: np.ndarray) -> np.ndarray:
 
 def unify(cps: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Consistent form of flat code points."""
-    t = tables()
     if len(cps) and 0x1F < int(cps.min()) and int(cps.max()) < 0x7F:
         return cps, offs
+    return _compose(*_expand(cps, offs))
+
+
+def _expand(cps: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    t = tables()
     size = _take(t.size, cps, 1)
     if len(cps) and int(cps.max()) >= 0xE0000:
         size[(cps >= 0xE0000) & (cps <= 0xE0FFF)] = 0
@@ -203,7 +207,17 @@ def unify(cps: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         many = n > 1
         whole[at] = t.pool[np.repeat(t.start[np.minimum(cps[odd[many]], LIMIT - 1)], n[many]) + _within(n[many])]
         out, offs = whole, offs + moved[np.searchsorted(odd, offs)]
-    return _compose(out, offs)
+    return out, offs
+
+
+def places(cps: np.ndarray) -> np.ndarray:
+    """For each code point of one text's consistent form, the place of its source code point."""
+    t = tables()
+    size = _take(t.size, cps, 1).astype(np.int64)
+    size[(cps >= 0xE0000) & (cps <= 0xE0FFF)] = 0
+    source = np.repeat(np.arange(len(cps)), size)
+    flat, _ = _expand(cps, np.array([0, len(cps)]))
+    return source[_compose(flat, np.array([0, len(flat)]), kept=True)[1]]  # a composed mark has no place of its own
 
 
 def _within(sizes: np.ndarray) -> np.ndarray:
@@ -220,7 +234,8 @@ def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return np.where(t.pair_keys[at] == key, t.pair_to[at], 0).astype(np.uint32)
 
 
-def _compose(cps: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _compose(cps: np.ndarray, offs: np.ndarray, kept: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Marks composed with their bases; the new offsets, or with kept the places that stay."""
     t = tables()
     ccc = _take(t.ccc, cps, 0)
     mark = np.flatnonzero(ccc)
@@ -250,11 +265,13 @@ def _compose(cps: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
             last[live[~free]] = ccc[at[~free]]
     if len(cps) and ((cps >= 0x1100) & (cps < 0x1200)).any():
         cps, keep = _hangul(cps.copy(), keep, offs)
+    if kept:
+        return cps[keep], keep
     if keep.all():
         return cps, offs
-    kept = np.zeros(len(cps) + 1, np.int64)
-    np.cumsum(keep, out=kept[1:])
-    return cps[keep], kept[offs]
+    ends = np.zeros(len(cps) + 1, np.int64)
+    np.cumsum(keep, out=ends[1:])
+    return cps[keep], ends[offs]
 
 
 def _hangul(cps: np.ndarray, keep: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
