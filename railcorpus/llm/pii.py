@@ -23,11 +23,28 @@ from railcorpus.llm import textform
 from railcorpus.llm.arrows import chunks
 from railcorpus.session import ensure_checkpoint_dir
 
-# Seeds. Words that stand before a family name, for streets, and that introduce a Chinese name.
+# Seeds. Words that stand before a family name, for streets, and patterns that introduce a kind.
 TITLES = "mr mrs ms miss dr prof sr sra srta"
 STREETS = "street road avenue lane"
 CALLES = "calle c/ avenida avda avda. paseo ronda camino"
-INTRODUCE = ("我叫", "名叫", "姓名", "系人")
+INTRODUCE = {
+    "name_han": ("L2我叫", "L2名叫", "L2姓名", "L2系人"),
+    "id_number": ("L1ssn", "L1dni", "L1passport", "L1pasaporte", "L2passport no", "L2national id", "L2证号", "L2证件"),
+    "phone": ("L1tel", "L1phone", "L1mobile", "L1whatsapp", "L2电话", "L2手机"),
+}
+
+PHONES = ("(3d) 3d-4d", "3d-3d-4d", "3d.3d.4d")
+
+# By class: weight of unknown instances against a pattern; share of reliable candidates from which an instance supports patterns;
+# from which it is accepted in any context; below which it is accepted in none.
+RULES = {
+    "phone": (0.15, 0.5, 0.6, 0.0),
+    "id_number": (0.15, 0.5, 0.6, 0.0),
+    "email": (0.0, 0.5, 0.5, 0.0),
+    "address": (0.3, 0.5, 0.5, 0.5),
+    "name": (0.3, 0.5, 0.5, 0.3),
+    "name_han": (1.0, 0.1, 0.5, 0.0),
+}
 
 SPLIT = "\x1e"
 DATE = r"(?:19|20)\d\d-\d\d-\d\d"
@@ -38,7 +55,7 @@ MAIL = re.compile(r"[A-Za-z0-9._%+-]+@((?:[A-Za-z0-9-]+\.)*[A-Za-z0-9-]+\.?[A-Za
 HIDDEN_MAIL = re.compile(
     r"[A-Za-z0-9._%+-]+ ?([\[({<] ?[A-Za-z@]{1,8} ?[\])}>]| at | arroba ) ?([A-Za-z0-9-]+(?:(\.| dot | punto | ?[\[({] ?[A-Za-z.]{1,6} ?[\])}] ?)[A-Za-z0-9-]+)(?:\3[A-Za-z0-9-]+)*)"
 )
-STREET = re.compile(r"(?<![\w-])(?:no\. ?)?\d{1,5}[A-Za-z]?,? (?:[NSEWnsew]\. ?)?([^\W\d_]{3,}) ([^\W\d_]{2,9})(?![^\W_])")
+STREET = re.compile(r"(?<![\w:.-])(?:no\. ?)?\d{1,5}[A-Za-z]?,? (?:[NSEWnsew]\. ?)?([^\W\d_]{3,}) ([^\W\d_]{2,9})(?![^\W_])")
 CALLE = re.compile(rf"(?i)(?<!\w)({'|'.join(map(re.escape, CALLES.split()))}) ?([^\W\d_]{{3,}}(?: [^\W\d_]{{3,}})?),? (?:n[.o]{{0,2}} ?)?\d{{1,5}}(?!\w)")
 LU = re.compile(r"([一-鿿]{1,4}?)(路|街|巷|弄|胡同|大道)(?:\d{1,5}弄)?\d{1,5}号(?![线口车站])")
 WORD = re.compile(r"[^\W\d_]+|#")
@@ -96,7 +113,7 @@ class Finder:
                 continue
             node = shape(s)
             plain = re.sub(r"[ .-]", "", s)
-            sure_phone = s[0] == "+" and 10 <= digits <= 15
+            sure_phone = s[0] == "+" and 10 <= digits <= 15 or node in PHONES
             sure_id = bool(re.fullmatch(r"\d{6}(?:19|20)\d\d(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])\d{3}[\dXx]", plain)) or node == "3d-2d-4d"
             if sure_id and node != "3d-2d-4d":
                 node = "national"
@@ -117,7 +134,7 @@ class Finder:
     def streets(self, text: str):
         for m in STREET.finditer(text):
             kind = m.group(2).lower()
-            if not (m.group(1)[0].isupper() or kind in STREETS or text[m.start()] in "nN"):
+            if not (m.group(1)[0].isupper() or kind in STREETS.split() or text[m.start()] in "nN"):
                 continue
             yield m.start(), m.end(), "address", kind, 1.0 if kind in STREETS.split() else -1.0, ["N" + m.group(1).lower(), *_around(text, m.start(), m.end())[:-1]]
         for m in CALLE.finditer(text):
@@ -170,39 +187,55 @@ def candidates(posts: DataFrame, names: list[tuple[str, str]]) -> DataFrame:
     return posts.select("id", F.col("text").cast("string")).mapInArrow(run, "id string, start int, end int, class string, node string, seed double, patterns array<string>")
 
 
-def score(found: DataFrame, rounds: int = 4, pattern_least: float = 0.6, node_least: float = 0.7) -> DataFrame:
-    """(class, node, patterns) of the accepted candidates.
+def score(found: DataFrame, rounds: int = 5, least: float = 0.6) -> DataFrame:
+    """(class, node, patterns, context, share) of the accepted candidates.
 
-    A pattern's score is the mean score of its instances' candidates, shrunk for few, and halved if it has met one instance
-    only. A candidate's context is as good as its best pattern; an instance without seed has the mean context of its candidates,
-    shrunk. Patterns in INTRODUCE count as reliable for Chinese names.
+    A pattern's score is the share of its candidates whose instance is a seed or already supported; instances sure to be, or supported
+    as, of another kind count against it, unknown ones by the class's weight (fully for words behind, which are mostly the next
+    sentence's); a pattern met only once or twice, with one instance, counts less. A
+    candidate's context is its best pattern. An instance's share is that of its candidates in reliable context. Patterns in
+    INTRODUCE are reliable from the start.
     """
-    ensure_checkpoint_dir(found.sparkSession)
+    spark = found.sparkSession
+    ensure_checkpoint_dir(spark)
+    rules = F.broadcast(spark.createDataFrame([(k, *v) for k, v in RULES.items()], "class string, w double, supports double, accepts double, floor double"))  # six rows
     seen = found.groupBy("class", "node", "patterns").agg(F.count("*").alias("n"), F.max("seed").alias("seed")).persist(StorageLevel.MEMORY_AND_DISK)
     edges = seen.select("class", "node", "n", F.explode("patterns").alias("pattern")).groupBy("class", "node", "pattern").agg(F.sum("n").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
-    nodes = seen.groupBy("class", "node").agg(F.greatest(F.max("seed"), F.lit(0.0)).alias("s"), F.max("seed").alias("seed"))
-    sure = (F.col("class") == "name_han") & F.substring("pattern", 3, 2).isin(*INTRODUCE)
-    scored = None
+    nodes = seen.groupBy("class", "node").agg(F.max("seed").alias("seed")).withColumn("share", F.greatest("seed", F.lit(0.0))).withColumn("good", F.col("seed") > 0)
+    sure = F.lit(False)
+    for kind, patterns in INTRODUCE.items():
+        sure = sure | (F.col("class") == kind) & F.col("pattern").isin(*patterns)
+    context = None
+    other = F.when(F.col("class") == "phone", "id_number").when(F.col("class") == "id_number", "phone")
     for _ in range(rounds):
-        rated = edges.join(nodes.select("class", "node", "s"), ["class", "node"]).groupBy("class", "pattern").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("s")).alias("good"), F.count("*").alias("kinds"))
-        rated = rated.select("class", "pattern", F.when(sure, 1.0).otherwise(F.col("good") / (F.col("n") + 0.5) * F.when(F.col("kinds") > 1, 1.0).when(F.col("pattern").startswith("S"), 1.0).otherwise(0.5)).alias("p"))
+        rival = nodes.where("good").select(other.alias("class"), "node", F.lit(True).alias("rival")).where("class is not null")
+        met = edges.join(nodes, ["class", "node"]).join(rival, ["class", "node"], "left").withColumn("against", (F.col("seed") == 0) | F.coalesce("rival", F.lit(False)) & ~F.col("good"))
+        rated = met.groupBy("class", "pattern").agg(
+            F.sum(F.when(F.col("good"), F.col("n")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("against"), F.col("n")).otherwise(0)).alias("neg"), F.sum("n").alias("n"), F.count_if("good").alias("kinds")
+        ).join(rules, "class")
+        unknown = F.when(F.col("pattern").startswith("R"), 1.0).otherwise(F.col("w")) * (F.col("n") - F.col("pos") - F.col("neg"))
+        share = F.col("pos") / (F.col("pos") + F.col("neg") + unknown + 0.3)
+        single = ~F.col("pattern").startswith("S") & (F.col("kinds") < 2) & (F.col("pos") < 3)
+        rated = rated.select("class", "pattern", F.when(sure, 1.0).otherwise(share * F.when(single, 0.85).otherwise(1.0)).alias("p"))
         context = seen.withColumn("pattern", F.explode_outer("patterns")).join(rated, ["class", "pattern"], "left").groupBy("class", "node", "patterns", "n", "seed").agg(F.coalesce(F.max("p"), F.lit(0.0)).alias("context"))
         context = context.checkpoint()
-        nodes = context.groupBy("class", "node").agg(F.max("seed").alias("seed"), (F.sum(F.col("n") * F.col("context")) / (F.sum("n") + 0.5)).alias("mean"))
-        nodes = nodes.select("class", "node", "seed", F.when(F.col("seed") >= 0, F.col("seed")).otherwise(F.col("mean")).alias("s"))
-        scored = context.join(nodes.select("class", "node", "s"), ["class", "node"])
-    blocked = F.col("seed") == 0
-    return scored.where(~blocked & ((F.col("context") >= pattern_least) | (F.col("s") >= node_least))).select("class", "node", "patterns", "context", "s")
+        firm = F.sum(F.when(F.col("context") >= least, F.col("n")).otherwise(0))
+        nodes = context.groupBy("class", "node").agg(F.max("seed").alias("seed"), firm.alias("firm"), (firm / F.sum("n")).alias("share")).join(rules, "class")
+        known = F.col("seed") >= 0
+        nodes = nodes.select("class", "node", "seed", F.when(known, F.col("seed")).otherwise(F.col("share")).alias("share"), F.when(known, F.col("seed") > 0).otherwise((F.col("firm") > 1) & (F.col("share") >= F.col("supports"))).alias("good"))
+    scored = context.join(nodes.select("class", "node", "share"), ["class", "node"]).join(rules, "class")
+    fits = (F.col("context") >= least) & (F.col("share") >= F.col("floor")) | (F.col("share") >= F.col("accepts"))
+    return scored.where((F.col("seed") != 0) & fits).select("class", "node", "patterns", "context", "share")
 
 
-def entities(posts: DataFrame, names: list[tuple[str, str]], rounds: int = 4) -> DataFrame:
+def entities(posts: DataFrame, names: list[tuple[str, str]], rounds: int = 5) -> DataFrame:
     """(id, start, end, kind) of what is accepted."""
     found = candidates(posts, names).persist(StorageLevel.MEMORY_AND_DISK)
     good = score(found, rounds)
     best = found.join(good, ["class", "node", "patterns"])
     kind = F.regexp_replace("class", "_han$", "")
     # a number that both contexts accept is of the better kind
-    out = best.select("id", "start", "end", kind.alias("kind"), (F.greatest("context", "s")).alias("sure"))
+    out = best.select("id", "start", "end", kind.alias("kind"), (F.greatest("context", "share")).alias("sure"))
     return out.groupBy("id", "start", "end").agg(F.max_by("kind", F.struct("sure", "kind")).alias("kind"))
 
 
