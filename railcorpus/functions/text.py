@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 TOKEN = r"[a-z]+(?:'[a-z]+)?"
 # Words that carry no topic.
@@ -36,7 +37,7 @@ def tokenize(text: Column, stop: bool = True) -> Column:
     return F.filter(words, lambda w: ~w.isin(*STOP_WORDS)) if stop else words
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unfold_text(text: pd.Series) -> pd.Series:
     """HTML entities resolved, compatibility forms, case folded."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", html.unescape(t)).casefold())
