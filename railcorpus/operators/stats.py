@@ -27,7 +27,7 @@ def signed_rank(rows: DataFrame, by: str, value: str, all_zero_p: float | None =
     live = live.withColumn("rank", F.rank().over(w) + (F.count("*").over(Window.partitionBy(by, "size")) - 1) / 2)
     live = live.withColumn("bit", F.row_number().over(Window.partitionBy(by).orderBy("size", "d")) - 1)
     group = live.groupBy(by).agg(F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0.0)).alias("statistic"), F.sum("rank").alias("total"), F.count("*").cast("int").alias("k"), F.array_sort(F.collect_list(F.struct("bit", "rank"))).alias("ranks"))
-    mask = group.withColumn("mask", F.explode(F.sequence(F.lit(0), F.shiftleft(F.lit(1), F.col("k")) - 1)))
+    mask = group.withColumn("mask", F.explode(F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.col("k")) - 1)))
     up = F.aggregate("ranks", F.lit(0.0), lambda s, r: s + r["rank"] * (F.call_function("shiftright", F.col("mask"), r["bit"]) % 2))
     far = F.abs(up - F.col("total") / 2) >= F.abs(F.col("statistic") - F.col("total") / 2) - 1e-12
     test = mask.groupBy(by).agg(F.max("statistic").alias("statistic"), F.avg(far.cast("double")).alias("p"))
