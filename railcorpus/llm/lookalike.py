@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from railcorpus.llm import textform
 from railcorpus.llm.arrows import chunks
@@ -14,7 +16,7 @@ def consistent_form(df: DataFrame, column: str, out: str) -> DataFrame:
     """df with `out`: the column's text in one consistent form. Null stays null; rows and other columns stay."""
     if out in df.columns:
         raise ValueError(f"column {out} exists")
-    schema = df.select("*", F.lit("").alias(out)).schema
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType(), True)])
     at = df.columns.index(column)
 
     def run(batches):
@@ -36,8 +38,8 @@ def form_keys(df: DataFrame, key: str, text: str) -> DataFrame:
             raw = textform.row_hashes(cps, offs)
             cps, offs = textform.unify(cps, offs)
             drawn = (cps != 32) & (cps != 9) & (cps != 10) & (cps != 13)
-            seen = textform.np.concatenate([[0], drawn.cumsum()])[offs]
-            keep = pa.array(valid & (textform.np.diff(seen) > 0))
+            seen = np.concatenate([[0], drawn.cumsum()])[offs]
+            keep = pa.array(valid & (np.diff(seen) > 0))
             columns = [batch.column(0), *(pa.array(h.view("i8")) for h in (textform.row_hashes(cps, offs), textform.row_hashes(cps, offs, 1), raw))]
             yield pa.RecordBatch.from_arrays(columns, ["key", "form_a", "form_b", "raw"]).filter(keep)
 

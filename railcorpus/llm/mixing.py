@@ -126,5 +126,5 @@ def shares(mixture: DataFrame, made: list[dict]) -> DataFrame:
     got = mixture.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("reached_tokens"), F.max("copies").alias("most_copies"))
     out = want.join(got, "source", "left").na.fill(0, ["reached_tokens", "most_copies"])
     total = got.agg(F.sum("reached_tokens").alias("all_tokens"))
-    out = out.crossJoin(F.broadcast(total)).withColumn("reached_share", F.coalesce(F.col("reached_tokens") / F.col("all_tokens"), F.lit(0.0)))  # one row
+    out = out.crossJoin(F.broadcast(total)).withColumn("reached_share", F.coalesce(F.try_divide("reached_tokens", "all_tokens"), F.lit(0.0)))  # one row
     return out.select("source", "target_share", "max_repeats", "documents", "held", "reached_tokens", "reached_share", "most_copies", "short")

@@ -64,7 +64,7 @@ def pack(items: DataFrame, capacity: int = 2048, group_items: int = 4096, seed:
 
 
 def fill_report(packed: DataFrame, capacity: int = 2048) -> DataFrame:
-    """(containers, least_containers, tokens, fill) of packed items."""
+    """(containers, least_containers, tokens, fill) of packed items; fill is null without containers."""
     used = packed.where("container is not null")
     out = used.agg(F.countDistinct("container").alias("containers"), F.coalesce(F.sum("size"), F.lit(0)).alias("tokens"))
-    return out.select("containers", F.ceil(F.col("tokens") / capacity).alias("least_containers"), "tokens", (F.col("tokens") / (F.col("containers") * capacity)).alias("fill"))
+    return out.select("containers", F.ceil(F.col("tokens") / capacity).alias("least_containers"), "tokens", F.try_divide("tokens", F.col("containers") * capacity).alias("fill"))
