@@ -118,7 +118,7 @@ def pcg64_completion(cells: DataFrame, seed: int = 7, least: int = 2) -> DataFra
         pdf = pdf.sort_values("term_id")
         count = pdf["cnt"].to_numpy()
         if count.sum() < least:
-            return pd.DataFrame({"doc_id": [], "term_id": [], "observed": [], "target": []})
+            return pdf.iloc[:0].assign(observed=0, target=0)[["doc_id", "term_id", "observed", "target"]]
         digest = hashlib.sha256(f"completion|{seed}|{pdf['doc_id'].iloc[0]}".encode()).digest()
         seen = np.random.Generator(np.random.PCG64(int.from_bytes(digest[:8], "little"))).binomial(count, 0.5)
         if seen.sum() == 0:

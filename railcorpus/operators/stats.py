@@ -82,7 +82,7 @@ def cluster_bootstrap(rows: DataFrame, by: str, item: str, value: str, resamples
     steps = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
     u = F.pmod(F.xxhash64(F.col(item), F.col("k"), F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
     draws = items.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("w", sum((u >= s).cast("int") for s in steps))
-    means = draws.groupBy(by, "k").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("c"))).alias("m"))
+    means = draws.groupBy(by, "k").agg(F.try_divide(F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("c"))).alias("m"))
     spread = means.groupBy(by).agg(F.expr("percentile(m, 0.025)").alias("low"), F.expr("percentile(m, 0.975)").alias("high"))
     return items.groupBy(by).agg(F.count("*").alias("items"), (F.sum("s") / F.sum("c")).alias("mean")).join(spread, by)
 

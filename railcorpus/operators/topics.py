@@ -179,7 +179,7 @@ def transport_search(p: DataFrame, cores: DataFrame, quota: int, margin: float =
             if best is None or key < best[0]:
                 best = (key, pick, delta)
         if best is None:
-            return pd.DataFrame({"topic": [], "term_id": [], "delta": []})
+            return pdf.iloc[:0].assign(delta=0.0)[["topic", "term_id", "delta"]]
         return pd.DataFrame({"topic": pdf["topic"].iloc[0], "term_id": core["term_id"].to_numpy()[list(best[1])], "delta": best[2]})
 
     kind = p.schema["topic"].dataType.simpleString()
