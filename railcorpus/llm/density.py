@@ -2,7 +2,8 @@
 
 Unit vectors are put into the cell of their nearest pivot (home) and read in the cells of their `probes` nearest pivots.
 A vector is compared with all that probe its home cell; every ordered pair meets at most once. Pivots are a bounded
-sample of the vectors, their number grows with the square root of the data. Cells with many vectors are cut into tiles
+sample of the vectors, their number grows with the fourth root of the data: fewer cells than a pure search would take, because
+each further probe sends a vector over the network once more, while comparisons are matrix products. Cells with many vectors are cut into tiles
 of bounded size, so no task holds a whole cell.
 
 Density is the number of neighbours at the threshold or above. Each vector points to its nearest denser neighbour;
@@ -60,7 +61,7 @@ class Blocks:
     def __init__(self, base: DataFrame, dims: int, probes: int, most_pivots: int, tile: int) -> None:
         n = base.count()
         self.dims, self.rows = dims, n
-        wanted = int(min(most_pivots, max(8, 2 ** np.round(np.log2(max(n, 1) ** 0.5)))))
+        wanted = int(min(most_pivots, max(8, 2 ** np.round(np.log2(8 * max(n, 1) ** 0.25)))))
         sample = base.orderBy(F.xxhash64("key"), "key").limit(wanted).collect()
         self.pivots = np.stack([np.frombuffer(r["vec"], "<f4") for r in sample]) if sample else np.zeros((1, dims), np.float32)
         self.probes = min(probes, len(self.pivots))
@@ -119,26 +120,36 @@ class Blocks:
         return rows.select("key", "rho", "vec").mapInArrow(run, "tile long, blob binary")
 
 
-def _neighbours(e: np.ndarray, threshold: float):
+def _sides(table: pa.Table, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Home and read rows of a tile, the latter by key."""
+    e = np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column("blob")])
+    read = e[e["home"] == 0]
+    return e[e["home"] == 1], read[np.argsort(read["key"])]
+
+
+def _neighbours(home: np.ndarray, read: np.ndarray, threshold: float):
     """Of each home vector of a tile with neighbours: its place in the home rows, and the places of the neighbours."""
-    home, read = e[e["home"] == 1], e[e["home"] == 0]
     x, y = np.ascontiguousarray(home["vec"]), np.ascontiguousarray(read["vec"])
+    if not len(x) or not len(y):
+        return
+    own = np.minimum(np.searchsorted(read["key"], home["key"]), len(read) - 1)
+    here = np.flatnonzero(read["key"][own] == home["key"])
     for at in range(0, len(home), STRIP):
         hit = (x[at : at + STRIP] @ y.T) >= threshold
-        hit &= home["key"][at : at + STRIP, None] != read["key"][None, :]
+        self_ = here[(here >= at) & (here < at + STRIP)]
+        hit[self_ - at, own[self_]] = False
         for i in np.flatnonzero(hit.any(1)):
             yield at + i, np.flatnonzero(hit[i])
 
 
 def count_tile(table: pa.Table, kind: np.dtype, threshold: float) -> pa.Table:
     """(a, b, link): number b of neighbours of home vector a; or a link from a to the first member b of its part in this tile."""
-    e = np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column("blob")])
-    home, read = e[e["home"] == 1], e[e["home"] == 0]
-    keys = np.unique(e["key"])
+    home, read = _sides(table, kind)
+    keys = np.unique(np.concatenate([home["key"], read["key"]]))
     of_read, of_home = np.searchsorted(keys, read["key"]), np.searchsorted(keys, home["key"])
     label = np.arange(len(keys))
     count = np.zeros(len(home), np.int64)
-    for i, near in _neighbours(e, threshold):
+    for i, near in _neighbours(home, read, threshold):
         count[i] = len(near)
         seen = label[of_read[near]]
         low, high = min(seen.min(), label[of_home[i]]), max(seen.max(), label[of_home[i]])
@@ -153,10 +164,9 @@ def count_tile(table: pa.Table, kind: np.dtype, threshold: float) -> pa.Table:
 
 def point_tile(table: pa.Table, kind: np.dtype, threshold: float) -> pa.Table:
     """(node, to, similarity): the nearest denser neighbour in this tile of each home vector that has one."""
-    e = np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column("blob")])
-    home, read = e[e["home"] == 1], e[e["home"] == 0]
+    home, read = _sides(table, kind)
     node, to, how = [], [], []
-    for i, near in _neighbours(e, threshold):
+    for i, near in _neighbours(home, read, threshold):
         rho, key = read["rho"][near], read["key"][near]
         near = near[(rho > home["rho"][i]) | (rho == home["rho"][i]) & (key < home["key"][i])]
         if len(near):
@@ -168,7 +178,7 @@ def point_tile(table: pa.Table, kind: np.dtype, threshold: float) -> pa.Table:
     return pa.table({"node": pa.array(node, pa.int64()), "to": pa.array(to, pa.int64()), "similarity": pa.array(how, pa.float64())})
 
 
-def density_peaks(df: DataFrame, key: str, vector: str, threshold: float = 0.8, dims: int = 64, probes: int = 24, most_pivots: int = 4096, tile: int = 8192) -> DataFrame:
+def density_peaks(df: DataFrame, key: str, vector: str, threshold: float = 0.8, dims: int = 64, probes: int = 12, most_pivots: int = 4096, tile: int = 8192) -> DataFrame:
     """(key, density, peak, group_key) of every usable vector with a neighbour at the threshold or above.
 
     group_key is the smallest key of the group, peak the densest vector that the pointers lead to. An empty table gives no rows.
