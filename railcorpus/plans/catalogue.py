@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from railcorpus.plans import corpus_queries, stat_queries, topic_queries  # noqa: F401  they fill the registry
+from railcorpus.plans import corpus_queries, review_queries, stat_queries, topic_queries  # noqa: F401  they fill the registry
 from railcorpus.plans.registry import QUERIES, SQL
 
 
