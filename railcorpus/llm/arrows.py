@@ -10,12 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SLICE = 1 << 16
+CHUNK_BYTES = 16 << 20
 
 
 def chunks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Slices of at most `rows` rows, fewer where rows are long."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        step = max(1, min(rows, rows * CHUNK_BYTES // max(batch.nbytes, 1) if batch.nbytes > CHUNK_BYTES else rows))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
 
 
 def both_set(a: np.ndarray, b: np.ndarray, _slice: int) -> np.ndarray:

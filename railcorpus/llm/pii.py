@@ -51,9 +51,9 @@ DATE = r"(?:19|20)\d\d-\d\d-\d\d"
 NUMBER = re.compile(
     rf"(?<![A-Za-z0-9_/])(?!{DATE})(?:\+?\(?\d{{1,24}}\)?(?:(?:[ .-]|(?<=\)) ?)(?!{DATE})\(?\d{{1,24}}\)?){{0,5}}[xX]?|[A-Za-z]-?\d{{7,8}}-?[A-Za-z]?|\d{{8}}-?[A-Za-z])(?![A-Za-z0-9_])"
 )
-MAIL = re.compile(r"[A-Za-z0-9._%+-]+@((?:[A-Za-z0-9-]+\.)*[A-Za-z0-9-]+\.?[A-Za-z]{2,})")
+MAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@((?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})")
 HIDDEN_MAIL = re.compile(
-    r"[A-Za-z0-9._%+-]+ ?([\[({<] ?[A-Za-z@]{1,8} ?[\])}>]| at | arroba ) ?([A-Za-z0-9-]+(?:(\.| dot | punto | ?[\[({] ?[A-Za-z.]{1,6} ?[\])}] ?)[A-Za-z0-9-]+)(?:\3[A-Za-z0-9-]+)*)"
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+ ?([\[({<] ?[A-Za-z@]{1,8} ?[\])}>]| at | arroba ) ?([A-Za-z0-9-]+(?:(\.| dot | punto | ?[\[({] ?[A-Za-z.]{1,6} ?[\])}] ?)[A-Za-z0-9-]+)(?:\3[A-Za-z0-9-]+)*)"
 )
 STREET = re.compile(r"(?<![\w:.-])(?:no\. ?)?\d{1,5}[A-Za-z]?,? (?:[NSEWnsew]\. ?)?([^\W\d_]{3,}) ([^\W\d_]{2,9})(?![^\W_])")
 CALLE = re.compile(rf"(?i)(?<!\w)({'|'.join(map(re.escape, CALLES.split()))}) ?([^\W\d_]{{3,}}(?: [^\W\d_]{{3,}})?),? (?:n[.o]{{0,2}} ?)?\d{{1,5}}(?!\w)")

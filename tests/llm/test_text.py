@@ -113,7 +113,7 @@ def pii_posts(spark):
     rows += [("m1", "write to anna-ash@mail.example now"), ("m2", "write to anna (at) mail dot example now"), ("m3", "＠user_1 hi")]
     rows += [("a1", "Send it to 12b Quarry Street, Flat 2"), ("a2", "10 minutes on Quarry Street alone"), ("a3", "住云墨街233号5栋"), ("a4", "从22号口出来")]
     rows += [("z1", "我叫周澈。"), ("z2", "周一又晚点了")]
-    rows += [("x1", None), ("x2", ""), ("x3", "   "), ("x4", "a " * 50_000)]
+    rows += [("x1", None), ("x2", ""), ("x3", "   "), ("x4", "a " * 50_000), ("x5", "a" * 200_000), ("x6", "1" * 200_000), ("x7", "中" * 100_000), ("x8", "a.b-" * 50_000)]
     return spark.createDataFrame(rows + rows[:1], "id string, text string")
 
 
