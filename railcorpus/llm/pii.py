@@ -163,6 +163,7 @@ def _joined(column):
     code point of the string, its place in the source."""
     cps, offs, _ = textform.codepoints(column)
     form, new = textform.unify(cps, offs)
+    form = np.where((form >= 0x2012) & (form <= 0x2013), np.uint32(0x2D), form)  # figure and short dashes inside numbers
     flat = np.insert(form, new[1:], ord(SPLIT))
     return flat.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass"), new[:-1] + np.arange(len(new) - 1)
 
