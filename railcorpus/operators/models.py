@@ -12,9 +12,8 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import LDA, KMeans
-from pyspark.ml.feature import PCA, Normalizer
+from pyspark.ml.feature import PCA, CountVectorizerModel, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,13 +45,10 @@ def matched_stability(tops: list[list[set]]) -> tuple[float, float]:
 
 def vectors(cells: DataFrame, size: int) -> DataFrame:
     """(doc_id, features) sparse count vectors; term_id is the index, below size."""
-    pairs = cells.where(F.col("term_id") < size).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("term_id", F.col("cnt").cast("double")))).alias("p"))
-
-    @F.udf(VectorUDT())
-    def pack(p):
-        return SparseVector(size, [x[0] for x in p], [x[1] for x in p])
-
-    return pairs.select("doc_id", pack("p").alias("features"))
+    pairs = cells.where(F.col("term_id") < size).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("term_id", "cnt"))).alias("p"))
+    words = F.flatten(F.transform("p", lambda x: F.array_repeat(x["term_id"].cast("string"), x["cnt"].cast("int"))))
+    model = CountVectorizerModel.from_vocabulary([str(i) for i in range(size)], inputCol="words", outputCol="features")
+    return model.transform(pairs.select("doc_id", words.alias("words"))).select("doc_id", "features")
 
 
 def fit_lda(cells: DataFrame, size: int, topics: int, seed: int, rounds: int = 10) -> tuple[DataFrame, DataFrame]:
