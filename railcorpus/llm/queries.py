@@ -125,12 +125,11 @@ def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack(_sized(spark, sf_dir).select("id", "size"))
-    return packed.where("pieces > 1 and piece = 0").select(F.col("id").alias("doc_id"))
+    return p8_containers(spark, sf_dir).where("pieces > 1 and piece = 0").select(F.col("id").alias("doc_id"))
 
 
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_sized(spark, sf_dir).select("id", "size"))
+    return packing.pack(_sized(spark, sf_dir).select("id", "size").persist())  # counted, then packed
 
 
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
