@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ def members(posts: DataFrame, width: int, least: int, wanted: DataFrame | None,
             part = batch.take(pa.array(s.rows))
             text = part.column(1)
             if bloom is not None:
-                text = pa.compute.if_else(pa.array(bloom.has(cells.value, sig)), text, pa.scalar(None, pa.string()))
+                text = pc.if_else(pa.array(bloom.has(cells.value, sig)), text, pa.scalar(None, pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array(sig.view("i8")), part.column(0), text, *part.columns[2:]], ["sig", "id", "text", *extra])
 
     schema = "sig long, id string, text string" + "".join(f", {f.name} {f.dataType.simpleString()}" for f in fields)

@@ -53,7 +53,7 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = lookalike.same_look_pairs(_forms(spark, sf_dir), ["field"])
     number = F.col("field") == "vocabulary"
-    first = F.when(number, F.col("key_a").cast("long") < F.col("key_b").cast("long")).otherwise(F.col("key_a") < F.col("key_b"))
+    first = F.when(number, F.col("key_a").try_cast("long") < F.col("key_b").try_cast("long")).otherwise(F.col("key_a") < F.col("key_b"))
     return pairs.where(first).select("field", "key_a", "key_b")
 
 
