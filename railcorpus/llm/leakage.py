@@ -109,21 +109,40 @@ def overlaps(
     return settle(pairs, both, threshold, width, least, ("is_train", *extra))
 
 
-def cross_pairs(near: DataFrame, held: DataFrame, most_copies: int = 1000) -> DataFrame:
-    """(post_a: train, post_b: evaluation, the members' other columns of post_b) of near-same sets and of copies.
+def linked(near: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links of near-same sets and of sets that both sides have, between records of equal sets.
 
-    Of a set with more than most_copies copies on a side, only the smallest id stands for them in other pairs; every copy
-    is still paired with the smallest id of the other side of its own set.
+    Returns (sets_a: train, sets_b: evaluation), each once, and the records (id, is_train, sets, *extra) with a link. A record
+    is known by all its sets, so one with several texts is linked once with another.
     """
-    size = held.groupBy("sig", "is_train").agg(F.count("*").alias("copies"), F.min("id").alias("first"))
-    held = held.join(size, ["sig", "is_train"]).withColumn("stands", (F.col("copies") <= most_copies) | (F.col("id") == F.col("first")))
-    links = near.select(F.explode(F.array(F.struct(F.col("sig_a").alias("x"), F.col("sig_b").alias("y")), F.struct(F.col("sig_b").alias("x"), F.col("sig_a").alias("y")))).alias("l"))
-    links = links.select("l.x", "l.y")
-    copies = size.groupBy("sig").agg(F.count("*").alias("sides")).where("sides = 2").select(F.col("sig").alias("x"), F.col("sig").alias("y"))
-    links = links.unionByName(copies)
-    a = held.where("is_train").select(F.col("sig").alias("x"), F.col("id").alias("post_a"), F.col("stands").alias("stands_a"), (F.col("id") == F.col("first")).alias("first_a"))
-    rest = [c for c in held.columns if c not in ("sig", "id", "is_train", "copies", "first", "stands")]
-    b = held.where("not is_train").select(F.col("sig").alias("y"), F.col("id").alias("post_b"), F.col("stands").alias("stands_b"), (F.col("id") == F.col("first")).alias("first_b"), *rest)
-    out = links.join(a, "x").join(b, "y")
-    out = out.where(F.expr("stands_a and stands_b or x = y and (first_a or first_b)"))
-    return out.select("post_a", "post_b", *rest).dropDuplicates(["post_a", "post_b"])
+    x, y = F.col("sig_a"), F.col("sig_b")
+    both = near.select(F.explode(F.array(F.struct(x.alias("x"), y.alias("y")), F.struct(y.alias("x"), x.alias("y")))).alias("l")).select("l.x", "l.y")
+    equal = held.groupBy("sig").agg(F.max("is_train").alias("any"), F.min("is_train").alias("all")).where("any and not all")
+    links = both.unionByName(equal.select(F.col("sig").alias("x"), F.col("sig").alias("y")))
+    wanted = links.select(F.explode(F.array("x", "y")).alias("sig")).distinct()
+    extra = [c for c in held.columns if c not in ("sig", "id", "is_train")]
+    least = [F.min(F.struct(*extra)).alias("extra")] if extra else []
+    records = held.join(wanted, "sig", "left_semi").groupBy("id", "is_train").agg(F.array_sort(F.collect_set("sig")).alias("sets"), *least)
+    records = records.select("id", "is_train", "sets", *[f"extra.{c}" for c in extra])
+    kinds = records.select("is_train", "sets").distinct().withColumn("sig", F.explode("sets"))
+    a = kinds.where("is_train").select(F.col("sig").alias("x"), F.col("sets").alias("sets_a"))
+    b = kinds.where("not is_train").select(F.col("sig").alias("y"), F.col("sets").alias("sets_b"))
+    return links.join(a, "x").join(b, "y").select("sets_a", "sets_b").distinct(), records
+
+
+def cross_pairs(near: DataFrame, held: DataFrame) -> DataFrame:
+    """(post_a: train, post_b: evaluation, the members' other columns of post_b) of near-same sets and of copies: every pair."""
+    kinds, records = linked(near, held)
+    extra = [c for c in records.columns if c not in ("id", "is_train", "sets")]
+    a = records.where("is_train").select(F.col("sets").alias("sets_a"), F.col("id").alias("post_a"))
+    b = records.where("not is_train").select(F.col("sets").alias("sets_b"), F.col("id").alias("post_b"), *extra)
+    return kinds.join(a, "sets_a").join(b, "sets_b").select("post_a", "post_b", *extra)
+
+
+def overlap_counts(near: DataFrame, held: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """(*by, pairs, posts) of cross_pairs, by columns of the evaluation record: copies are multiplied, pairs are not listed."""
+    kinds, records = linked(near, held)
+    a = records.where("is_train").groupBy(F.col("sets").alias("sets_a")).agg(F.count("*").alias("n_a"))
+    b = records.where("not is_train").groupBy(F.col("sets").alias("sets_b"), *by).agg(F.count("*").alias("n_b"))
+    met = kinds.join(a, "sets_a").groupBy("sets_b").agg(F.sum("n_a").alias("n_a")).join(b, "sets_b")
+    return met.groupBy(*by).agg(F.sum(F.col("n_a") * F.col("n_b")).alias("pairs"), F.sum("n_b").alias("posts"))

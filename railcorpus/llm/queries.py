@@ -67,19 +67,19 @@ def p3_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.consistent_form(posts(spark, sf_dir, "train").dropDuplicates(["id"]), "text", "form").select("id", "form")
 
 
-def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _overlaps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     train = posts(spark, sf_dir, "train", extra=("split", "source"))
     evaluation = posts(spark, sf_dir, "validation", "test", extra=("split", "source"))
-    return leakage.cross_pairs(*leakage.overlaps(train, evaluation, **NEAR, extra=("split", "source")))
+    return leakage.overlaps(train, evaluation, **NEAR, extra=("split", "source"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _overlaps(spark, sf_dir).select("post_a", "post_b")
+    return leakage.cross_pairs(*_overlaps(spark, sf_dir)).select("post_a", "post_b")
 
 
 def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlaps by split and source, beside what was once claimed."""
-    found = _overlaps(spark, sf_dir).groupBy("split", "source").agg(F.count("*").alias("pairs"), F.countDistinct("post_b").alias("posts"))
+    found = leakage.overlap_counts(*_overlaps(spark, sf_dir), ("split", "source"))
     claimed = table(spark, sf_dir, "leakage_report").select(F.col("split").alias("s"), F.col("source").alias("o"), "train_overlap", "status")
     out = found.join(claimed, F.col("split").eqNullSafe(F.col("s")) & F.col("source").eqNullSafe(F.col("o")), "full")
     out = out.select(F.coalesce("split", "s").alias("split"), F.coalesce("source", "o").alias("source"), "pairs", "posts", "train_overlap", "status")

@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -88,6 +89,23 @@ def test_overlaps_across_splits(spark):
         assert leakage.cross_pairs(*leakage.overlaps(a, b, **NEAR, extra=("split",))).count() == 0
 
 
+def test_overlaps_of_many_copies(spark):
+    """More than 1,000 copies on a side, near-same and equal; t2 has two texts that both link it to the copies."""
+    base = " ".join(WORDS[:40])
+    edit, other = base.replace("w39", "x"), base.replace("w0 ", "y ")
+    rows = [("t1", base, "train", "p"), ("t2", base, "train", "p"), ("t2", other, "train", "p"), ("t3", edit, "train", "p")]
+    rows += [(f"v{i:04d}", edit, ("test", "validation")[i % 2], ("q", None, "r")[i % 3]) for i in range(1005)] + [("e", base, "test", "q")]
+    df = spark.createDataFrame(rows, "id string, text string, split string, source string")
+    sides = df.where("split = 'train'"), df.where("split <> 'train'")
+    near, held = leakage.overlaps(*sides, **NEAR, extra=("split", "source"))
+    pairs = leakage.cross_pairs(near, held).collect()
+    found = Counter((r.post_a, r.post_b) for r in pairs)
+    assert found == Counter((a, r[0]) for a in ("t1", "t2", "t3") for r in rows[4:])
+    want = {k: (n, n // 3) for k, n in Counter((r.split, r.source) for r in pairs).items()}
+    got = leakage.overlap_counts(near, held, ("split", "source")).collect()
+    assert len(got) == 6 and {(r.split, r.source): (r.pairs, r.posts) for r in got} == want
+
+
 def test_near_pairs_of_nothing(spark):
     for rows in ([], [("a", None)], [("a", "one two")]):
         df = spark.createDataFrame(rows, "id string, text string")
