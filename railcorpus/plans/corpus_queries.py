@@ -174,17 +174,17 @@ _EDGES = """, prs AS (SELECT a.term_id AS src, b.term_id AS dst, COUNT(*) AS j F
     raw AS (SELECT src, dst, LEAST(GREATEST(LN((j / n) / ((x.df / n) * (y.df / n))) / -LN(j / n), 0), 1) * POW(j / n, 1.25) AS w FROM prs JOIN head x ON x.term_id = src JOIN head y ON y.term_id = dst CROSS JOIN nn WHERE x.df >= 2 AND y.df >= 2 AND j < n),
     edges AS (SELECT src, dst, w / (SELECT MAX(w) FROM raw) AS w FROM raw WHERE w > 0)"""
 _WAYS = ", ways AS (SELECT src, dst, w FROM edges UNION ALL SELECT dst, src, w FROM edges)"
-TERMS = 300
+TERMS = 300  # of the SQL; the queries take all terms
 
 
 @query(f"WITH {head(TERMS)}{_EDGES} SELECT src, dst, ROUND(w, 9) AS w FROM edges")
 def npmi_graph(spark, sf):
-    return G.npmi_graph(head_cells(spark, sf, TERMS)).withColumn("w", F.round("w", 9))
+    return G.npmi_graph(fit_cells(spark, sf)).withColumn("w", F.round("w", 9))
 
 
 @query(f"WITH {head(TERMS)}{_EDGES}{_WAYS} SELECT src AS term_id, ROUND(SUM(w), 8) AS degree FROM ways GROUP BY 1")
 def graph_degree(spark, sf):
-    return G.degree(G.npmi_graph(head_cells(spark, sf, TERMS))).withColumn("degree", F.round("degree", 8))
+    return G.degree(G.npmi_graph(fit_cells(spark, sf))).withColumn("degree", F.round("degree", 8))
 
 
 @query(f"WITH {head(TERMS)}{_EDGES}, rd AS (SELECT src, dst, ROUND(w, 9) AS w FROM edges), ways AS (SELECT src, dst, w FROM rd UNION ALL SELECT dst, src, w FROM rd), k AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY src ORDER BY w DESC, dst) AS INT) AS rank FROM ways) SELECT src, rank, dst, w FROM k WHERE rank <= 5")

@@ -8,7 +8,7 @@ from railcorpus.operators import corpus as C
 from railcorpus.operators import graph as G
 from railcorpus.operators import review as R
 from railcorpus.operators import topics as T
-from railcorpus.plans.corpus_queries import _EDGES, TERMS, fit_cells, head_cells
+from railcorpus.plans.corpus_queries import _EDGES, TERMS, fit_cells
 from railcorpus.plans.registry import query
 from railcorpus.plans.sqlbase import CLASSES, DOCS, FIT, HASH, METRICS, PRIORS, head
 from railcorpus.plans.stat_queries import _RATERS, metrics, raters
@@ -81,7 +81,7 @@ def context_input(spark, sf):
     SELECT ROUND(association, 9) AS association, ROUND(pairs / (k * (k - 1) / 2), 9) AS overlap, ROUND(excess, 9) AS excess, ROUND(unsupported, 9) AS unsupported FROM ag CROSS JOIN wo""")
 def lexical_terms(spark, sf):
     m = top(spark, sf).select("topic", "term_id", (1 / F.col("rank")).alias("m")).persist()
-    out = R.lexical_terms(m, G.npmi_graph(head_cells(spark, sf, TERMS)))
+    out = R.lexical_terms(m, G.npmi_graph(fit_cells(spark, sf)))
     return out.select(*[F.round(c, 9).alias(c) for c in out.columns])
 
 

@@ -9,7 +9,7 @@ from railcorpus.operators import corpus as C
 from railcorpus.operators import graph as G
 from railcorpus.operators import priors as P
 from railcorpus.operators import topics as T
-from railcorpus.plans.corpus_queries import TERMS, fit_cells, head_cells
+from railcorpus.plans.corpus_queries import fit_cells
 from railcorpus.plans.registry import query
 from railcorpus.plans.sqlbase import CLASSES, DOCS, HASH, PRIORS, SPLIT
 from railcorpus.session import table
@@ -312,13 +312,13 @@ def rank_scores(spark, sf):
 def soft_top_k(spark, sf):
     """Soft membership of each city's ten leading terms, and the graph's association under it."""
     m = T.soft_top_k(T.rank_scores(beta(spark, sf)), 10).persist()
-    a = T.association(m, G.npmi_graph(head_cells(spark, sf, TERMS)))
+    a = T.association(m, G.npmi_graph(fit_cells(spark, sf)))
     return m.groupBy("topic").agg(F.round(F.sum("m"), 6).alias("mass")).join(a.select("topic", F.round("association", 9).alias("association")), "topic")
 
 
 @query(f"WITH {CLASSES}, sp AS (SELECT topic, AVG(CASE WHEN df >= 3 THEN 1.0 ELSE 0.0 END) AS s FROM top LEFT JOIN (SELECT term_id, COUNT(*) AS df FROM fit GROUP BY 1) USING (term_id) GROUP BY 1) SELECT topic, ROUND(s, 9) AS df_share FROM sp")
 def top_word_support(spark, sf):
-    out = G.top_word_support(top(spark, sf), G.npmi_graph(head_cells(spark, sf, TERMS)), C.document_frequency(fit_cells(spark, sf)), 3)
+    out = G.top_word_support(top(spark, sf), G.npmi_graph(fit_cells(spark, sf)), C.document_frequency(fit_cells(spark, sf)), 3)
     return out.select("topic", F.round("df_share", 9).alias("df_share"))
 
 

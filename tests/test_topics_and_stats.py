@@ -1,6 +1,9 @@
 """Topic, prior, statistic and model operators on hand values and invariants."""
 
 import math
+import random
+from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -10,6 +13,7 @@ from railcorpus.operators import models as M
 from railcorpus.operators import priors as P
 from railcorpus.operators import stats as S
 from railcorpus.operators import topics as T
+from railcorpus.plans import corpus_queries
 from tests.test_text_and_corpus import COUNTS, cells_of
 
 
@@ -228,3 +232,22 @@ def test_nearest_centroid(spark):
     v = spark.createDataFrame([(1, [0.0, 1.0]), (2, [5.0, 5.0]), (3, None), (4, [1.0, 0.0])], "k int, e array<float>")
     c = spark.createDataFrame([(0, [0.0, 0.0]), (1, [4.0, 4.0]), (2, None), (3, [0.0, 0.0])], "l int, c array<double>")
     assert {r.k: r.l for r in M.nearest_centroid(v, "k", "e", c, "l", "c").collect()} == {1: 0, 2: 1, 4: 0}
+
+
+def test_graph_queries_take_all_terms(spark, tmp_path):
+    """340 terms, more than the 300 that the queries once kept, against brute force."""
+    rng = random.Random(6)
+    docs = [{rng.choice((rng.randrange(20), rng.randrange(340))) for _ in range(6)} for _ in range(700)]
+    rows = [("train", f"d{i}", t, 1) for i, d in enumerate(docs) for t in d] + [("test", "e", 1, 1), ("train", "d0", 999, 1)]
+    spark.createDataFrame(rows, "split string, doc_id string, term_id int, cnt long").write.parquet(f"{tmp_path}/counts.parquet")
+    spark.createDataFrame([(t, f"t{t}") for t in range(340)], "term_id int, term string").write.parquet(f"{tmp_path}/vocabulary.parquet")
+    n, df = len(docs), Counter(t for d in docs for t in d)
+    joint = Counter(p for d in docs for p in combinations(sorted(d), 2))
+    w = {(a, b): min(max(math.log(j * n / (df[a] * df[b])) / -math.log(j / n), 0), 1) * (j / n) ** 1.25 for (a, b), j in joint.items() if min(df[a], df[b]) >= 2}
+    w = {k: x / max(w.values()) for k, x in w.items() if x > 0}
+    got = {(r.src, r.dst): r.w for r in corpus_queries.npmi_graph(spark, str(tmp_path)).collect()}
+    assert len({t for k in w for t in k}) > 300 and got == pytest.approx(w, abs=1e-8)
+    degree = {t: sum(x for k, x in w.items() if t in k) for t in {t for k in w for t in k}}
+    assert {r.term_id: r.degree for r in corpus_queries.graph_degree(spark, str(tmp_path)).collect()} == pytest.approx(degree, abs=1e-7)
+    top = Counter(r.src for r in corpus_queries.top_edges(spark, str(tmp_path)).collect())
+    assert top == {t: min(5, sum(t in k for k in w)) for t in degree}
