@@ -61,8 +61,7 @@ def case_grid_audit(spark, sf):
 
 @query("SELECT term, lang, CASE term WHEN 'agency' THEN 'en' WHEN 'route' THEN 'en' WHEN '公交' THEN 'zh' END AS expected, COALESCE(lang = CASE term WHEN 'agency' THEN 'en' WHEN 'route' THEN 'en' WHEN '公交' THEN 'zh' END, FALSE) AS same FROM vocabulary WHERE term_id < 60")
 def translation_check(spark, sf):
-    rows = table(spark, sf, "vocabulary").where("term_id < 60")  # the rows that the fixed mapping is about
-    return R.mapping_check(rows, "term", "lang", {"agency": "en", "route": "en", "公交": "zh"})
+    return R.mapping_check(table(spark, sf, "vocabulary"), "term", "lang", {"agency": "en", "route": "en", "公交": "zh"})
 
 
 @query(f"WITH {CLASSES}, ci AS (SELECT doc_id, term_id AS index, cnt FROM fit UNION ALL SELECT f.doc_id, top.term_id + 1000000, CAST(11 - rank AS BIGINT) FROM (SELECT DISTINCT doc_id FROM fit) f JOIN docs USING (doc_id) JOIN top ON top.topic = docs.city) SELECT doc_id, COUNT(*) AS cells, CAST(SUM(cnt) AS BIGINT) AS mass, COUNT(*) FILTER (index >= 1000000) AS context FROM ci GROUP BY 1")

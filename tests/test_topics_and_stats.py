@@ -13,7 +13,7 @@ from railcorpus.operators import models as M
 from railcorpus.operators import priors as P
 from railcorpus.operators import stats as S
 from railcorpus.operators import topics as T
-from railcorpus.plans import corpus_queries
+from railcorpus.plans import corpus_queries, review_queries
 from tests.test_text_and_corpus import COUNTS, cells_of
 
 
@@ -251,3 +251,10 @@ def test_graph_queries_take_all_terms(spark, tmp_path):
     assert {r.term_id: r.degree for r in corpus_queries.graph_degree(spark, str(tmp_path)).collect()} == pytest.approx(degree, abs=1e-7)
     top = Counter(r.src for r in corpus_queries.top_edges(spark, str(tmp_path)).collect())
     assert top == {t: min(5, sum(t in k for k in w)) for t in degree}
+
+
+def test_translation_check_takes_the_whole_vocabulary(spark, tmp_path):
+    rows = [(0, "agency", "en"), (59, "stop", "en"), (166, "公交", "zh"), (167, "route", "zh"), (None, "line", None)]
+    spark.createDataFrame(rows, "term_id int, term string, lang string").write.parquet(f"{tmp_path}/vocabulary.parquet")
+    got = {r.term: (r.expected, r.same) for r in review_queries.translation_check(spark, str(tmp_path)).collect()}
+    assert got == {"agency": ("en", True), "stop": (None, False), "公交": ("zh", True), "route": ("en", False), "line": (None, False)}
