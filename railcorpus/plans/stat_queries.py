@@ -25,12 +25,6 @@ def metrics(spark, sf):
     return rows.agg(F.avg("l_extendedprice").alias("price"), F.avg("l_discount").alias("discount"), F.avg("l_quantity").alias("quantity"))
 
 
-def first_months(spark, sf, n):
-    m = metrics(spark, sf)
-    keep = m.select("seed").distinct().orderBy("seed").limit(n)
-    return m.join(F.broadcast(keep), "seed", "left_semi")  # n rows
-
-
 _FIRST = METRICS + ", ten AS (SELECT DISTINCT seed FROM mon ORDER BY seed LIMIT 10), m10 AS (SELECT mon.* FROM mon JOIN ten USING (seed)), ef AS (SELECT a.seed, UNNEST(['A-N', 'A-R', 'N-R']) AS contrast, UNNEST([a.price - n.price, a.price - r.price, n.price - r.price]) AS d FROM m10 a JOIN m10 n ON n.seed = a.seed AND n.variant = 'N' JOIN m10 r ON r.seed = a.seed AND r.variant = 'R' WHERE a.variant = 'A')"
 _RANK = _FIRST + """, sz AS (SELECT contrast, d, ABS(d) AS a FROM ef WHERE d <> 0), rk AS (SELECT contrast, d, RANK() OVER (PARTITION BY contrast ORDER BY a) + (COUNT(*) OVER (PARTITION BY contrast, a) - 1) / 2 AS r, ROW_NUMBER() OVER (PARTITION BY contrast ORDER BY a, d) - 1 AS bit FROM sz),
     tt AS (SELECT contrast, SUM(CASE WHEN d > 0 THEN r ELSE 0 END) AS plus, SUM(r) AS total, COUNT(*) AS n FROM rk GROUP BY 1), mk AS (SELECT contrast, UNNEST(range(0, CAST(1 AS BIGINT) << CAST(n AS INT))) AS mask FROM tt),
@@ -39,7 +33,7 @@ _RANK = _FIRST + """, sz AS (SELECT contrast, d, ABS(d) AS a FROM ef WHERE d <>
 
 
 def effects(spark, sf):
-    m = first_months(spark, sf, 10).persist()
+    m = metrics(spark, sf).persist()
     out = None
     for a, b in (("A", "N"), ("A", "R"), ("N", "R")):
         e = S.paired_effects(m, "seed", "variant", "price", a, b, True).select(F.lit(f"{a}-{b}").alias("contrast"), "seed", F.col("effect").alias("d"))

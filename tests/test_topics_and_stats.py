@@ -13,7 +13,7 @@ from railcorpus.operators import models as M
 from railcorpus.operators import priors as P
 from railcorpus.operators import stats as S
 from railcorpus.operators import topics as T
-from railcorpus.plans import corpus_queries, review_queries
+from railcorpus.plans import corpus_queries, review_queries, stat_queries
 from tests.test_text_and_corpus import COUNTS, cells_of
 
 
@@ -258,3 +258,28 @@ def test_translation_check_takes_the_whole_vocabulary(spark, tmp_path):
     spark.createDataFrame(rows, "term_id int, term string, lang string").write.parquet(f"{tmp_path}/vocabulary.parquet")
     got = {r.term: (r.expected, r.same) for r in review_queries.translation_check(spark, str(tmp_path)).collect()}
     assert got == {"agency": ("en", True), "stop": (None, False), "公交": ("zh", True), "route": ("en", False), "line": (None, False)}
+
+
+def test_signed_rank_of_many_pairs(spark):
+    """22 pairs with ties against all sign vectors; 24 pairs of one sign."""
+    d = [-3, 1, 2, 2, -5, 7, 8, 8, -8, 10, 11, 12, -13, 14, 15, 16, 17, -18, 19, 20, 21, 22]
+    size = np.abs(d)
+    rank = np.array([(size < x).sum() + ((size == x).sum() + 1) / 2 for x in size])
+    sums = np.zeros(1)
+    for r in rank:
+        sums = np.concatenate([sums, sums + r])
+    plus, mid = rank[np.array(d) > 0].sum(), rank.sum() / 2
+    rows = [("a", float(x)) for x in d] + [("b", float(x)) for x in range(1, 25)]
+    got = {r.g: r for r in S.signed_rank(spark.createDataFrame(rows, "g string, d double"), "g", "d").collect()}
+    assert got["a"].statistic == plus and got["a"].p == pytest.approx((abs(sums - mid) >= abs(plus - mid)).mean(), abs=1e-12)
+    assert got["b"].n == 24 and got["b"].p == pytest.approx(2 / 2**24, rel=1e-9)
+
+
+def test_effects_take_all_months(spark, tmp_path):
+    rows = [(f, f"{2000 + k // 12}-{k % 12 + 1:02d}-05", p + k * s) for k in range(24) for f, p, s in (("A", 9.0, 3.0), ("N", 5.0, 1.0), ("R", 2.0, 0.0))]
+    df = spark.createDataFrame(rows, "l_returnflag string, day string, l_extendedprice double")
+    df.selectExpr("l_returnflag", "to_date(day) as l_shipdate", "l_extendedprice", "0d as l_discount", "1d as l_quantity").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert stat_queries.paired_effects(spark, str(tmp_path)).count() == 72
+    got = {r.contrast: (r["mean"], r["median"], r.p, r.claim) for r in stat_queries.confirmation_statistics(spark, str(tmp_path)).collect()}
+    p = round(2 / 2**24, 9)
+    assert got == {"A-N": (27.0, 27.0, p, True), "A-R": (41.5, 41.5, p, True), "N-R": (14.5, 14.5, p, True)}
