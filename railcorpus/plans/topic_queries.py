@@ -389,7 +389,8 @@ def seed_topic_pivot(spark, sf):
     c = c.groupBy("seed", F.col("topic").alias("city"), "term_id").agg(F.sum("cnt").alias("c")).withColumn("topic", F.struct("seed", "city"))
     w = T.top_words(c, "c").groupBy("topic").agg(F.collect_list("term_id").alias("w")).select(F.col("topic.seed").alias("seed"), F.col("topic.city").alias("topic"), "w").persist()
     j = w.join(w.where("seed = 0").select("topic", F.col("w").alias("base")), "topic").withColumn("j", F.size(F.array_intersect("w", "base")) / F.size(F.array_union("w", "base")))
-    wide = j.groupBy("seed").pivot("topic", ["Luoxi", "Qinglan", "Yunmo"]).agg(F.round(F.first("j"), 9))
+    cities = sorted(r.topic for r in w.select("topic").distinct().collect())  # as many as columns
+    wide = j.groupBy("seed").pivot("topic", cities).agg(F.round(F.first("j"), 9))
     return wide.join(j.groupBy("seed").agg(F.round(F.avg("j"), 9).alias("mean")), "seed")
 
 

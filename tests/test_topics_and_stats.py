@@ -13,7 +13,7 @@ from railcorpus.operators import models as M
 from railcorpus.operators import priors as P
 from railcorpus.operators import stats as S
 from railcorpus.operators import topics as T
-from railcorpus.plans import corpus_queries, review_queries, stat_queries
+from railcorpus.plans import corpus_queries, review_queries, stat_queries, topic_queries
 from tests.test_text_and_corpus import COUNTS, cells_of
 
 
@@ -283,3 +283,14 @@ def test_effects_take_all_months(spark, tmp_path):
     got = {r.contrast: (r["mean"], r["median"], r.p, r.claim) for r in stat_queries.confirmation_statistics(spark, str(tmp_path)).collect()}
     p = round(2 / 2**24, 9)
     assert got == {"A-N": (27.0, 27.0, p, True), "A-R": (41.5, 41.5, p, True), "N-R": (14.5, 14.5, p, True)}
+
+
+def test_pivot_has_a_column_for_each_city(spark, tmp_path):
+    """Each city has the same words in each part, but for Elsewhere, which one post alone has."""
+    posts = [(f"d{i}", ("Luoxi", "Port Arden", None)[i % 3]) for i in range(60)] + [("only", "Elsewhere")]
+    spark.createDataFrame(posts, "post_id string, city string").selectExpr("*", "'train' as split", "'s' as source", "timestamp'2024-01-01' as published_at").write.parquet(f"{tmp_path}/posts.parquet")
+    spark.createDataFrame([("train", d, t, 1) for d, _ in posts for t in (1, 2)], "split string, doc_id string, term_id int, cnt long").write.parquet(f"{tmp_path}/counts.parquet")
+    spark.createDataFrame([(1,), (2,)], "term_id int").write.parquet(f"{tmp_path}/vocabulary.parquet")
+    out = topic_queries.seed_topic_pivot(spark, str(tmp_path))
+    assert out.columns == ["seed", "Elsewhere", "Luoxi", "Port Arden", "unknown", "mean"]
+    assert {r.seed: (r["Luoxi"], r["Port Arden"], r["unknown"], r["mean"]) for r in out.collect()} == {k: (1.0, 1.0, 1.0, 1.0) for k in range(3)}
