@@ -35,6 +35,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if after == before:
             break
         before = after
+    else:
+        if before[0]:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = e.select(F.col("v").alias("node")).distinct().withColumn("root", F.col("node"))
     return e.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node").unionByName(roots)
 
@@ -49,5 +52,5 @@ def follow(pointers: DataFrame, rounds: int = 60) -> DataFrame:
         moved = q.where("moved").limit(1).count()
         p = q.drop("moved")
         if not moved:
-            break
-    return p
+            return p
+    raise RuntimeError(f"pointers did not settle in {rounds} rounds: they run in a circle")

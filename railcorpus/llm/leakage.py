@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from railcorpus.llm.arrows import Bloom, bits_for, both_set, chunks, summed, union_array
-from railcorpus.llm.neardup import BLOBS, blobs, fresh_rows, settle, tiles
+from railcorpus.llm.arrows import SLICE, Bloom, bits_for, chunks, union_array
+from railcorpus.llm.neardup import BLOBS, Seen, blobs, compared, parts_of, settle
 from railcorpus.llm.textform import ROWS, Shingles, _segments, _splitmix, _within
 
 TRAIN, EVALUATION = 1, 2
@@ -41,72 +41,75 @@ def band_keys(s: Shingles, bands: int, rows: int) -> np.ndarray:
     return out
 
 
-def bucket_entries(batches, side, known, crowd, shape, strips, parts):
-    """Blobs of bucket entries by part. known: keys to keep, or None; crowd: log2 counts of evaluation keys by hash."""
+def bucket_entries(batches, known, crowd, shape, strips, parts):
+    """Blobs of bucket entries by part of (text, is_train). known: keys that the evaluation side has; crowd: log2 counts of evaluation
+    keys by hash."""
     width, least, bands, rows = shape
-    seen = np.zeros(0, np.uint64)
+    bloom, cells = known
+    seen = {TRAIN: Seen(), EVALUATION: Seen()}
     slots = np.uint64(len(crowd) - 1)
     for batch in chunks(batches, ROWS):
         s = Shingles(batch.column(0), width, least)
         sig = s.signature()
-        fresh, seen = fresh_rows(sig, seen)
-        key = band_keys(s, bands, rows)
+        train = batch.column(1).to_numpy(zero_copy_only=False)[s.rows].astype(bool)
+        fresh = np.zeros(len(sig), bool)
+        for side, mine in ((TRAIN, train), (EVALUATION, ~train)):
+            fresh[mine] = seen[side].fresh(sig[mine])
         of = np.repeat(np.arange(len(sig)), bands)
-        key = key.reshape(-1)
+        key = band_keys(s, bands, rows).reshape(-1)
         keep = fresh[of]
-        if known is not None:
-            bloom, cells = known
-            keep &= bloom.has(cells, key)
+        ask = np.flatnonzero(keep & train[of])
+        keep[ask] = bloom.has(cells, key[ask])
         of, key = of[keep], key[keep]
         hot = crowd[(key & slots).astype(np.int64)].astype(np.int64)
         if (hot > 0).any():  # crowded buckets as tiles: each evaluation strip meets each train strip once
             eval_strips, train_strips = 1 << hot, np.where(hot > 0, (1 << hot) * strips, 1)
-            mine, other = (train_strips, eval_strips) if side == TRAIN else (eval_strips, train_strips)
+            mine, other = np.where(train[of], train_strips, eval_strips), np.where(train[of], eval_strips, train_strips)
             own = (_splitmix(sig[of] ^ np.uint64(0x5BD1)) % mine.astype(np.uint64)).astype(np.int64)
             rep = np.repeat(np.arange(len(of)), other)
             own, far = own[rep], _within(other)
-            t, e = (own, far) if side == TRAIN else (far, own)
+            t, e = np.where(train[of[rep]], own, far), np.where(train[of[rep]], far, own)
             key = np.where(hot[rep] > 0, _splitmix(key[rep] ^ _splitmix((t * 1000003 + e + 1).astype(np.uint64))), key[rep])
             of = of[rep]
-        yield blobs(s, sig, of, key, np.zeros(len(of), np.int64), np.full(len(of), side, np.uint8), parts)
+        yield blobs(s, sig, of, key, np.zeros(len(of), np.int64), np.where(train[of], TRAIN, EVALUATION).astype(np.uint8), parts)
 
 
 def overlaps(
-    train: DataFrame, evaluation: DataFrame, threshold: float = 0.8, width: int = 5, least: int = 5, bands: int = 40, rows: int = 4, crowded_log2: int = 13, extra: tuple[str, ...] = ()
+    records: DataFrame, threshold: float = 0.8, width: int = 5, least: int = 5, bands: int = 40, rows: int = 4, crowded_log2: int = 13, extra: tuple[str, ...] = ()
 ) -> tuple[DataFrame, DataFrame]:
-    """Near-same sets of train and evaluation records (id, text).
+    """Near-same sets of train and evaluation records (id, text, is_train).
 
-    Returns (sig_a, sig_b, jaccard) and the members (sig, id, *extra) of either side. Null texts and texts under `least`
-    tokens overlap with nothing. Copies share a sig and need no pair.
+    Returns (sig_a, sig_b, jaccard) and the members (sig, id, is_train, *extra) of either side. Null texts and texts under `least`
+    tokens overlap with nothing; records whose is_train is null are on no side. Copies share a sig and need no pair. Texts are read
+    three times: for the evaluation side's keys, for the buckets, for the members; sides are counted without their texts.
     """
-    spark = train.sparkSession
-    n_train, n_eval = train.count(), evaluation.count()
-    text = F.col("text").cast("string")
+    spark = records.sparkSession
+    records = records.where("is_train is not null").select("id", F.col("text").cast("string").alias("text"), "is_train", *[c for c in extra if c != "is_train"])
+    sizes = dict(records.groupBy("is_train").agg(F.count("*")).collect())  # two rows
+    n_train, n_eval = sizes.get(True, 0), sizes.get(False, 0)
     bloom = Bloom(bits_for(n_eval * bands))
     shape = (width, least, bands, rows)
-
-    def into_filter(cells, batch):
-        bloom.put(cells, band_keys(Shingles(batch.column(0), width, least), bands, rows).reshape(-1))
-
     slots = 1 << 16
 
-    def into_counts(cells, batch):
+    def fill(cells, batch):
         s = Shingles(batch.column(0), width, least)
+        key = band_keys(s, bands, rows)
+        bloom.put(cells[: bloom.slots], key.reshape(-1))
         _, first = np.unique(s.signature(), return_index=True)
-        key = band_keys(s, bands, rows)[first].reshape(-1)
-        cells += np.bincount((key & np.uint64(slots - 1)).astype(np.int64), minlength=slots).astype(cells.dtype)
+        counts = cells[bloom.slots :].view("<u4")
+        counts += np.bincount((key[first].reshape(-1) & np.uint64(slots - 1)).astype(np.int64), minlength=slots).astype(np.uint32)
+
+    def join(a, b, k):
+        return a | b if k * SLICE < bloom.slots else (a.view("<u4") + b.view("<u4")).view(np.uint8)
 
-    known = spark.sparkContext.broadcast(union_array(evaluation.select(text), into_filter, bloom.slots, "u1", ROWS, both_set))
-    counts = union_array(evaluation.select(text), into_counts, slots, "u4", ROWS, summed)
+    cells = union_array(records.where("not is_train").select("text"), fill, bloom.slots + 4 * slots, "u1", ROWS, join)
+    counts = cells[bloom.slots :].view("<u4")
     crowd = np.maximum(np.ceil(np.log2(np.maximum(counts - 4 * counts.mean(), 1))) - crowded_log2, 0).astype(np.uint8)
-    crowd = spark.sparkContext.broadcast(crowd)
+    shared = spark.sparkContext.broadcast((cells[: bloom.slots], crowd))
     strips = int(max(1, round(n_train / max(n_eval, 1))))
-    parts = int(max(8, 2 ** np.ceil(np.log2(max(n_eval, 1) / 16384))))
-    t = train.select(text).mapInArrow(lambda b: bucket_entries(b, TRAIN, (bloom, known.value), crowd.value, shape, strips, parts), BLOBS)
-    e = evaluation.select(text).mapInArrow(lambda b: bucket_entries(b, EVALUATION, None, crowd.value, shape, strips, parts), BLOBS)
-    pairs = t.unionByName(e).groupBy("part").applyInArrow(lambda x: tiles(x, threshold), "sig_a long, sig_b long")
-    both = train.withColumn("is_train", F.lit(True)).unionByName(evaluation.withColumn("is_train", F.lit(False)))
-    return settle(pairs, both, threshold, width, least, ("is_train", *extra))
+    parts = parts_of(n_eval)
+    entries = records.select("text", "is_train").mapInArrow(lambda b: bucket_entries(b, (bloom, shared.value[0]), shared.value[1], shape, strips, parts), BLOBS)
+    return settle(compared(entries, parts, threshold), records, threshold, width, least, ("is_train", *[c for c in extra if c != "is_train"]))
 
 
 def linked(near: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,11 +46,13 @@ def form_keys(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key string, form_a long, form_b long, raw long")
 
 
-def same_look_pairs(keys: DataFrame, by: list[str], most_copies: int = 1000) -> DataFrame:
-    """Pairs of keys with equal form and different raw text. keys: form_keys with the columns `by`; a repeated key counts once.
+def same_look_pairs(keys: DataFrame, by: list[str], order: Column | None = None, most_copies: int = 1000, strip: int = 1024) -> DataFrame:
+    """Pairs of keys with equal form and different raw text, the first key before the second by (order, key). keys: form_keys with the
+    columns `by`; a repeated key counts once, unless with itself.
 
     Only forms written in at least two ways reach the join. A spelling with more than most_copies exact copies
-    stands in the pairs by its smallest key; form_classes has all its members, so no link between texts is lost.
+    stands in the pairs by its smallest key; form_classes has all its members, so no link between texts is lost. A look with
+    many keys is cut into strips on one side, and each strip meets all keys of the look in a join key of its own.
     """
     keys = keys.dropDuplicates([*by, "form_a", "form_b", "raw", "key"])
     group = [*by, "form_a", "form_b"]
@@ -58,9 +60,13 @@ def same_look_pairs(keys: DataFrame, by: list[str], most_copies: int = 1000) ->
     mixed = spelt.groupBy(*group).agg(F.count("*").alias("spellings")).where("spellings > 1").select(*group)
     spelt = spelt.join(mixed, group, "left_semi")
     rows = keys.join(spelt, [*group, "raw"]).where((F.col("copies") <= most_copies) | (F.col("key") == F.col("first")))
-    left = rows.select(*group, F.col("key").alias("key_a"), F.col("raw").alias("raw_a"))
-    right = rows.select(*group, F.col("key").alias("key_b"), F.col("raw").alias("raw_b"))
-    return left.join(right, group).where(F.col("raw_a") != F.col("raw_b"))
+    standing = F.when(F.col("copies") <= most_copies, F.col("copies")).otherwise(1)
+    size = spelt.groupBy(*group).agg(F.ceil(F.sum(standing) / strip).cast("int").alias("strips"))
+    rows = rows.join(size, group).withColumn("place", F.struct((F.lit(0) if order is None else order).alias("order"), "key"))
+    own = F.pmod(F.xxhash64("key", "raw"), F.col("strips")).cast("int")
+    left = rows.select(*group, own.alias("strip"), F.col("key").alias("key_a"), F.col("raw").alias("raw_a"), F.col("place").alias("place_a"))
+    right = rows.select(*group, F.explode(F.sequence(F.lit(0), F.col("strips") - 1)).alias("strip"), F.col("key").alias("key_b"), F.col("raw").alias("raw_b"), F.col("place").alias("place_b"))
+    return left.join(right, [*group, "strip"]).where((F.col("raw_a") != F.col("raw_b")) & (F.col("place_a") < F.col("place_b"))).select(*by, "key_a", "key_b")
 
 
 def form_classes(keys: DataFrame, by: list[str]) -> DataFrame:

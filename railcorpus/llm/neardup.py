@@ -32,34 +32,48 @@ PAIRS_AT_ONCE = 1 << 20
 FINE, COARSE = 1 << 23, 1 << 16  # slots: one byte each, ending at 255; four bytes each
 
 
-def rarity_tables(posts: DataFrame, width: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Upper estimates of the number of posts with a shingle, by its hash: exact up to 254 but for shared slots; and log2 of
-    large numbers."""
+def rarity_tables(posts: DataFrame, width: int, least: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Upper estimates of the number of posts with a shingle, by its hash: exact up to 254 but for shared slots; log2 of
+    large numbers; and the number of posts with shingles."""
+    last = FINE + 4 * COARSE
 
     def fill(cells, batch):
-        flat = Shingles(batch.column(0), width, least).flat
+        s = Shingles(batch.column(0), width, least)
+        flat = s.flat
+        cells[last:].view("<u8")[0] += len(s.rows)
         slot, count = np.unique((flat & np.uint64(FINE - 1)).astype(np.int64), return_counts=True)
         cells[slot] = np.minimum(cells[slot] + count, 255).astype(np.uint8)
-        coarse = cells[FINE:].view("<u4")
+        coarse = cells[FINE:last].view("<u4")
         coarse += np.bincount((flat & np.uint64(COARSE - 1)).astype(np.int64), minlength=COARSE).astype(np.uint32)
 
     def join(a, b, k):
         if k * SLICE < FINE:
             return np.minimum(a.astype(np.uint16) + b, 255).astype(np.uint8)
-        return (a.view("<u4") + b.view("<u4")).view(np.uint8)
+        kind = "<u4" if k * SLICE < last else "<u8"
+        return (a.view(kind) + b.view(kind)).view(np.uint8)
+
+    cells = union_array(posts.select(F.col("text").cast("string")), fill, last + 8, "u1", ROWS, join)
+    coarse = cells[FINE:last].view("<u4")
+    return cells[:FINE], np.ceil(np.log2(np.maximum(coarse - coarse.mean(), 1) + 1)).astype(np.uint8), int(cells[last:].view("<u8")[0])
 
-    cells = union_array(posts.select(F.col("text").cast("string")), fill, FINE + 4 * COARSE, "u1", ROWS, join)
-    coarse = cells[FINE:].view("<u4")
-    return cells[:FINE], np.ceil(np.log2(np.maximum(coarse - coarse.mean(), 1) + 1)).astype(np.uint8)
 
+class Seen:
+    """Signatures met lately in this partition, by slots of a table of fixed size: a slot forgets the one before. What it forgets only
+    costs work, as copies are told apart again later."""
 
-def fresh_rows(sig: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which rows bring a signature for the first time in this partition, and all signatures so far."""
-    _, first = np.unique(sig, return_index=True)
-    fresh = np.zeros(len(sig), bool)
-    fresh[first] = True
-    fresh &= ~np.isin(sig, seen)
-    return fresh, np.concatenate([seen, sig[fresh]])
+    def __init__(self, log2_slots: int = 18) -> None:
+        self.slots = np.zeros(1 << log2_slots, np.uint64)
+        self.mask = np.uint64((1 << log2_slots) - 1)
+
+    def fresh(self, sig: np.ndarray) -> np.ndarray:
+        """Which rows bring a signature that is not known yet; they are from now on."""
+        at = (sig & self.mask).astype(np.int64)
+        _, first = np.unique(sig, return_index=True)
+        out = np.zeros(len(sig), bool)
+        out[first] = True
+        out &= self.slots[at] != sig
+        self.slots[at[out]] = sig[out]
+        return out
 
 
 def blobs(s: Shingles, sig: np.ndarray, of: np.ndarray, key: np.ndarray, place: np.ndarray, side: np.ndarray, parts: int) -> pa.RecordBatch:
@@ -92,11 +106,11 @@ BLOBS = "part int, sets binary, entries binary"
 
 def block_entries(batches, fine, coarse, width, least, threshold, parts, tile_log2):
     """Each set's entries in the blocks of its rarest shingles; blocks that only one set is in are left out."""
-    seen = np.zeros(0, np.uint64)
+    seen = Seen()
     for batch in chunks(batches, ROWS):
         s = Shingles(batch.column(0), width, least)
         sig = s.signature()
-        fresh, seen = fresh_rows(sig, seen)
+        fresh = seen.fresh(sig)
         rare = fine[(s.flat & np.uint64(FINE - 1)).astype(np.int64)].astype(np.uint32)
         crowd = coarse[(s.flat & np.uint64(COARSE - 1)).astype(np.int64)].astype(np.uint32)
         rank = np.where(rare < 255, rare, 255 + crowd)
@@ -123,12 +137,16 @@ def block_entries(batches, fine, coarse, width, least, threshold, parts, tile_lo
 
 
 def tiles(table: pa.Table, threshold: float) -> pa.Table:
-    """Candidate pairs of one part: equal key, sketches within the radius."""
+    """Candidate pairs of one part: equal key, sketches within the radius. Copies that several partitions sent are one entry first."""
     sets = [np.frombuffer(x.as_buffer(), SET) for x in table.column("sets")]
     entries = [np.frombuffer(x.as_buffer(), ENTRY) for x in table.column("entries")]
     base = np.cumsum([0] + [len(x) for x in sets[:-1]])
     at = np.concatenate([e["at"].astype(np.int64) + b for e, b in zip(entries, base, strict=True)])
     e, sets = np.concatenate(entries), np.concatenate(sets)
+    _, first, number = np.unique(sets["sig"], return_index=True, return_inverse=True)
+    at, sets = number[at], sets[first]
+    _, first = np.unique((_splitmix(e["key"].astype(np.uint64) | (e["side"].astype(np.uint64) << np.uint64(32))) ^ sets["sig"][at]), return_index=True)
+    at, e = at[first], e[first]
     bits = [np.ascontiguousarray(sets["bits"][:, w]) for w in range(WORDS)]
     size = sets["n"].astype(np.int64)
     where = (e["key"].astype(np.uint64) << np.uint64(32)) | size[at].astype(np.uint64)
@@ -168,12 +186,21 @@ def near_sets(posts: DataFrame, threshold: float = 0.8, width: int = 5, least: i
     `least` tokens belong to no set. A repeated id is one record for each different text it has.
     """
     spark = posts.sparkSession
-    rows = posts.count()
-    parts = int(max(8, 2 ** np.ceil(np.log2(max(rows, 1) / 16384))))
-    tables = spark.sparkContext.broadcast(rarity_tables(posts, width, least))
+    *found, rows = rarity_tables(posts, width, least)
+    parts = parts_of(rows)
+    tables = spark.sparkContext.broadcast(found)
     entries = posts.select(F.col("text").cast("string")).mapInArrow(lambda batches: block_entries(batches, *tables.value, width, least, threshold, parts, tile_log2), BLOBS)
-    pairs = entries.groupBy("part").applyInArrow(lambda t: tiles(t, threshold), "sig_a long, sig_b long")
-    return settle(pairs, posts, threshold, width, least, extra)
+    return settle(compared(entries, parts, threshold), posts, threshold, width, least, extra)
+
+
+def parts_of(rows: int) -> int:
+    """Parts of about 16,384 sets; their size stays the same however many rows there are."""
+    return int(max(8, 2 ** np.ceil(np.log2(max(rows, 1) / 16384))))
+
+
+def compared(entries: DataFrame, parts: int, threshold: float) -> DataFrame:
+    """Candidate pairs of block entries by part, each part a partition of its own."""
+    return entries.repartitionById(parts, F.col("part")).groupBy("part").applyInArrow(lambda t: tiles(t, threshold), "sig_a long, sig_b long")
 
 
 def settle(pairs: DataFrame, posts: DataFrame, threshold: float, width: int, least: int, extra: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:

@@ -31,9 +31,9 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every train and validation post with typed placeholders for what was found."""
-    rows = posts(spark, sf_dir, "train", "validation").groupBy("id").agg(F.min("text").alias("text"))
-    return pii.redact(rows, _entities(spark, sf_dir).distinct()).withColumnRenamed("id", "post_id")
+    """Every train and validation delivery with typed placeholders for what was found: equal deliveries of a post once."""
+    rows = posts(spark, sf_dir, "train", "validation").distinct()
+    return pii.redacted(rows, pii.known_names(table(spark, sf_dir, "known_names"))).withColumnRenamed("id", "post_id")
 
 
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,10 +51,8 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = lookalike.same_look_pairs(_forms(spark, sf_dir), ["field"])
-    number = F.col("field") == "vocabulary"
-    first = F.when(number, F.col("key_a").try_cast("long") < F.col("key_b").try_cast("long")).otherwise(F.col("key_a") < F.col("key_b"))
-    return pairs.where(first).select("field", "key_a", "key_b")
+    number = F.when(F.col("field") == "vocabulary", F.col("key").try_cast("long"))
+    return lookalike.same_look_pairs(_forms(spark, sf_dir), ["field"], F.coalesce(number, F.lit(0))).select("field", "key_a", "key_b")
 
 
 def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,13 +66,14 @@ def p3_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _overlaps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    train = posts(spark, sf_dir, "train", extra=("split", "source"))
-    evaluation = posts(spark, sf_dir, "validation", "test", extra=("split", "source"))
-    return leakage.overlaps(train, evaluation, **NEAR, extra=("split", "source"))
+    rows = posts(spark, sf_dir, "train", "validation", "test", extra=("split", "source"))
+    return leakage.overlaps(rows.withColumn("is_train", F.col("split") == "train"), **NEAR, extra=("split", "source"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leakage.cross_pairs(*_overlaps(spark, sf_dir)).select("post_a", "post_b")
+    """The smaller id first, whichever split it is of."""
+    pairs = leakage.cross_pairs(*_overlaps(spark, sf_dir))
+    return pairs.select(F.least("post_a", "post_b").alias("post_a"), F.greatest("post_a", "post_b").alias("post_b")).where("post_a <> post_b").distinct()
 
 
 def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +128,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_sized(spark, sf_dir).select("id", "size").persist())  # counted, then packed
+    return packing.pack(_sized(spark, sf_dir).select("id", "size"))
 
 
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:

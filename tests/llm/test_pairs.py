@@ -7,8 +7,9 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from railcorpus.llm import cooccur, density, leakage, neardup
+from railcorpus.llm import cooccur, density, leakage, neardup, queries
 from railcorpus.llm.components import components, follow
 from tests.llm.test_text import plain_shingles
 
@@ -69,8 +70,8 @@ def test_hot_blocks_lose_nothing(spark):
         rows.append((f"h{i:03d}", " ".join(text), "train"))
     rows += edited_posts(9, 40)
     df = spark.createDataFrame(rows, "id string, text string, split string")
-    fine, coarse = neardup.rarity_tables(df, 3, 8)
-    assert fine.max() >= 100
+    fine, _, posts = neardup.rarity_tables(df, 3, 8)
+    assert fine.max() >= 100 and posts == sum(bool(plain_shingles(x, 3, 8)) for _, x, _ in rows if x)
     near, held = neardup.near_sets(df.select("id", "text"), **NEAR, tile_log2=0)
     assert {(r.post_a, r.post_b) for r in neardup.near_pairs(near, held).collect()} == brute(rows)
 
@@ -78,15 +79,34 @@ def test_hot_blocks_lose_nothing(spark):
 def test_overlaps_across_splits(spark):
     rows = edited_posts(3, 120)
     df = spark.createDataFrame(rows, "id string, text string, split string")
-    train, test = df.where("split = 'train'"), df.where("split = 'test'")
-    near, held = leakage.overlaps(train, test, **NEAR, extra=("split",))
+    df = df.withColumn("is_train", F.col("split") == "train")
+    near, held = leakage.overlaps(df, **NEAR, extra=("split",))
     got = {(r.post_a, r.post_b) for r in leakage.cross_pairs(near, held).collect()}
     side = {i: s for i, _, s in rows}
     want = {(a, b) if side[a] == "train" else (b, a) for a, b in brute(rows) if side[a] != side[b]}
     assert got <= want and len(got) >= 0.98 * len(want)
-    empty = train.limit(0)
-    for a, b in ((empty, test), (train, empty), (empty, empty)):
-        assert leakage.cross_pairs(*leakage.overlaps(a, b, **NEAR, extra=("split",))).count() == 0
+    for some in (df.where("is_train"), df.where("not is_train"), df.limit(0), df.withColumn("is_train", F.lit(None).cast("boolean"))):
+        assert leakage.cross_pairs(*leakage.overlaps(some, **NEAR, extra=("split",))).count() == 0
+
+
+def test_found_overlaps_name_the_smaller_post_first(spark, tmp_path):
+    """Post b of the train split is near-same to a of the test split, and c of the train split to d of the validation split."""
+    text = " ".join(WORDS[:30])
+    other = " ".join(WORDS[50:80])
+    rows = [("b", text, "train", "s"), ("a", text, "test", "s"), ("c", other, "train", "s"), ("d", other + " end", "validation", "t"), ("d", other + " end", "validation", "t")]
+    spark.createDataFrame(rows, "post_id string, delexicalized_text string, split string, source string").write.parquet(f"{tmp_path}/posts.parquet")
+    spark.createDataFrame([("test", "s", 5, "x")], "split string, source string, train_overlap long, status string").write.parquet(f"{tmp_path}/leakage_report.parquet")
+    assert {tuple(r) for r in queries.p4_found(spark, str(tmp_path)).collect()} == {("a", "b"), ("c", "d")}
+    report = {(r.split, r.source): (r.pairs, r.posts, r.train_overlap) for r in queries.p4_report(spark, str(tmp_path)).collect()}
+    assert report == {("test", "s"): (1, 1, 5), ("validation", "t"): (1, 1, None)}
+
+
+def test_seen_forgets_but_never_invents():
+    seen = neardup.Seen(2)
+    a = np.array([1, 5, 1, 9], np.uint64)  # one slot for 1, 5 and 9
+    assert seen.fresh(a).tolist() == [True, True, False, True]
+    assert seen.fresh(np.array([9, 1, 2], np.uint64)).tolist()[2]
+    assert neardup.Seen(8).fresh(a).tolist() == [True, True, False, True]
 
 
 def test_overlaps_of_many_copies(spark):
@@ -96,8 +116,7 @@ def test_overlaps_of_many_copies(spark):
     rows = [("t1", base, "train", "p"), ("t2", base, "train", "p"), ("t2", other, "train", "p"), ("t3", edit, "train", "p")]
     rows += [(f"v{i:04d}", edit, ("test", "validation")[i % 2], ("q", None, "r")[i % 3]) for i in range(1005)] + [("e", base, "test", "q")]
     df = spark.createDataFrame(rows, "id string, text string, split string, source string")
-    sides = df.where("split = 'train'"), df.where("split <> 'train'")
-    near, held = leakage.overlaps(*sides, **NEAR, extra=("split", "source"))
+    near, held = leakage.overlaps(df.withColumn("is_train", F.col("split") == "train"), **NEAR, extra=("split", "source"))
     pairs = leakage.cross_pairs(near, held).collect()
     found = Counter((r.post_a, r.post_b) for r in pairs)
     assert found == Counter((a, r[0]) for a in ("t1", "t2", "t3") for r in rows[4:])
@@ -181,4 +200,8 @@ def test_components_and_pointers(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
     chain = spark.createDataFrame([(i, max(i - 1, 0)) for i in range(40)], "node long, to long")
     assert {r.root for r in follow(chain).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        follow(spark.createDataFrame([(0, 1), (1, 2), (2, 0)], "node long, to long"), rounds=4)
+    with pytest.raises(RuntimeError):
+        components(spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long"), rounds=1)
 
