@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 BINS_PER_OCTAVE = 8
 RANKS_PER_OCTAVE = 64
 RANK_LIMIT = 4096
+CERTAIN = -RANK_LIMIT - 1
+FINE_RANKS = 1 << 14
 
 
 def source_key(column: str):
@@ -102,29 +104,46 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 0) -> tuple[DataFrame,
     odds = (u / (1 - u)) / (F.col("chance") / (1 - F.col("chance")))
     rank = F.when(F.coalesce("chance", F.lit(0.0)) <= 0, None).when(F.col("chance") >= 1, F.lit(0.0)).otherwise(odds)
     drawn = drawn.withColumn("rank", rank)
-    octave = F.greatest(F.lit(-RANK_LIMIT), F.least(F.lit(RANK_LIMIT), F.floor(RANKS_PER_OCTAVE * F.log2("rank")))).cast("int")
-    drawn = drawn.withColumn("at", F.when(F.col("rank") == 0, -RANK_LIMIT - 1).otherwise(octave))
-    by = Window.partitionBy("source").orderBy("at")
-    held = drawn.where("rank is not null").groupBy("source", "at").agg(F.sum("size").alias("s"), F.first("rest").alias("rest"))
-    cut = held.withColumn("upto", F.sum("s").over(by)).where(F.col("upto") - F.col("s") < F.col("rest")).groupBy("source").agg(F.max("at").alias("cut"), F.max(F.col("upto") - F.col("s")).alias("before"))
+    place = RANKS_PER_OCTAVE * F.log2("rank")
+    octave = F.greatest(F.lit(-RANK_LIMIT), F.least(F.lit(RANK_LIMIT), F.floor(place))).cast("int")
+    drawn = drawn.withColumn("at", F.when(F.col("rank") == 0, CERTAIN).otherwise(octave)).withColumn("fine", F.floor(FINE_RANKS * (place - F.col("at"))).cast("int"))
+    # the bin of ranks in which a source is full, then the fine bin inside it: what is left to sort is a few documents a source
+    none = drawn.select("source", F.lit(0).cast("long").alias("before")).distinct()
+    cut = _full(drawn.where("rank is not null"), none, "at")
     drawn = drawn.join(F.broadcast(cut), "source", "left")  # at most one row a target
-    edge = drawn.where("at = cut").withColumn("upto", F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("rank", "id").rowsBetween(Window.unboundedPreceding, 0)))
+    edge = drawn.where(F.col("at") == F.col("cut_at")).where(F.col("at") != CERTAIN)
+    finer = _full(edge.drop("cut_at", "before"), cut.select("source", "before"), "fine")
+    drawn = drawn.drop("before").join(F.broadcast(finer), "source", "left")
+    last = (F.col("at") == F.col("cut_at")) & (F.col("fine") == F.col("cut_fine"))
+    edge = drawn.where(last).withColumn("upto", F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("rank", "id").rowsBetween(Window.unboundedPreceding, 0)))
     edge = edge.withColumn("extra", (F.col("upto") - F.col("size") / 2 <= F.col("rest")).cast("int")).drop("upto")
-    other = drawn.where("at is null or cut is null or at <> cut").withColumn("extra", F.coalesce((F.col("at") < F.col("cut")).cast("int"), F.lit(0)))
+    inside = (F.col("at") == CERTAIN) | (F.col("at") < F.col("cut_at")) | (F.col("at") == F.col("cut_at")) & (F.col("fine") < F.col("cut_fine"))
+    other = drawn.where(~F.coalesce(last, F.lit(False))).withColumn("extra", F.coalesce(inside, F.lit(False)).cast("int"))
     out = other.unionByName(edge).select("id", "source", "size", (F.col("whole") + F.col("extra")).cast("int").alias("copies"))
     return out.where("copies > 0"), made
 
 
+def _full(rows: DataFrame, before: DataFrame, by: str) -> DataFrame:
+    """(source, cut_<by>, before): the last bin of `by` that begins below the source's rest, and the size taken before it. before: (source,
+    before) taken ahead of all bins. One row a source and bin is sorted."""
+    bins = rows.groupBy("source", by).agg(F.sum("size").alias("s"), F.first("rest").alias("rest")).join(F.broadcast(before), "source")
+    bins = bins.withColumn("start", F.col("before") + F.sum("s").over(Window.partitionBy("source").orderBy(by)) - F.col("s"))
+    return bins.where(F.col("start") < F.col("rest")).groupBy("source").agg(F.max(by).alias(f"cut_{by}"), F.max("start").alias("before"))
+
+
 def shares(mixture: DataFrame, made: list[dict]) -> DataFrame:
     """(source, target_share, max_repeats, documents, held, reached_tokens, reached_share, most_copies, short) a target source.
 
-    short: all documents, each used max_repeats times, stay below target_share of the summed size of all documents.
+    short: in the mixture every document of the source stands max_repeats times, and yet they stay below target_share of the summed
+    size of all documents.
     """
     spark = mixture.sparkSession
-    rows = [(t["source"], t["share"], t["repeats"], t["docs"], int(t["held"]), bool(t["most"] < t["need"])) for t in made]
-    want = spark.createDataFrame(rows, "source string, target_share double, max_repeats int, documents long, held long, short boolean")
-    got = mixture.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("reached_tokens"), F.max("copies").alias("most_copies"))
-    out = want.join(got, "source", "left").na.fill(0, ["reached_tokens", "most_copies"])
+    rows = [(t["source"], t["share"], t["repeats"], t["docs"], int(t["held"]), t["need"]) for t in made]
+    want = spark.createDataFrame(rows, "source string, target_share double, max_repeats int, documents long, held long, need double")
+    got = mixture.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("reached_tokens"), F.max("copies").alias("most_copies"), F.min("copies").alias("least_copies"), F.count("*").alias("used"))
+    out = want.join(got, "source", "left").na.fill(0, ["reached_tokens", "most_copies", "least_copies", "used"])
+    spent = (F.col("documents") == 0) | (F.col("used") == F.col("documents")) & (F.col("least_copies") == F.col("max_repeats"))
+    out = out.withColumn("short", (spent | (F.col("max_repeats") == 0)) & (F.col("reached_tokens") < F.col("need")))
     total = got.agg(F.sum("reached_tokens").alias("all_tokens"))
     out = out.crossJoin(F.broadcast(total)).withColumn("reached_share", F.coalesce(F.try_divide("reached_tokens", "all_tokens"), F.lit(0.0)))  # one row
     return out.select("source", "target_share", "max_repeats", "documents", "held", "reached_tokens", "reached_share", "most_copies", "short")

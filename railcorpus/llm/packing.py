@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,14 +39,16 @@ def pack(items: DataFrame, capacity: int = 2048, group_items: int = 4096, seed:
     Items over the capacity are cut into full containers and one rest; others stay whole. Items meet in randomised
     groups of about group_items, packed apart, so no task holds more than a group and at most about one container a group
     is badly filled. Null or non-positive sizes take no room: one row with container null. Repeated rows are items of
-    their own.
+    their own: counted first and numbered, so that the copies of an id (or of null) spread over the groups as any other items do.
     """
-    groups = max(1, -(-items.count() // group_items))
     items = items.select("id", F.coalesce(F.col("size").cast("long"), F.lit(0)).alias("size"))
-    grouped = items.withColumn("grp", F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(groups)))
+    counted = items.groupBy("id", "size").agg(F.count("*").alias("copies")).persist(StorageLevel.MEMORY_AND_DISK)
+    groups = max(1, -(-(counted.agg(F.sum("copies")).first()[0] or 0) // group_items))
+    single = counted.select("id", "size", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    grouped = single.select("id", "size", F.pmod(F.xxhash64("id", "size", "copy", F.lit(seed)), F.lit(groups)).alias("grp"))
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("id")
+        table = table.sort_by([("id", "ascending"), ("size", "ascending")])
         size = np.maximum(table.column("size").to_numpy(), 0)
         pieces = -(-size // capacity)
         rows = np.repeat(np.arange(len(size)), np.maximum(pieces, 1))

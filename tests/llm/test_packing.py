@@ -40,6 +40,9 @@ def test_pack_keeps_every_token(spark):
     assert (used[used.id.isin(whole)].pieces == 1).all()
     assert out[out.id == 900].pieces.iloc[0] == 8 and sorted(out[out.id == 900].start) == list(range(0, 1000, 128))
     assert out[out.id.isin([901, 902])].container.isna().all() and len(out[out.id == 903]) == 2
+    same = packing.pack(spark.createDataFrame([(None, 50)] * 400 + [(7, 50)] * 400, "id long, size long"), 128, group_items=100).toPandas()
+    assert len(same) == 800 and same.groupby("container")["size"].sum().max() <= 128
+    assert same.container.str.split("-").str[0].value_counts().max() < 200  # copies spread over the groups
     r = packing.fill_report(packing.pack(df, 128), 128).first()
     assert r.containers >= r.least_containers and r.fill > 0.9
     assert packing.pack(df.limit(0), 128).count() == 0
@@ -76,7 +79,7 @@ def test_mixture_of_nothing(spark):
 def test_token_sizes(spark):
     df = spark.createDataFrame([(1, "a b", "x"), (2, None, "y"), (3, "", None), (4, "<|endoftext|> 中文" * 2000, "z")], "id int, text string, size string")
     out = {r.id: (r.tokens, r.size) for r in tokens.token_sizes(df, "text").collect()}
-    enc = tokens.encoding(tokens.RANKS)
+    enc = tokens.encoding(tokens.RANKS, tokens.default_pattern())
     assert out[1] == (2, "x") and out[2] == (0, "y") and out[3] == (0, None) and out[4][0] == len(enc.encode_ordinary("<|endoftext|> 中文" * 2000))
     with pytest.raises(ValueError):
         tokens.token_sizes(df, "text", "size")
