@@ -15,6 +15,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -208,7 +209,7 @@ def score(found: DataFrame, rounds: int = 5, least: float = 0.6) -> DataFrame:
         sure = sure | (F.col("class") == kind) & F.col("pattern").isin(*patterns)
     context = None
     other = F.when(F.col("class") == "phone", "id_number").when(F.col("class") == "id_number", "phone")
-    for _ in range(rounds):
+    for turn in range(rounds):
         rival = nodes.where("good").select(other.alias("class"), "node", F.lit(True).alias("rival")).where("class is not null")
         met = edges.join(nodes, ["class", "node"]).join(rival, ["class", "node"], "left").withColumn("against", (F.col("seed") == 0) | F.coalesce("rival", F.lit(False)) & ~F.col("good"))
         rated = met.groupBy("class", "pattern").agg(
@@ -217,7 +218,7 @@ def score(found: DataFrame, rounds: int = 5, least: float = 0.6) -> DataFrame:
         unknown = F.when(F.col("pattern").startswith("R"), 1.0).otherwise(F.col("w")) * (F.col("n") - F.col("pos") - F.col("neg"))
         share = F.col("pos") / (F.col("pos") + F.col("neg") + unknown + 0.3)
         single = ~F.col("pattern").startswith("S") & (F.col("kinds") < 2) & (F.col("pos") < 3)
-        rated = rated.select("class", "pattern", F.when(sure, 1.0).otherwise(share * F.when(single, 0.85).otherwise(1.0)).alias("p"))
+        rated = rated.select("class", "pattern", F.when(sure & F.lit(turn == 0), 1.0).otherwise(share * F.when(single, 0.85).otherwise(1.0)).alias("p"))
         context = seen.withColumn("pattern", F.explode_outer("patterns")).join(rated, ["class", "pattern"], "left").groupBy("class", "node", "patterns", "n", "seed").agg(F.coalesce(F.max("p"), F.lit(0.0)).alias("context"))
         context = context.checkpoint()
         firm = F.sum(F.when(F.col("context") >= least, F.col("n")).otherwise(0))
@@ -249,28 +250,55 @@ def known_names(df: DataFrame, most: int = 100_000) -> list[tuple[str, str]]:
 
 
 def redact(posts: DataFrame, spans: DataFrame) -> DataFrame:
-    """Posts (id, text) with each span replaced by its kind in brackets; all other characters stay as they were."""
+    """Posts (id, text) with each span replaced by its kind in brackets; all other characters stay as they were. Of spans that overlap
+    the first counts."""
     marks = spans.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("spans"))
+    return _marked(posts.select("id", F.col("text").cast("string").alias("text")).join(marks, "id", "left"))
+
+
+def redacted(posts: DataFrame, names: list[tuple[str, str]], rounds: int = 5) -> DataFrame:
+    """Posts (id, text) with typed placeholders for what is found in them. Every row stays, also where ids are null or repeated with
+    different texts: spans belong to the text, not to the id."""
+    keyed = posts.select("id", F.col("text").cast("string").alias("text"), F.sha2("text", 256).alias("key"))
+    spans = entities(keyed.select(F.col("key").alias("id"), "text"), names, rounds)
+    marks = spans.groupBy(F.col("id").alias("key")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("spans"))
+    return _marked(keyed.join(marks, "key", "left").select("id", "text", "spans"))
+
+
+def _marked(rows: DataFrame) -> DataFrame:
+    """(id, text) of rows (id, text, spans sorted by start), the spans of a batch replaced in its flat code points."""
 
     def run(batches):
         for batch in chunks(batches, 2048):
+            column = batch.column(2)
+            row = np.asarray(pc.list_parent_indices(column)).astype(np.int64)
+            if not len(row):
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.string())], ["id", "text"])
+                continue
             cps, offs, valid = textform.codepoints(batch.column(1))
-            ids, spans_ = batch.column(0), batch.column(2).to_pylist()
-            out = []
-            for k, found in enumerate(spans_):
-                own = cps[offs[k] : offs[k + 1]]
-                text = own.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass") if valid[k] else None
-                if found and text:
-                    place = textform.places(own)
-                    at, parts = 0, []
-                    for s in found:
-                        a, b = int(place[s["start"]]), int(place[s["end"]]) if s["end"] < len(place) else len(own)
-                        if a < at:
-                            continue
-                        parts += [text[at:a], f"[{s['kind']}]"]
-                        at = b
-                    text = "".join([*parts, text[at:]])
-                out.append(text)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(out, pa.string())], ["id", "text"])
-
-    return posts.select("id", F.col("text").cast("string").alias("text")).join(marks, "id", "left").mapInArrow(run, "id string, text string")
+            place, ends = textform.places(cps, offs)
+            place = np.append(place, len(cps))
+            start, end, kind = pc.list_flatten(column).flatten()
+            a, stop = ends[row] + start.to_numpy(), ends[row] + end.to_numpy()
+            a, b = place[a], np.where(stop < ends[row + 1], place[np.minimum(stop, len(place) - 1)], offs[row + 1])
+            live = np.flatnonzero(b > a)
+            while len(live):  # a span that begins inside the one before it goes; rarely more than one round
+                clash = np.zeros(len(live), bool)
+                clash[1:] = (row[live[1:]] == row[live[:-1]]) & (a[live[1:]] < b[live[:-1]])
+                clash[1:] &= ~clash[:-1]
+                if not clash.any():
+                    break
+                live = live[~clash]
+            row, a, b = row[live], a[live], b[live]
+            marks = [np.frombuffer(f"[{k}]".encode("utf-32-le"), "<u4") for k in kind.take(pa.array(live)).to_pylist()]
+            size = np.array([len(m) for m in marks], np.int64)
+            depth = np.zeros(len(cps) + 1, np.int64)
+            depth[a] += 1
+            depth[b] -= 1
+            keep = np.cumsum(depth[:-1]) == 0
+            before = np.concatenate([[0], np.cumsum(keep)])
+            new = np.insert(cps[keep], np.repeat(before[a], size), np.concatenate(marks)) if marks else cps
+            added = np.concatenate([[0], np.cumsum(np.bincount(row, weights=size, minlength=batch.num_rows)).astype(np.int64)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), textform.strings(new, before[offs] + added, valid)], ["id", "text"])
+
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, text string")

@@ -210,14 +210,13 @@ def _expand(cps: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, offs
 
 
-def places(cps: np.ndarray) -> np.ndarray:
-    """For each code point of one text's consistent form, the place of its source code point."""
-    t = tables()
-    size = _take(t.size, cps, 1).astype(np.int64)
+def places(cps: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each code point of the consistent form of flat code points, the place of its source; and the form's row offsets."""
+    size = _take(tables().size, cps, 1).astype(np.int64)
     size[(cps >= 0xE0000) & (cps <= 0xE0FFF)] = 0
-    source = np.repeat(np.arange(len(cps)), size)
-    flat, _ = _expand(cps, np.array([0, len(cps)]))
-    return source[_compose(flat, np.array([0, len(flat)]), kept=True)[1]]  # a composed mark has no place of its own
+    flat, ends = _expand(cps, offs)
+    keep = _compose(flat, ends, kept=True)[1]  # a composed mark has no place of its own
+    return np.repeat(np.arange(len(cps)), size)[keep], np.concatenate([[0], np.cumsum(keep)])[ends]
 
 
 def _within(sizes: np.ndarray) -> np.ndarray:

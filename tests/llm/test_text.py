@@ -45,7 +45,7 @@ def test_sliced_and_long_columns():
 def test_places_lead_back_to_the_source():
     text = "éa​ﬁz"
     cps = np.array([ord(c) for c in text], np.uint32)
-    assert textform.places(cps).tolist() == [0, 2, 4, 4, 5]  # é a f i z
+    assert textform.places(cps, np.array([0, len(cps)]))[0].tolist() == [0, 2, 4, 4, 5]  # é a f i z
 
 
 def plain_shingles(text, width, least):
@@ -87,6 +87,10 @@ def test_same_look_pairs(spark):
     keys = lookalike.form_keys(df.where("key is not null"), "key", "text").selectExpr("*", "'f' as field")
     got = {(r.key_a, r.key_b) for r in lookalike.same_look_pairs(keys, ["field"]).where("key_a < key_b").collect()}
     assert got == {("1", "2"), ("2", "3")}
+    cut = {(r.key_a, r.key_b) for r in lookalike.same_look_pairs(keys, ["field"], strip=1).collect()}
+    assert cut == got
+    by_number = lookalike.same_look_pairs(keys, ["field"], -F.col("key").cast("long")).collect()
+    assert {(r.key_a, r.key_b) for r in by_number} == {("2", "1"), ("3", "2")}
     hot = {(r.key_a, r.key_b) for r in lookalike.same_look_pairs(keys, ["field"], most_copies=1).where("key_a < key_b").collect()}
     assert hot == {("1", "2")}
     classes = {r.key: (r.class_key, r.spellings) for r in lookalike.form_classes(keys, ["field"]).collect()}
@@ -131,6 +135,27 @@ def test_redaction_keeps_the_rest(spark):
     assert got == {"1": "x​ call [phone] é́ now", "2": None, "3": "plain"}
 
 
+def test_redacted_rows_keep_their_ids_and_texts(spark):
+    """Null ids stay rows of their own; an id with two texts gets each text's own spans; overlapping spans give one placeholder."""
+    rows = [(None, "call +44 7700 900 101"), (None, None), ("a", "ﬁne, write to x.y@mail.example please"), ("a", "no spans"), ("b", ""), ("b", "call +44 7700 900 101")]
+    posts = spark.createDataFrame(rows, "id string, text string")
+    got = sorted(((r.id, r.text) for r in pii.redacted(posts, NAMES).collect()), key=str)
+    want = [(None, "call [phone]"), (None, None), ("a", "ﬁne, write to [email] please"), ("a", "no spans"), ("b", ""), ("b", "call [phone]")]
+    assert got == sorted(want, key=str)
+    spans = spark.createDataFrame([("a", 0, 3, "name"), ("a", 2, 5, "phone"), ("a", 4, 6, "email"), ("b", 1, 1, "name")], "id string, start int, end int, kind string")
+    texts = spark.createDataFrame([("a", "0123456789"), ("b", "xy"), ("c", None)], "id string, text string")
+    assert {r.id: r.text for r in pii.redact(texts, spans).collect()} == {"a": "[name]3[email]6789", "b": "xy", "c": None}
+
+
+def test_places_of_a_batch():
+    texts = ["a\u0301 ｂ", "", "plain", "\u200bx ﬁ"]
+    cps, offs, _ = textform.codepoints(pa.array(texts))
+    place, ends = textform.places(cps, offs)
+    form, new = textform.unify(cps, offs)
+    assert ends.tolist() == new.tolist() and len(place) == len(form)
+    assert all(offs[k] <= p < offs[k + 1] for k in range(4) for p in place[ends[k] : ends[k + 1]])
+
+
 def test_personal_information_of_nothing(spark):
     empty = spark.createDataFrame([], "id string, text string")
     assert pii.entities(empty, NAMES).count() == 0
