@@ -89,7 +89,10 @@ class Blocks:
         spark = base.sparkSession
         self.rows = n = base.count()
         wanted = int(min(most_pivots, max(8, (12 * n) ** 0.5)))
-        sample = base.orderBy(F.xxhash64("key"), "key").limit(min(POOL, 8 * wanted)).collect()
+        pool = min(POOL, 8 * wanted)
+        share = min(1.0, 2 * pool / max(n, 1) + 64 / max(n, 1))  # twice the pool in all tasks together goes on to the sort
+        lot = F.pmod(F.xxhash64("key"), F.lit(1 << 40))
+        sample = base.where(lot <= int(share * (1 << 40))).orderBy(lot, "key").limit(pool).collect()
         pivots = spread(np.stack([np.frombuffer(r["vec"], "<f4") for r in sample]), wanted) if sample else np.zeros((1, dims), np.float32)
         k, probes = len(pivots), min(probes, len(pivots))
         shared = spark.sparkContext.broadcast(pivots)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,11 +109,10 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 0) -> tuple[DataFrame,
     octave = F.greatest(F.lit(-RANK_LIMIT), F.least(F.lit(RANK_LIMIT), F.floor(place))).cast("int")
     drawn = drawn.withColumn("at", F.when(F.col("rank") == 0, CERTAIN).otherwise(octave)).withColumn("fine", F.floor(FINE_RANKS * (place - F.col("at"))).cast("int"))
     # the bin of ranks in which a source is full, then the fine bin inside it: what is left to sort is a few documents a source
-    none = drawn.select("source", F.lit(0).cast("long").alias("before")).distinct()
-    cut = _full(drawn.where("rank is not null"), none, "at")
+    drawn = drawn.persist(StorageLevel.MEMORY_AND_DISK)
+    cut = _full(drawn.where("rank is not null").withColumn("before", F.lit(0).cast("long")), "at")
     drawn = drawn.join(F.broadcast(cut), "source", "left")  # at most one row a target
-    edge = drawn.where(F.col("at") == F.col("cut_at")).where(F.col("at") != CERTAIN)
-    finer = _full(edge.drop("cut_at", "before"), cut.select("source", "before"), "fine")
+    finer = _full(drawn.where((F.col("at") == F.col("cut_at")) & (F.col("at") != CERTAIN)), "fine")
     drawn = drawn.drop("before").join(F.broadcast(finer), "source", "left")
     last = (F.col("at") == F.col("cut_at")) & (F.col("fine") == F.col("cut_fine"))
     edge = drawn.where(last).withColumn("upto", F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("rank", "id").rowsBetween(Window.unboundedPreceding, 0)))
@@ -123,10 +123,10 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 0) -> tuple[DataFrame,
     return out.where("copies > 0"), made
 
 
-def _full(rows: DataFrame, before: DataFrame, by: str) -> DataFrame:
-    """(source, cut_<by>, before): the last bin of `by` that begins below the source's rest, and the size taken before it. before: (source,
-    before) taken ahead of all bins. One row a source and bin is sorted."""
-    bins = rows.groupBy("source", by).agg(F.sum("size").alias("s"), F.first("rest").alias("rest")).join(F.broadcast(before), "source")
+def _full(rows: DataFrame, by: str) -> DataFrame:
+    """(source, cut_<by>, before): the last bin of `by` that begins below the source's rest, and the size taken before it; `before` of rows
+    is taken ahead of all bins. One row a source and bin is sorted."""
+    bins = rows.groupBy("source", by).agg(F.sum("size").alias("s"), F.first("rest").alias("rest"), F.first("before").alias("before"))
     bins = bins.withColumn("start", F.col("before") + F.sum("s").over(Window.partitionBy("source").orderBy(by)) - F.col("s"))
     return bins.where(F.col("start") < F.col("rest")).groupBy("source").agg(F.max(by).alias(f"cut_{by}"), F.max("start").alias("before"))
 

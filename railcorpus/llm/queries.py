@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from railcorpus.llm import cooccur, density, leakage, lookalike, mixing, neardup, packing, pii, reading
 from railcorpus.llm.data import posts
+from railcorpus.llm.oracles import FOUND
 from railcorpus.llm.tokens import token_sizes
 from railcorpus.session import table
 
@@ -135,6 +136,22 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(p8_containers(spark, sf_dir))
 
 
+def p8_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: documents, containers over their capacity, documents cut though they fit in one, documents that lost tokens."""
+    sized = _sized(spark, sf_dir).select("id", "size").persist()
+    packed = packing.pack(sized).persist()
+    over = packed.where("container is not null").groupBy("container").agg(F.sum("size").alias("s")).agg(F.count_if(F.col("s") > 2048).alias("overfull"))
+    per = packed.groupBy("id").agg(F.sum("size").alias("kept"), F.max("pieces").alias("pieces")).join(sized.groupBy("id").agg(F.sum("size").alias("size")), "id", "full")
+    small = per.agg(F.count_if((F.col("pieces") > 1) & (F.col("size") <= 2048)).alias("cut_small"), F.count_if(~F.col("kept").eqNullSafe(F.col("size"))).alias("lost"))
+    return sized.agg(F.count("*").alias("documents")).crossJoin(over).crossJoin(small)  # one row each
+
+
+def p9_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each target source with its limit, and whether no document goes beyond it and the source beyond its share, unless others fall short."""
+    s = p9_shares(spark, sf_dir)
+    return s.select("source", "max_repeats", ((F.col("most_copies") <= F.col("max_repeats")) & (F.col("reached_share") <= F.lit(1.0))).alias("held_to"))
+
+
 def _mixture(spark: SparkSession, sf_dir: str):
     return mixing.mix(_sized(spark, sf_dir).persist(), table(spark, sf_dir, "mix_targets"))
 
@@ -189,6 +206,7 @@ _TERMS = f"""WITH {_ITEMS},
 
 def oracle_sql() -> dict[str, str]:
     return {
+        **FOUND,
         "p6_found": _PAIRS + " SELECT term_a, term_b FROM s WHERE npmi >= 0.6",
         "p6_edges": _PAIRS + " SELECT term_a, term_b, joint, count_a, count_b, n, ROUND(npmi, 9) AS npmi FROM s",
         "p7_found": _TERMS + " SELECT term_id FROM m WHERE mark IS NOT NULL",
