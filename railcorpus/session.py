@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -28,10 +29,15 @@ def build_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; set a local one only where none is set."""
+    """Use the folder the cluster names in spark.checkpoint.dir. Where none is named a local session gets one of its own, gone at exit;
+    a cluster is refused, as its executors share no local folder."""
     if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
         return
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir names no shared folder")
+    made = tempfile.mkdtemp(prefix="checkpoints-")
+    atexit.register(shutil.rmtree, made, True)
+    spark.sparkContext.setCheckpointDir(made)
 
 
 def ship(spark: SparkSession) -> None:
