@@ -4,43 +4,66 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from collections.abc import Sequence
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+# The row separator, the token pattern, the substitutions before it in their order, and the words of social media that carry no topic.
+APART = "\x1e"
 TOKEN = r"[a-z]+(?:'[a-z]+)?"
-# Words that carry no topic.
-STOP_WORDS = (
-    "a an and are as at be been but by can did do for from get go had has have he her his how i if in into is it its me my no not of on or our out "
-    "so than that the their them then there these they this to too up us was we were what when which who why will with would you your"
-).split()
-PLACEHOLDERS = (
-    (r"@?\[agency name\]", " agency "),
+SUBSTITUTIONS = (
+    (r"@?\[agency(?: name)?\]", " agency "),
+    (r"\[(?:bus|train) number\]", " vehicle "),
     (r"\[line number\]", " route "),
     (r"\[location name\]", " location "),
     (r"https?://\S+|www\.\S+", " url "),
 )
+SOCIAL_WORDS = tuple(
+    "amp rt im ive id ill dont didnt doesnt cant couldnt wont wouldnt isnt arent wasnt werent youre theyre thats theres heres just like lol omg wtf gonna gotta yeah yall u ur".split()
+)
+
+
+@lru_cache(1)
+def english_stop_words() -> tuple[str, ...]:
+    """Spark's public English stop list, without the words with an apostrophe: no token has one."""
+    from pyspark.ml.feature import StopWordsRemover
+
+    return tuple(w for w in StopWordsRemover.loadDefaultStopWords("english") if w.isalpha())
 
 
-def tokenize(text: Column, stop: bool = True) -> Column:
-    """Lower-case word tokens of two letters or more, placeholders as words, apostrophes dropped after matching.
+def tokenize(text: Column, stop: bool | Sequence[str] = True, substitutions: Sequence[tuple[str, str]] = SUBSTITUTIONS, least: int = 2) -> Column:
+    """Case-folded word tokens of `least` letters or more: entities and compatibility forms resolved, substitutions made, apostrophes
+    dropped after matching, stop words left out.
 
-    Null text has null tokens. Casefold and compatibility forms are left to unfold_text.
+    stop is a word list of your own (any other public list), True for Spark's English list with SOCIAL_WORDS, False for none. Null text has
+    null tokens. Only texts with an entity or other than ASCII characters leave the JVM.
     """
-    low = F.lower(text)
-    for pattern, word in PLACEHOLDERS:
+    odd = text.rlike("[^\\x00-\\x7F]|&")
+    low = F.coalesce(unfold_text(F.when(odd, text)), F.lower(text))
+    for pattern, word in substitutions:
         low = F.regexp_replace(low, pattern, word)
     words = F.transform(F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0)), lambda w: F.replace(w, F.lit("'"), F.lit("")))
-    words = F.filter(words, lambda w: F.length(w) >= 2)
-    return F.filter(words, lambda w: ~w.isin(*STOP_WORDS)) if stop else words
+    words = F.filter(words, lambda w: F.length(w) >= least)
+    listed = (*english_stop_words(), *SOCIAL_WORDS) if stop is True else tuple(stop or ())
+    return F.filter(words, lambda w: ~w.isin(*listed)) if listed else words
 
 
-@F.pandas_udf(StringType())
-def unfold_text(text: pd.Series) -> pd.Series:
-    """HTML entities resolved, compatibility forms, case folded."""
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", html.unescape(t)).casefold())
+def _unfolded(t: str) -> str:
+    return unicodedata.normalize("NFKC", html.unescape(t)).casefold()
+
+
+@F.arrow_udf(StringType())
+def unfold_text(text: pa.Array) -> pa.Array:
+    """HTML entities resolved, compatibility forms, case folded: a batch is one string with its rows apart by a character that takes part in
+    none of the three. Null stays null."""
+    rows = text.to_pylist()
+    whole = APART.join(t or "" for t in rows)
+    parts = _unfolded(whole).split(APART) if whole.count(APART) == len(rows) - 1 else [_unfolded(t or "") for t in rows]
+    return pa.array([None if t is None else p for t, p in zip(rows, parts, strict=True)], pa.string())
 
 
 def parse_bool(c: Column) -> Column:
@@ -83,7 +106,14 @@ def hash32(c: Column) -> Column:
     return F.conv(F.substring(F.sha2(c, 256), 1, 8), 16, 10).cast("long")
 
 
+def json_number(c: Column, key: str) -> Column:
+    """The number a JSON object holds under a key, else null."""
+    return F.try_element_at(F.from_json(c, "map<string,double>"), F.lit(key))
+
+
 def json_max_iteration(c: Column) -> Column:
-    """Smallest value among the keys of a JSON object that look like a maximum iteration or epoch count."""
-    m = F.from_json(c, "map<string,double>")
-    return F.array_min(F.map_values(F.map_filter(m, lambda k, _: F.lower(k).rlike("^(max_?iter|max_?epoch|k$|iterations|epochs)"))))
+    """Smallest number among the keys of a JSON object that name a largest iteration or epoch: "maximum", "max_" or "epochs" and
+    "iteration" or "epoch" in any case. Null without one; values that are no numbers do not count."""
+    m = F.from_json(c, "map<string,string>")
+    named = F.map_filter(m, lambda k, v: F.lower(k).rlike("maximum|max_|epochs") & F.lower(k).rlike("iteration|epoch") & v.try_cast("double").isNotNull())
+    return F.array_min(F.transform(F.map_values(named), lambda v: v.try_cast("double")))

@@ -1,31 +1,44 @@
 """Shared parts of the SQL the queries are checked against."""
 
-from railcorpus.functions.text import PLACEHOLDERS, STOP_WORDS
-
 DOCS = """docs AS (SELECT post_id AS doc_id, COALESCE(MIN(city), 'unknown') AS city, MIN(split) AS split, MIN(source) AS source, MIN(published_at) AS ts
     FROM posts WHERE post_id IS NOT NULL GROUP BY post_id)"""
 CELLS = """cells AS (SELECT split, doc_id, term_id, MAX(cnt) AS cnt FROM counts WHERE cnt >= 1 AND doc_id IS NOT NULL
     AND term_id IN (SELECT term_id FROM vocabulary) GROUP BY split, doc_id, term_id)"""
 FIT = CELLS + ", fit AS (SELECT doc_id, term_id, cnt FROM cells WHERE split = 'train')"
-#: The most frequent terms of the fit part.
-HEAD = FIT + ", head AS (SELECT term_id, COUNT(*) AS df FROM fit GROUP BY term_id ORDER BY df DESC, term_id LIMIT {n}), low AS (SELECT fit.* FROM fit JOIN head USING (term_id))"
+#: The terms of the fit part with their frequency, and the cells of the graph.
+GRAPH = FIT + ", head AS (SELECT term_id, COUNT(*) AS df FROM fit GROUP BY term_id), low AS (SELECT * FROM fit)"
 HASH = "('0x' || substr(sha256({}), 1, 8))::BIGINT"
 
 
+# Fixed values, stated here again so that the SQL does not lean on the code it checks: public English stop words, and those of social media.
+ENGLISH = (
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves what which who whom this "
+    "that these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while of at by for with about against between into "
+    "through during before after above below to from up down in out on off over under again further then once here there when where why how all any both each few more most other some such "
+    "no nor not only own same so than too very s t can will just don should now cannot could ought would"
+)
+SOCIAL = "amp rt im ive id ill dont didnt doesnt cant couldnt wont wouldnt isnt arent wasnt werent youre theyre thats theres heres just like lol omg wtf gonna gotta yeah yall u ur"
+#: Full-width forms and their plain ones; other compatibility forms that the tables hold.
+WIDE, PLAIN = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F)))
+
+
 def tokens(text: str, stop: bool = True) -> str:
-    out = f"lower({text})"
-    for pattern, word in PLACEHOLDERS:
-        p = pattern.replace(r"\S", "[^ \\t\\n\\x0B\\f\\r]")
-        out = f"regexp_replace({out}, '{p}', '{word}', 'g')"
+    """Tokens in SQL. Of the compatibility forms it knows those in the tables: full-width, two ligatures, ordinals and spaces."""
+    out = f"translate({text}, '{WIDE}' || chr(160) || chr(8199) || chr(8239) || chr(12288), '{PLAIN.replace(chr(39), chr(39) * 2)}' || '    ')"
+    out = f"lower(nfc_normalize(replace(replace(replace(replace({out}, 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'º', 'o'), 'ª', 'a')))"
+    for pattern, word in (
+        ("@?\\[agency( name)?\\]", " agency "),
+        ("\\[(bus|train) number\\]", " vehicle "),
+        ("\\[line number\\]", " route "),
+        ("\\[location name\\]", " location "),
+        ("https?://[^ \\t\\n\\x0B\\f\\r]+|www\\.[^ \\t\\n\\x0B\\f\\r]+", " url "),
+    ):
+        out = f"regexp_replace({out}, '{pattern}', '{word}', 'g')"
     out = f"list_transform(regexp_extract_all({out}, '[a-z]+(?:''[a-z]+)?'), lambda w: replace(w, '''', ''))"
-    words = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    words = ", ".join(f"'{w}'" for w in f"{ENGLISH} {SOCIAL}".split())
     return f"list_filter({out}, lambda w: length(w) >= 2" + (f" AND w NOT IN ({words}))" if stop else ")")
 
 
-def head(n: int) -> str:
-    return HEAD.replace("{n}", str(n))
-
-
 #: City classes as topics: term shares, class TF-IDF weights and the ten leading words.
 CLASSES = (
     FIT

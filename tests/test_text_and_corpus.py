@@ -15,11 +15,14 @@ def one(spark, column, *values, kind="string"):
 
 def test_tokenizer(spark):
     text = "@[agency name] BUS [line number] isn't late at [location name]!"
-    assert one(spark, T.tokenize, text, None, "") == [["agency", "bus", "route", "isnt", "late", "location"], None, []]
+    # Two hand cases that any other tokenizer of such posts must give too.
+    assert one(spark, T.tokenize, text, None, "") == [["agency", "bus", "route", "late", "location"], None, []]
+    assert one(spark, T.tokenize, "HTTPS://example.com RT @user") == [["url", "user"]]
+    assert one(spark, T.tokenize, "Ｔｒａｍ &lt;stop&gt; [Train Number] straße ﬁt") == [["tram", "stop", "vehicle", "strasse", "fit"]]
 
 
 def test_unfold(spark):
-    assert one(spark, T.unfold_text, "Ｔom &amp; STRASSE ß", None) == ["tom & strasse ss", None]
+    assert one(spark, T.unfold_text, "Ｔom &amp; STRASSE ß", None, "ΣΑΣ", "İ", "a\x1e&lt;", "cafe\u0301 &am", "") == ["tom & strasse ss", None, "σασ", "i̇", "a\x1e<", "café &am", ""]
 
 
 def test_parsing(spark):
@@ -35,7 +38,9 @@ def test_display(spark):
 
 
 def test_json_iterations(spark):
-    assert one(spark, T.json_max_iteration, '{"max_iter": 5, "epochs": 3, "loss": 1}', '{"a": 1}') == [3.0, None]
+    found = one(spark, T.json_max_iteration, '{"Maximum_Iterations": 5, "num_epochs": 3, "loss": 1, "max_depth": 2, "k": 1}', '{"a": 1}', '{"max_epoch": "many", "max_iteration": 7}', None)
+    assert found == [3.0, None, 7.0, None]
+    assert one(spark, lambda c: T.json_number(c, "k"), '{"k": 2.5}', '{"a": 1}') == [2.5, None]
 
 
 COUNTS = [[2, 2, 0, 0, 0], [1, 1, 0, 0, 0], [0, 0, 2, 2, 0]]
