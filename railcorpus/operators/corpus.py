@@ -159,6 +159,31 @@ def unit_norm(vectors: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:
-    """(rows, fingerprint): identity of a table's content whatever its order and layout."""
-    row = F.xxhash64(*[F.col(c) for c in sorted(df.columns)])
-    return df.agg(F.count("*").alias("rows"), F.hex(F.expr("bit_xor(h)")).alias("fingerprint")) if "h" in df.columns else df.select(row.alias("h")).agg(F.count("*").alias("rows"), F.hex(F.expr("bit_xor(h)")).alias("fingerprint"))
+    """(rows, fingerprint): identity of a table's content whatever its order and layout.
+
+    Two hashes of each row are summed, so that equal rows add up instead of cancelling out. Nulls count as values of their place.
+    """
+    columns = sorted(df.columns)
+    quoted = [F.col(f"`{c}`") for c in columns]
+    nulls = F.concat(*[F.when(c.isNull(), "0").otherwise("1") for c in quoted]) if columns else F.lit("")
+    parts = [F.sum(F.xxhash64(F.lit(seed), nulls, *quoted).cast("decimal(20,0)")) for seed in (1, 2)]
+    names = F.sha2(F.lit("|".join(columns)), 256)
+    mark = F.concat_ws("|", F.count("*").cast("string"), names, *[F.coalesce(p.cast("string"), F.lit("0")) for p in parts])
+    return df.agg(F.count("*").alias("rows"), F.sha2(mark, 256).alias("fingerprint"))
+
+
+def strict_timestamps(rows: DataFrame, column: str, form: str, first=None, last=None) -> DataFrame:
+    """(rows, first_ts, last_ts, status) of a text column that must parse in UTC by `form` on every row: a broken or null value is an error
+    of the job. With first and last the range must be exactly theirs, else status is FAIL."""
+    broken = F.raise_error(F.concat(F.lit("no timestamp: "), F.coalesce(F.col(column), F.lit("null"))))
+    ts = F.coalesce(F.try_to_timestamp(F.col(column), F.lit(form)), broken.cast("timestamp"))
+    out = rows.select(ts.alias("ts")).agg(F.count("ts").alias("rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    held = F.col("first_ts").eqNullSafe(F.lit(first).cast("timestamp")) & F.col("last_ts").eqNullSafe(F.lit(last).cast("timestamp")) if first is not None or last is not None else F.lit(True)
+    return out.withColumn("status", F.when(held, "PASS").otherwise("FAIL"))
+
+
+def date_consistency(rows: DataFrame, ts: str, year: str, month: str) -> DataFrame:
+    """(year, posts, year_agrees, month_agrees): a year column and a column of month names, in any case, against a timestamp, by year. A null
+    timestamp agrees with nothing."""
+    same_year, same_month = F.year(ts) == F.col(year), F.lower(F.date_format(ts, "MMMM")) == F.lower(F.col(month))
+    return rows.groupBy(F.col(year).alias("year")).agg(F.count("*").alias("posts"), F.count_if(same_year).alias("year_agrees"), F.count_if(same_month).alias("month_agrees"))

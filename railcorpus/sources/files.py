@@ -18,17 +18,34 @@ from pyspark.sql import types as T
 from railcorpus.operators.corpus import union_columns
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, columns: list[str] | None = None) -> DataFrame:
-    """Typed CSV with a header, by name: a byte-order mark is dropped, columns absent from the file are null, only `columns` are read."""
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, columns: list[str] | None = None, multi_line: bool = False) -> DataFrame:
+    """Typed CSV with a header, by name: a byte-order mark is dropped, columns absent from the file are null, only `columns` are read.
+
+    Files are split unless fields hold line breaks (multi_line): then each file is one task's work.
+    """
     kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"')
+    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=multi_line, escape='"')
     names = {c.lstrip("﻿"): c for c in raw.columns}
     picked = [f for f in kind.fields if columns is None or f.name in columns]
     return raw.select([(F.col(f"`{names[f.name]}`") if f.name in names else F.lit(None)).cast(f.dataType).alias(f.name) for f in picked])
 
 
-def read_zipped_csv(spark: SparkSession, path: str, member: str, columns: list[str], sha256: str | None = None) -> DataFrame:
-    """(columns as strings) of a CSV member of a ZIP archive; the archive's hash and the exact header are checked. All-null rows are dropped.
+def row_contract(rows: DataFrame, row: str, key: str, constants: dict[str, str]) -> DataFrame:
+    """(check, observed, status): row numbers run from 0 without a gap, keys are present and unique, columns hold their constant on every row.
+    observed counts the breaches."""
+    n = rows.agg(F.count("*").alias("n"))
+    numbers = rows.select(row).where(F.col(row).isNotNull()).distinct().crossJoin(F.broadcast(n)).where(f"`{row}` between 0 and n - 1").agg(F.count("*").alias("seen"))  # n is one row
+    keys = rows.select(key).where(F.col(key).isNotNull()).distinct().agg(F.count("*").alias("keys"))
+    wrong = rows.agg(*[F.count_if(~F.coalesce(F.col(c) == v, F.lit(False))).alias(f"constant_{c}") for c, v in constants.items()], F.lit(0).alias("_"))
+    one = n.crossJoin(numbers).crossJoin(keys).crossJoin(wrong)  # one row each
+    checks = [("contiguous", F.col("n") - F.col("seen")), ("unique_key", F.col("n") - F.col("keys")), *[(f"constant_{c}", F.col(f"constant_{c}")) for c in constants]]
+    out = one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("check"), v.cast("long").alias("observed")) for k, v in checks])).alias("x")).select("x.*")
+    return out.withColumn("status", F.when(F.col("observed") == 0, "PASS").otherwise("FAIL"))
+
+
+def read_zipped_csv(spark: SparkSession, path: str, member: str, columns: list[str], sha256: str | None = None, member_sha256: str | None = None, header: list[str] | None = None) -> DataFrame:
+    """(columns as strings) of a CSV member of a ZIP archive; the hashes of the archive and of the member and the exact header (in any order) are
+    checked where given. All-null rows are dropped.
 
     An archive is one task's work; several archives are read in parallel.
     """
@@ -39,8 +56,14 @@ def read_zipped_csv(spark: SparkSession, path: str, member: str, columns: list[s
                 if sha256 and hashlib.sha256(content).hexdigest() != sha256:
                     raise ValueError("the archive is not the expected one")
                 with zipfile.ZipFile(io.BytesIO(content)) as z, z.open(member) as f:
+                    if member_sha256:
+                        if hashlib.file_digest(f, "sha256").hexdigest() != member_sha256:
+                            raise ValueError("the member is not the expected one")
+                        f.seek(0)
                     rows = csv.reader(io.TextIOWrapper(f, "utf-8-sig", newline=""))
                     head = next(rows)
+                    if header is not None and sorted(head) != sorted(header):
+                        raise ValueError(f"the header is {head}")
                     if not set(columns) <= set(head):
                         raise ValueError(f"the header lacks {sorted(set(columns) - set(head))}")
                     at = [head.index(c) for c in columns]
@@ -130,10 +153,21 @@ def verify_signed(value: dict, key: str = "sha256") -> bool:
     return value.get(key) == canonical_hash({k: v for k, v in value.items() if k != key})
 
 
-def manifest(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, bytes, sha256) of every file, hashed on the executors."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+def manifest(spark: SparkSession, root: str, parts: list[str] | None = None) -> DataFrame:
+    """(path, bytes, sha256) of every file below root, or below these parts of it, hashed on the executors; path is relative to root. A file is
+    one task's work and at most 2 GB."""
+    base = root.rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([f"{base}/{p}" for p in parts] if parts else base)
+    tail = F.substring_index("path", f"{base}/", -1)
+    return files.select(tail.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def inventory_difference(listed: DataFrame, observed: DataFrame, key: str) -> DataFrame:
+    """(key, problem): names that only one of two inventories has, or that one has more often; none where they are equal."""
+    a, b = (d.groupBy(F.col(key).alias(key)).agg(F.count("*").alias(n)) for d, n in ((listed, "_a"), (observed, "_b")))
+    both = a.join(b.withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key")), "full")
+    problem = F.when(F.col("_b").isNull(), "missing").when(F.col("_a").isNull(), "unlisted").when(F.col("_a") != F.col("_b"), "repeated")
+    return both.select(F.coalesce(key, "_key").alias(key), problem.alias("problem")).where("problem is not null")
 
 
 def manifest_problems(listed: DataFrame, observed: DataFrame) -> DataFrame:

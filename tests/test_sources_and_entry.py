@@ -60,7 +60,7 @@ def test_sinks(spark, tmp_path):
     files.write_json_lines(df, str(tmp_path / "j"))
     files.write_tables(str(tmp_path / "t"), one=df)
     assert spark.read.parquet(str(tmp_path / "t/one.parquet")).count() == 2
-    listed = files.manifest(spark, [str(tmp_path / "j")])
+    listed = files.manifest(spark, str(tmp_path), ["j"])
     assert files.manifest_problems(listed, listed).count() == 0 and files.manifest_problems(listed, listed.limit(0)).count() == listed.count()
     assert zipfile.ZipFile(files.archive(str(tmp_path / "j"), str(tmp_path / "j.zip"))).namelist()
 
