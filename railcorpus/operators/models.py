@@ -1,22 +1,26 @@
-"""Topic models and graph prototypes: MLlib where it has them; NumPy for the few steps that are sequential or K x K.
+"""Topic models and graph prototypes: MLlib where it has them, else rounds over all documents with counts summed between the rounds.
 
-Data that reaches one task or the driver is bounded by a parameter: vocabulary size, topics, or a documented sample of documents
-for the Gibbs samplers, which cannot be distributed without changing what they compute.
+What reaches the driver is bounded by topics x vocabulary numbers, whatever the number of documents.
 """
 
 from __future__ import annotations
 
-import math
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import LDA, KMeans
 from pyspark.ml.feature import PCA, CountVectorizerModel, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from railcorpus.session import ensure_checkpoint_dir
+
+SLICE = 1 << 16
+
 
 def assign(score: np.ndarray) -> list[int]:
     """Column of each row in the one-to-one assignment of largest total, the smallest columns on ties: dynamic programming over column sets."""
@@ -43,9 +47,64 @@ def matched_stability(tops: list[list[set]]) -> tuple[float, float]:
     return float(np.mean(values)), float(np.min(values))
 
 
+def numbered(cells: DataFrame, size: int) -> DataFrame:
+    """cells, whose term_id must be 0..size-1: any other is an error, no term is dropped."""
+    t = F.col("term_id")
+    return cells.withColumn("term_id", F.when(t.between(0, size - 1), t).otherwise(F.raise_error(F.concat(F.lit("no term of the vocabulary: "), F.coalesce(t.cast("string"), F.lit("null")))).cast("int")))
+
+
+def packed(cells: DataFrame, size: int, value: str = "cnt") -> DataFrame:
+    """(doc_id, t, x): a document's terms in order, and their values."""
+    pairs = numbered(cells, size).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("term_id").cast("int").alias("t"), F.col(value).cast("double").alias("x")))).alias("p"))
+    return pairs.select("doc_id", F.col("p.t").alias("t"), F.col("p.x").alias("x"))
+
+
+def summed(rows: DataFrame, fill, slots: int) -> np.ndarray:
+    """The sum over all partitions of the `slots` numbers that fill(cells, batch) adds to: partial arrays, merged slice by slice."""
+
+    def part(batches):
+        cells = np.zeros(slots)
+        for batch in batches:
+            if batch.num_rows:
+                fill(cells, batch)
+        for k in range(0, slots, SLICE):
+            if cells[k : k + SLICE].any():
+                yield pa.RecordBatch.from_pydict({"slice": pa.array([k // SLICE], pa.int32()), "blob": pa.array([cells[k : k + SLICE].tobytes()], pa.binary())})
+
+    def merge(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held[k] = held[k] + np.frombuffer(blob) if k in held else np.frombuffer(blob)
+        for k, v in held.items():
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "blob": pa.array([v.tobytes()], pa.binary())})
+
+    schema = "slice int, blob binary"
+    out = np.zeros(slots)
+    for r in rows.mapInArrow(part, schema).repartition("slice").mapInArrow(merge, schema).collect():  # slots numbers
+        v = np.frombuffer(r["blob"])
+        out[r["slice"] * SLICE : r["slice"] * SLICE + len(v)] = v
+    return out
+
+
+def _ragged(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Flat values of a list column, and each row's number of values and first place."""
+    n = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False), n, np.cumsum(n) - n
+
+
+def _within(n: np.ndarray) -> np.ndarray:
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _long(spark: SparkSession, p: np.ndarray) -> DataFrame:
+    topics, size = p.shape
+    return spark.createDataFrame(pd.DataFrame({"topic": np.repeat(np.arange(topics), size), "term_id": np.tile(np.arange(size), topics), "p": p.ravel()}), "topic int, term_id int, p double")
+
+
 def vectors(cells: DataFrame, size: int) -> DataFrame:
     """(doc_id, features) sparse count vectors; term_id is the index, below size."""
-    pairs = cells.where(F.col("term_id") < size).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("term_id", "cnt"))).alias("p"))
+    pairs = numbered(cells, size).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("term_id", "cnt"))).alias("p"))
     words = F.flatten(F.transform("p", lambda x: F.array_repeat(x["term_id"].cast("string"), x["cnt"].cast("int"))))
     model = CountVectorizerModel.from_vocabulary([str(i) for i in range(size)], inputCol="words", outputCol="features")
     return model.transform(pairs.select("doc_id", words.alias("words"))).select("doc_id", "features")
@@ -53,7 +112,7 @@ def vectors(cells: DataFrame, size: int) -> DataFrame:
 
 def fit_lda(cells: DataFrame, size: int, topics: int, seed: int, rounds: int = 10) -> tuple[DataFrame, DataFrame]:
     """(topic, term_id, p) and (doc_id, topic, m) of online variational LDA; topics ordered by share, then by their first word."""
-    data = vectors(cells, size).repartition(8, "doc_id").sortWithinPartitions("doc_id").persist()
+    data = vectors(cells, size).sortWithinPartitions("doc_id").persist()
     model = LDA(k=topics, maxIter=rounds, seed=seed, optimizer="online", docConcentration=[1.0 / topics], topicConcentration=1.0 / topics).fit(data)
     beta = model.topicsMatrix().toArray()  # size x topics
     beta = beta / beta.sum(0)
@@ -71,114 +130,143 @@ def fit_nmf(cells: DataFrame, size: int, topics: int, rounds: int = 30, seed: in
     """(topic, term_id, p): non-negative factors of smooth-idf, unit-length TF-IDF.
 
     The document side never leaves the executors: with term factors H (topics x size, bounded), each round sums WtV and WtW over
-    documents, whose rows of W follow from H alone.
+    documents, whose rows of W follow from H alone, a batch of documents at a time.
     """
     n = cells.agg(F.count_distinct("doc_id")).first()[0]
-    low = cells.where(F.col("term_id") < size)
-    df = low.groupBy("term_id").agg(F.count_distinct("doc_id").alias("df"))
-    rows = low.join(df, "term_id").withColumn("x", F.col("cnt") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1))
+    df = cells.groupBy("term_id").agg(F.count_distinct("doc_id").alias("df"))
+    rows = cells.join(df, "term_id").withColumn("x", F.col("cnt") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1))
     norm = rows.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("len"))
-    rows = rows.join(norm, "doc_id").select("doc_id", "term_id", (F.col("x") / F.col("len")).alias("x"))
-    packed = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("term_id", "x"))).alias("p")).select(F.col("p.term_id").alias("t"), F.col("p.x").alias("x")).persist()
+    docs = packed(rows.join(norm, "doc_id").select("doc_id", "term_id", (F.col("x") / F.col("len")).alias("x")), size, "x").persist()
     h = np.random.Generator(np.random.PCG64(seed)).random((topics, size)) + 0.1
     for _ in range(rounds):
-        shared = packed.sparkSession.sparkContext.broadcast(h)
+        shared = docs.sparkSession.sparkContext.broadcast(h)
 
-        def part(batches, shared=shared):
+        def fill(cells, batch, shared=shared):
             h = shared.value
-            hh, wv, ww = h @ h.T, np.zeros((topics, size)), np.zeros((topics, topics))
-            for pdf in batches:
-                for t, x in zip(pdf["t"], pdf["x"], strict=True):
-                    b, w = h[:, t] @ np.asarray(x), np.full(topics, 0.1)
-                    for _ in range(20):
-                        w *= b / np.maximum(hh @ w, 1e-12)
-                    wv[:, t] += np.outer(w, x)
-                    ww += np.outer(w, w)
-            yield pd.DataFrame({"wv": [wv.ravel()], "ww": [ww.ravel()]})
-
-        parts = packed.mapInPandas(part, "wv array<double>, ww array<double>").select(F.posexplode(F.concat("wv", "ww")).alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
-        flat = np.array([r["v"] for r in parts])
-        wv, ww = flat[: topics * size].reshape(topics, size), flat[topics * size :].reshape(topics, topics)
-        h = h * wv / np.maximum(ww @ h, 1e-12)
-    h = h / np.maximum(h.sum(1, keepdims=True), 1e-12)
-    long = pd.DataFrame({"topic": np.repeat(np.arange(topics), size), "term_id": np.tile(np.arange(size), topics), "p": h.ravel()})
-    return cells.sparkSession.createDataFrame(long, "topic int, term_id int, p double")
-
-
-def _sampled(cells: DataFrame, documents: int, size: int) -> DataFrame:
-    """The cells of at most `documents` documents, first by hash: the bound of a sequential sampler."""
-    low = cells.where(F.col("term_id") < size)
-    keys = low.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents)
-    return low.join(keys, "doc_id", "left_semi")
-
-
-def fit_gsdmm(cells: DataFrame, size: int, topics: int, documents: int = 2000, rounds: int = 20, alpha: float = 0.1, beta: float = 0.1, seed: int = 7) -> DataFrame:
-    """(topic, docs, top: its 10 most frequent terms) of a Gibbs mixture with one topic a document, on a sample of `documents`."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.Generator(np.random.PCG64(seed))
-        docs = [(g["term_id"].to_numpy(), g["cnt"].to_numpy()) for _, g in sorted(pdf.groupby("doc_id"))]
-        z = rng.integers(topics, size=len(docs))
-        m, n, nw = np.zeros(topics), np.zeros(topics), np.zeros((topics, size))
-        for k, (t, c) in zip(z, docs, strict=True):
-            m[k] += 1
-            n[k] += c.sum()
-            nw[k, t] += c
-        steps = [(np.repeat(t, c), np.concatenate([np.arange(x) for x in c])) for t, c in docs]
-        for _ in range(rounds):
-            for d, (t, c) in enumerate(docs):
-                k, total = z[d], int(c.sum())
-                m[k] -= 1
-                n[k] -= total
-                nw[k, t] -= c
-                words, seen = steps[d]
-                score = np.log(m + alpha) + np.log(nw[:, words] + beta + seen).sum(1) - np.log(n[:, None] + size * beta + np.arange(total)).sum(1)
-                p = np.exp(score - score.max())
-                k = int(rng.choice(topics, p=p / p.sum()))
-                z[d] = k
-                m[k] += 1
-                n[k] += total
-                nw[k, t] += c
-        order = sorted(range(topics), key=lambda k: -m[k])
-        return pd.DataFrame({"topic": range(topics), "docs": m[order].astype(int), "top": [np.argsort(-nw[k], kind="stable")[:10].tolist() for k in order]})
-
-    return _sampled(cells, documents, size).withColumn("g", F.lit(0)).groupBy("g").applyInPandas(run, "topic int, docs long, top array<int>")
-
-
-def fit_btm(terms: DataFrame, size: int, topics: int, biterms: int = 20_000, rounds: int = 10, alpha: float = 1.0, beta: float = 0.01, seed: int = 7) -> DataFrame:
-    """(topic, term_id, p) of a Gibbs sampler over at most `biterms` word pairs (a, b, n), the most frequent first."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.Generator(np.random.PCG64(seed))
-        pdf = pdf.sort_values(["a", "b"])
-        a, b, w = pdf["a"].to_numpy(), pdf["b"].to_numpy(), pdf["n"].to_numpy().astype(float)
-        z = rng.integers(topics, size=len(a))
-        m, nw = np.zeros(topics), np.zeros((topics, size))
-        np.add.at(m, z, w)
-        np.add.at(nw, (z, a), w)
-        np.add.at(nw, (z, b), w)
-        for _ in range(rounds):
-            for i in range(len(a)):
-                k = z[i]
-                m[k] -= w[i]
-                nw[k, a[i]] -= w[i]
-                nw[k, b[i]] -= w[i]
-                p = (m + alpha) * (nw[:, a[i]] + beta) * (nw[:, b[i]] + beta) / ((2 * m + size * beta) * (2 * m + 1 + size * beta))
-                k = int(rng.choice(topics, p=p / p.sum()))
-                z[i] = k
-                m[k] += w[i]
-                nw[k, a[i]] += w[i]
-                nw[k, b[i]] += w[i]
-        phi = (nw + beta) / (nw.sum(1, keepdims=True) + size * beta)
-        return pd.DataFrame({"topic": np.repeat(np.arange(topics), size), "term_id": np.tile(np.arange(size), topics), "p": phi.ravel()})
-
-    top = terms.where((F.col("a") < size) & (F.col("b") < size)).orderBy(F.desc("n"), "a", "b").limit(biterms)
-    return top.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(run, "topic int, term_id int, p double")
+            t, n, first = _ragged(batch.column(1))
+            x = _ragged(batch.column(2))[0]
+            b = np.add.reduceat(h.T[t] * x[:, None], first, axis=0)
+            w, hh = np.full_like(b, 0.1), h @ h.T
+            for _ in range(20):
+                w *= b / np.maximum(w @ hh, 1e-12)
+            part = np.repeat(w, n, axis=0) * x[:, None]
+            for k in range(topics):
+                cells[k * size : (k + 1) * size] += np.bincount(t, part[:, k], size)
+            cells[topics * size :] += (w.T @ w).ravel()
+
+        flat = summed(docs, fill, topics * (size + topics))
+        shared.destroy()
+        h = h * flat[: topics * size].reshape(topics, size) / np.maximum(flat[topics * size :].reshape(topics, topics) @ h, 1e-12)
+    docs.unpersist()
+    return _long(cells.sparkSession, h / np.maximum(h.sum(1, keepdims=True), 1e-12))
+
+
+def _uniform(*key) -> Column:
+    """A number in 0..1 by the hash of the key: the same wherever the row lies."""
+    return (F.pmod(F.xxhash64(*key), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+
+
+def fit_gsdmm(cells: DataFrame, size: int, topics: int, rounds: int = 20, alpha: float = 0.1, beta: float = 0.1, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """(topic, docs, top: its 10 most frequent terms), most documents first, and (doc_id, topic) of a Gibbs mixture with one topic a document.
+
+    All documents are sampled, in rounds: in each, half of them by hash draw anew against the counts of all others as the round found
+    them; counts are summed between rounds. A document's draws come from its own hash, so layout does not matter.
+    """
+    spark = cells.sparkSession
+    ensure_checkpoint_dir(spark)
+    state = packed(cells, size).withColumn("z", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(topics)).cast("int")).checkpoint()
+
+    def fill(cells, batch):
+        t, n, _ = _ragged(batch.column("t"))
+        x, z = _ragged(batch.column("x"))[0], batch.column("z").to_numpy()
+        cells[: topics * size] += np.bincount(np.repeat(z, n) * size + t, x, topics * size)
+        cells[topics * size :] += np.bincount(z, minlength=topics)
+
+    def counts():
+        flat = summed(state, fill, topics * (size + 1))
+        return flat[: topics * size].reshape(topics, size), flat[topics * size :]
+
+    for turn in range(rounds):
+        nw, m = counts()
+        shared = spark.sparkContext.broadcast((nw, m))
+
+        def step(batches, shared=shared):
+            nw, m = shared.value
+            total = nw.sum(1)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                t, n, _ = _ragged(batch.column("t"))
+                c = _ragged(batch.column("x"))[0].astype(np.int64)
+                z, u, move = batch.column("z").to_numpy(), batch.column("u").to_numpy(), batch.column("move").to_numpy()
+                of = np.repeat(np.arange(len(z)), n)
+                length = np.bincount(of, c, len(z)).astype(np.int64)
+                cell, doc = np.repeat(np.arange(len(t)), c), np.repeat(np.arange(len(z)), length)
+                mine = z[:, None] == np.arange(topics)
+                word = np.log(nw[:, t[cell]].T - mine[of[cell]] * c[cell, None] + beta + _within(c)[:, None])
+                all_ = np.log(total - mine[doc] * length[doc, None] + size * beta + _within(length)[:, None])
+                score = np.log(m - mine + alpha) + np.add.reduceat(word - all_, np.cumsum(length) - length, axis=0)
+                p = np.exp(score - score.max(1, keepdims=True))
+                cdf = np.cumsum(p, 1) / p.sum(1, keepdims=True)
+                new = np.minimum((cdf < u[:, None]).sum(1), topics - 1)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), batch.column("x"), pa.array(np.where(move < 0.5, new, z).astype("i4"))], ["doc_id", "t", "x", "z"])
+
+        drawn = state.withColumn("u", _uniform("doc_id", F.lit(seed), F.lit(turn))).withColumn("move", _uniform("doc_id", F.lit(turn), F.lit("move")))
+        state = drawn.mapInArrow(step, state.schema).checkpoint()
+    nw, m = counts()
+    order = sorted(range(topics), key=lambda k: (-m[k], k))
+    top = [(i, int(m[k]), [int(t) for t in np.argsort(-nw[k], kind="stable")[:10] if nw[k, t] > 0]) for i, k in enumerate(order)]
+    place = F.array_position(F.array(*map(F.lit, order)), F.col("z")).cast("int") - 1
+    return spark.createDataFrame(top, "topic int, docs long, top array<int>"), state.select("doc_id", place.alias("topic"))
+
+
+def fit_btm(pairs: DataFrame, size: int, topics: int, rounds: int = 10, alpha: float = 1.0, beta: float = 0.01, seed: int = 7) -> DataFrame:
+    """(topic, term_id, p) of a Gibbs sampler over all word pairs (a, b, n).
+
+    The n copies of a pair are drawn together, systematically: as many to each topic as its probability says, the rest by one hash.
+    Rounds as in fit_gsdmm.
+    """
+    spark = pairs.sparkSession
+    ensure_checkpoint_dir(spark)
+    both = numbered(numbered(pairs.withColumnRenamed("a", "term_id"), size).withColumnRenamed("term_id", "a").withColumnRenamed("b", "term_id"), size).withColumnRenamed("term_id", "b")
+    start = F.pmod(F.xxhash64("a", "b", F.lit(seed)), F.lit(topics))
+    state = both.select(F.col("a").cast("int"), F.col("b").cast("int"), F.col("n").cast("long"), F.transform(F.sequence(F.lit(0), F.lit(topics - 1)), lambda k: F.when(k == start, F.col("n")).otherwise(0).cast("long")).alias("c")).checkpoint()
+
+    def fill(cells, batch):
+        a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
+        c = _ragged(batch.column("c"))[0].reshape(-1, topics)
+        for k in range(topics):
+            cells[k * size : (k + 1) * size] += np.bincount(a, c[:, k], size) + np.bincount(b, c[:, k], size)
+
+    for turn in range(rounds):
+        shared = spark.sparkContext.broadcast(summed(state, fill, topics * size).reshape(topics, size))
+
+        def step(batches, shared=shared):
+            nw = shared.value
+            m = nw.sum(1) / 2
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                a, b, n = (batch.column(k).to_numpy() for k in ("a", "b", "n"))
+                c = _ragged(batch.column("c"))[0].reshape(-1, topics)
+                rest = m - c
+                p = (rest + alpha) * (nw[:, a].T - c + beta) * (nw[:, b].T - c + beta) / ((2 * rest + size * beta) * (2 * rest + 1 + size * beta))
+                cdf = np.cumsum(p, 1) / p.sum(1, keepdims=True)
+                cdf[:, -1] = 1.0
+                upto = np.ceil(n[:, None] * cdf - batch.column("u").to_numpy()[:, None]).clip(0, None).astype(np.int64)
+                new = np.diff(np.minimum(upto, n[:, None]), axis=1, prepend=0)
+                new = np.where(batch.column("move").to_numpy()[:, None] < 0.5, new, c)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype=np.int32) * topics, new.ravel())], ["a", "b", "n", "c"])
+
+        drawn = state.withColumn("u", _uniform("a", "b", F.lit(seed), F.lit(turn))).withColumn("move", _uniform("a", "b", F.lit(turn), F.lit("move")))
+        state = drawn.mapInArrow(step, state.schema).checkpoint()
+    nw = summed(state, fill, topics * size).reshape(topics, size)
+    return _long(spark, (nw + beta) / (nw.sum(1, keepdims=True) + size * beta))
 
 
 def pca_clusters(rows: DataFrame, key: str, vector: str, dims: int, clusters: int, seed: int = 7, starts: int = 1) -> DataFrame:
     """(key, topic): unit vectors of the first principal components, clustered; of several starts the one of least cost."""
-    data = rows.where(F.col(vector).isNotNull()).select(key, array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("raw")).repartition(8, key).sortWithinPartitions(key).persist()
+    data = rows.where(F.col(vector).isNotNull()).select(key, array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("raw")).sortWithinPartitions(key).persist()
     small = PCA(k=dims, inputCol="raw", outputCol="small").fit(data).transform(data)
     unit = Normalizer(inputCol="small", outputCol="features").transform(small)
     fits = [KMeans(k=clusters, seed=seed + i).fit(unit) for i in range(starts)]
@@ -199,48 +287,90 @@ def nearest_centroid(rows: DataFrame, key: str, vector: str, centroids: DataFram
     return rows.where(F.col(vector).isNotNull()).crossJoin(F.broadcast(all_)).select(key, F.array_min(far)["k"].alias(label))
 
 
-def spectral_prototypes(edges: DataFrame, topics: int, words: int = 10, least: int | None = None, centrality: float = 0.5, most_terms: int = 4000) -> DataFrame:
+def spectral_prototypes(edges: DataFrame, topics: int, words: int = 10, least: int | None = None, centrality: float = 0.5, rounds: int = 30, spare: int = 8, seed: int = 7) -> DataFrame:
     """(topic, slot, term_id): cores of the graph's clusters.
 
-    Active terms (at most most_terms, else an error) are split by the leading eigenvectors of the normalised graph, labelled by pivoted
-    QR; a core starts at its cluster's most connected word and grows by mean edge to the core plus centrality.
+    Terms with an edge are split by the leading eigenvectors of the normalised graph, labelled by pivoted QR; a core starts at its cluster's
+    most connected word and grows by mean edge to the core plus centrality. Eigenvectors come from subspace iteration with `spare` columns
+    more than topics: each round is one pass over the edges, and only terms x columns numbers are held on the driver.
     """
-    pdf = edges.limit(most_terms * most_terms).toPandas()
-    terms = np.unique(np.concatenate([pdf["src"], pdf["dst"]])) if len(pdf) else np.zeros(0, int)
-    if len(terms) > most_terms:
-        raise ValueError("too many terms for one matrix")
     spark = edges.sparkSession
     schema = "topic int, slot int, term_id int"
-    if len(terms) < topics * words:
+    edges = edges.select(F.col("src").cast("long"), F.col("dst").cast("long"), F.col("w").cast("double")).persist()
+    terms = np.array(sorted(r[0] for r in edges.select(F.explode(F.array("src", "dst"))).distinct().collect()), np.int64)  # one number a term
+    size = len(terms)
+    if size < topics * words:
+        edges.unpersist()
         return spark.createDataFrame([], schema)
-    g = np.zeros((len(terms), len(terms)))
-    i, j = np.searchsorted(terms, pdf["src"]), np.searchsorted(terms, pdf["dst"])
-    g[i, j] = g[j, i] = pdf["w"]
-    degree = g.sum(1)
-    lap = g / np.sqrt(np.outer(degree, degree))
-    vecs = np.linalg.eigh(lap)[1][:, -topics:]
+    named = spark.sparkContext.broadcast(terms)
+
+    def ends(batch):
+        return np.searchsorted(named.value, batch.column(0).to_numpy()), np.searchsorted(named.value, batch.column(1).to_numpy()), batch.column(2).to_numpy()
+
+    def both(cells, i, j, w):
+        cells += np.bincount(i, w, size) + np.bincount(j, w, size)
+
+    def degree_of(cells, batch):
+        both(cells, *ends(batch))
+
+    root = np.sqrt(summed(edges, degree_of, size))
+
+    def times(x):
+        """The normalised graph times x."""
+        shared = spark.sparkContext.broadcast(np.ascontiguousarray(x / root[:, None]))
+
+        def fill(cells, batch):
+            i, j, w = ends(batch)
+            x = shared.value
+            for k in range(x.shape[1]):
+                cells[k * size : (k + 1) * size] += np.bincount(i, w * x[j, k], size) + np.bincount(j, w * x[i, k], size)
+
+        return summed(edges, fill, size * x.shape[1]).reshape(x.shape[1], size).T / root[:, None]
+
+    q = np.linalg.qr(np.random.Generator(np.random.PCG64(seed)).normal(size=(size, min(size, topics + spare))))[0]
+    for _ in range(rounds):
+        q = np.linalg.qr(q + times(q))[0]  # the graph's eigenvalues are -1..1: shifted, the largest are the leading ones
+    small = np.linalg.eigh(q.T @ times(q))
+    vecs = q @ small[1][:, -topics:]
     pivots, left = [], vecs.T.copy()
     for _ in range(topics):  # the rows that span the eigenvectors best
         p = int((left**2).sum(0).argmax())
         pivots.append(p)
-        q = left[:, p] / max(np.linalg.norm(left[:, p]), 1e-300)
-        left = left - np.outer(q, q @ left)
+        v = left[:, p] / max(np.linalg.norm(left[:, p]), 1e-300)
+        left = left - np.outer(v, v @ left)
     u, _, vt = np.linalg.svd(vecs[pivots].T)
     label = np.abs(vecs @ (u @ vt)).argmax(1)
-    rows = []
-    for k in range(topics):
-        own = np.flatnonzero(label == k)
-        if len(own) < (least or words):
-            continue
-        inner = g[np.ix_(own, own)]
-        weight = inner.sum(1) / max(inner.sum(1).max(), 1e-300)
-        core = [int(weight.argmax())]
-        while len(core) < words:
-            gain = inner[:, core].mean(1) + centrality * weight
-            gain[core] = -np.inf
-            core.append(int(gain.argmax()))
-        rows += [(k, s, int(terms[own[c]])) for s, c in enumerate(core)]
-    return spark.createDataFrame(rows, schema)
+    known = spark.sparkContext.broadcast(label)
+
+    def inner_of(cells, batch):
+        i, j, w = ends(batch)
+        same = known.value[i] == known.value[j]
+        both(cells, i[same], j[same], w[same])
+
+    inner = summed(edges, inner_of, size)
+    owns = {k: own for k in range(topics) if len(own := np.flatnonzero(label == k)) >= max(least or words, words)}
+    weight = np.zeros(size)
+    for own in owns.values():
+        weight[own] = inner[own] / max(inner[own].max(), 1e-300)
+    cores = {k: [int(own[weight[own].argmax()])] for k, own in owns.items()}
+    met = np.zeros(size)
+    for _ in range(words - 1 if cores else 0):
+        last = spark.sparkContext.broadcast(np.array([c[-1] for c in cores.values()]))
+
+        def met_by(cells, batch, last=last):
+            i, j, w = ends(batch)
+            same = known.value[i] == known.value[j]
+            for a, b in ((i, j), (j, i)):
+                hit = same & np.isin(a, last.value)
+                cells += np.bincount(b[hit], w[hit], size)
+
+        met += summed(edges, met_by, size)
+        for k, own in owns.items():
+            gain = met[own] / len(cores[k]) + centrality * weight[own]
+            gain[np.isin(own, cores[k])] = -np.inf
+            cores[k].append(int(own[gain.argmax()]))
+    edges.unpersist()
+    return spark.createDataFrame([(k, s, int(terms[c])) for k, core in cores.items() for s, c in enumerate(core)], schema)
 
 
 def align_cores(cores: DataFrame, p: DataFrame, topics: int) -> DataFrame:
@@ -273,21 +403,56 @@ def parameter_counts(spark: SparkSession, topics: int, vocabulary: int, strata:
 
 
 def synthetic_counts(spark: SparkSession, documents: int, topics: int, vocabulary: int, strata: int, length: int, seed: int = 7) -> DataFrame:
-    """(doc_id, stratum, term_id, cnt) of block topics with stratum-dependent proportions: a test corpus."""
-    rng = np.random.Generator(np.random.PCG64(seed))
+    """(doc_id, stratum, term_id, cnt) of block topics with stratum-dependent proportions: a test corpus, drawn on the executors, each
+    document from its own seed."""
     beta = np.full((topics, vocabulary), 0.1 / vocabulary)
     for k in range(topics):
         beta[k, k * vocabulary // topics : (k + 1) * vocabulary // topics] += 0.9 * topics / vocabulary
     beta /= beta.sum(1, keepdims=True)
-    rows = []
-    for d in range(documents):
-        g = d % strata
-        theta = rng.dirichlet(np.where(np.arange(topics) % strata == g, 1.0, 0.2))
-        count = rng.multinomial(length, theta @ beta)
-        rows += [(f"s{d:05d}", f"g{g}", int(t), int(c)) for t, c in enumerate(count) if c]
-    return spark.createDataFrame(rows, "doc_id string, stratum string, term_id int, cnt long")
-
-
-def log_gamma_ratio(n: int, a: float) -> float:
-    """ln Gamma(a + n) - ln Gamma(a)."""
-    return math.lgamma(a + n) - math.lgamma(a)
+
+    def draw(batches):
+        for batch in batches:
+            rows = []
+            for d in batch.column(0).to_pylist():
+                rng = np.random.Generator(np.random.PCG64([seed, d]))
+                theta = rng.dirichlet(np.where(np.arange(topics) % strata == d % strata, 1.0, 0.2))
+                count = rng.multinomial(length, theta @ beta)
+                rows += [(f"s{d:05d}", f"g{d % strata}", int(t), int(count[t])) for t in np.flatnonzero(count)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], ["doc_id", "stratum", "term_id", "cnt"])
+
+    return spark.range(documents).mapInArrow(draw, "doc_id string, stratum string, term_id int, cnt long")
+
+
+def affinity_logits(topics: DataFrame, words: DataFrame, temperature: float, most: int = 10_000) -> DataFrame:
+    """(topic, term_id, z): minus the squared distance of topic (topic, embedding) and word vectors (term_id, embedding), divided by the
+    temperature, which must be positive.
+
+    Topics, counted to be at most `most`, go to each word as one array; words are neither multiplied by a join nor shuffled. Words or topics
+    without a vector have no row.
+    """
+    if temperature <= 0:
+        raise ValueError("the temperature must be positive")
+    if topics.limit(most + 1).count() > most:
+        raise ValueError("too many topics to send to every word")
+    all_ = topics.where("embedding is not null").agg(F.array_sort(F.collect_list(F.struct("topic", "embedding"))).alias("all"))
+    d = lambda e: F.aggregate(F.zip_with("embedding", e, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
+    z = F.transform("all", lambda x: F.struct(x["topic"].alias("topic"), (-d(x["embedding"]) / temperature).alias("z")))
+    rows = words.where("embedding is not null").crossJoin(F.broadcast(all_)).select("term_id", F.explode(z).alias("x"))  # all_ is one row
+    return rows.select("x.topic", "term_id", "x.z")
+
+
+def term_vectors(cells: DataFrame, dims: int = 64, seed: int = 7) -> DataFrame:
+    """(term_id, embedding) of unit length: a term's vector is the sum of random signs of the documents that hold it, weighted by 1 / ln(1 +
+    the document's terms): terms that share documents are near each other.
+
+    No document pair is made and no matrix is held: signs come from a hash of the document, sums are one aggregate. A term whose signs
+    cancel out, and a null term, have no row.
+    """
+    size = cells.groupBy("doc_id").agg(F.count("*").alias("n"))
+    rows = cells.where("term_id is not null and doc_id is not null").select("doc_id", "term_id").join(size, "doc_id")
+    bits = F.array(*[F.xxhash64("doc_id", F.lit(seed), F.lit(k)) for k in range(-(-dims // 64))])
+    sign = lambda i: F.when(F.getbit(bits[i // 64], F.lit(i % 64)) == 1, 1.0).otherwise(-1.0)
+    sums = rows.withColumn("w", 1 / F.log1p("n")).groupBy("term_id").agg(*[F.sum(F.col("w") * sign(i)).alias(f"v{i}") for i in range(dims)])
+    length = F.sqrt(sum(F.col(f"v{i}") * F.col(f"v{i}") for i in range(dims)))
+    return sums.withColumn("len", length).where("len > 0").select("term_id", F.array(*[F.col(f"v{i}") / F.col("len") for i in range(dims)]).alias("embedding"))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from railcorpus.functions.text import hash32
+from railcorpus.operators.corpus import ordinal
 
 FLOOR = 1e-12
 
@@ -111,43 +113,75 @@ def completion_split(cells: DataFrame, seed: str = "7", least: int = 2) -> DataF
 
 
 def pcg64_completion(cells: DataFrame, seed: int = 7, least: int = 2) -> DataFrame:
-    """The same split with NumPy's binomial draws, seeded by document: (doc_id, term_id, observed, target)."""
+    """The same split with NumPy's binomial draws, seeded by document: (doc_id, term_id, observed, target). Documents are packed, so a
+    batch holds many of them."""
     import hashlib
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("term_id")
-        count = pdf["cnt"].to_numpy()
-        if count.sum() < least:
-            return pdf.iloc[:0].assign(observed=0, target=0)[["doc_id", "term_id", "observed", "target"]]
-        digest = hashlib.sha256(f"completion|{seed}|{pdf['doc_id'].iloc[0]}".encode()).digest()
-        seen = np.random.Generator(np.random.PCG64(int.from_bytes(digest[:8], "little"))).binomial(count, 0.5)
-        if seen.sum() == 0:
-            seen[count.argmax()] += 1
-        elif seen.sum() == count.sum():
-            seen[count.argmax()] -= 1
-        return pd.DataFrame({"doc_id": pdf["doc_id"], "term_id": pdf["term_id"], "observed": seen, "target": count - seen})
-
-    return cells.groupBy("doc_id").applyInPandas(one, "doc_id string, term_id int, observed long, target long")
+    pairs = cells.groupBy("doc_id").agg(F.sum("cnt").alias("tokens"), F.array_sort(F.collect_list(F.struct("term_id", "cnt"))).alias("p")).where(F.col("tokens") >= least)
+
+    def run(batches):
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            count = batch.column(1).flatten().to_numpy()
+            n = pc.list_value_length(batch.column(1)).to_numpy()
+            seen, at = np.empty_like(count), 0
+            for name, k in zip(names, n, strict=True):
+                c = count[at : at + k]
+                digest = hashlib.sha256(f"completion|{seed}|{name}".encode()).digest()
+                s = np.random.Generator(np.random.PCG64(int.from_bytes(digest[:8], "little"))).binomial(c, 0.5)
+                if not s.any():
+                    s[c.argmax()] += 1
+                elif s.sum() == c.sum():
+                    s[c.argmax()] -= 1
+                seen[at : at + k] = s
+                at += k
+            kept = [batch.column(0).take(pa.array(np.repeat(np.arange(len(n)), n))), batch.column(2).flatten(), pa.array(seen), pa.array(count - seen)]
+            yield pa.RecordBatch.from_arrays(kept, ["doc_id", "term_id", "observed", "target"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in cells.schema}
+    return pairs.select("doc_id", F.col("p.cnt").cast("array<bigint>").alias("c"), F.col("p.term_id").alias("t")).mapInArrow(run, f"doc_id {kinds['doc_id']}, term_id {kinds['term_id']}, observed long, target long")
+
+
+def _quotas(load: list[int], size: int, count: int) -> list[int]:
+    """How many of `count` groups of one size each fold gets, if each goes to the least loaded fold, the first on ties."""
+    ready = lambda t: [max(0, -(-(t - x) // size)) for x in load]  # noqa: E731  groups taken before a load of t is reached
+    lo, hi = min(load), min(load) + size * (count + 1)
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if sum(ready(mid)) <= count else (lo, mid - 1)
+    out = ready(lo)
+    for f, x in enumerate(load):
+        if sum(out) == count:
+            break
+        if lo >= x and (lo - x) % size == 0:
+            out[f] += 1
+    return out
 
 
 def group_folds(rows: DataFrame, k: int = 5, seed: int = 7) -> DataFrame:
     """(stratum, group_key, size, fold): groups never split; per stratum, larger groups first, each to the least loaded fold.
 
-    rows: (stratum, group_key). Equal loads are settled by a hash. Groups are counted first, so a task holds a stratum's groups only.
+    rows: (stratum, group_key); rows without either are left out. Groups of one size are alike to the greedy rule, so it runs over the
+    numbers of groups by size only (at most the square root of twice the rows); the groups of a size, in the order of a hash, fill the folds'
+    shares one after the other. No task holds a stratum's groups.
     """
-    import hashlib
-
+    spark = rows.sparkSession
     sizes = rows.where("stratum is not null and group_key is not null").groupBy("stratum", "group_key").agg(F.count("*").alias("size"))
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        digest = [hashlib.sha256(f"{seed}|{g}".encode()).hexdigest() for g in pdf["group_key"]]
-        pdf = pdf.assign(digest=digest).sort_values(["size", "digest"], ascending=[False, True])
-        load, fold = [0] * k, []
-        for size, d in zip(pdf["size"], pdf["digest"], strict=True):
-            tied = [i for i, x in enumerate(load) if x == min(load)]
-            pick = tied[int(hashlib.sha256(f"tie|{d}".encode()).hexdigest()[:8], 16) % len(tied)]
-            load[pick] += int(size)
-            fold.append(pick)
-        return pdf.assign(fold=fold)[["stratum", "group_key", "size", "fold"]]
-
-    return sizes.groupBy("stratum").applyInPandas(one, "stratum string, group_key string, size long, fold int")
+    sizes = sizes.withColumn("mark", F.sha2(F.concat_ws("|", F.lit(str(seed)), "group_key"), 256)).persist()
+    classes: dict = {}
+    for r in sizes.groupBy("stratum", "size").agg(F.count("*").alias("n")).collect():  # strata x sizes
+        classes.setdefault(r["stratum"], []).append((r["size"], r["n"]))
+    table = []
+    for stratum, found in classes.items():
+        load = [0] * k
+        for size, n in sorted(found, reverse=True):
+            share = _quotas(load, size, n)
+            load = [x + size * q for x, q in zip(load, share, strict=True)]
+            table.append((stratum, size, np.cumsum(share).tolist()))
+    placed = ordinal(sizes, "stratum", "size", "mark", "group_key")
+    first = placed.groupBy("stratum", "size").agg(F.min("position").alias("first"))
+    kind = rows.schema["stratum"].dataType.simpleString()
+    upto = spark.createDataFrame(table, f"stratum {kind}, size long, upto array<long>")
+    own = placed.join(first.join(upto, ["stratum", "size"]), ["stratum", "size"])
+    at = F.col("position") - F.col("first")
+    return own.select("stratum", "group_key", "size", F.size(F.filter("upto", lambda x: x <= at)).cast("int").alias("fold"))
