@@ -8,7 +8,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from railcorpus.operators.corpus import table_fingerprint
+from railcorpus.operators.corpus import ordinal, table_fingerprint
 from railcorpus.operators.graph import both_ways
 from railcorpus.operators.topics import normalise, softmax
 
@@ -87,6 +87,45 @@ def lexical_terms(members: DataFrame, edges: DataFrame, capacity: float = 1.0) -
     return topic.crossJoin(word).select("association", F.try_divide("pairs", F.col("k") * (F.col("k") - 1) / 2).alias("overlap"), "excess", "unsupported")  # one row each
 
 
+def prototype_lexical(
+    affinity: DataFrame, edges: DataFrame, residual: DataFrame, cores: DataFrame, k: int = 10, temperature: float = 0.1, margin: float = 0.1, most_shift: float = 1.0,
+    weights: tuple[float, float, float, float] = (1.0, 1.0, 1.0, 1.0),
+) -> DataFrame:
+    """One row: association_loss, overlap, prototype_margin, unsupported_mass, residual_energy, their total, duplicate_slots and core_recall.
+
+    affinity: (topic, term_id, p) of every topic and term; residual: (topic, term_id, z) before centring; cores: (topic, slot, term_id). Scores are
+    standardised log shares, memberships their soft top k. overlap: what a topic's memberships, brought to sum 1, share with another topic on average;
+    prototype_margin: how far core words stay below the best other word and the margin; unsupported_mass: share of memberships on words without an
+    edge; residual_energy: mean square of the centred residual in units of most_shift. weights: of the last four in the total. duplicate_slots:
+    displayed places that repeat a word of another topic; core_recall: displayed share of the core words.
+    """
+    from railcorpus.operators.topics import association, rank_scores, soft_top_k, top_words
+
+    scores = rank_scores(affinity).persist()
+    members = soft_top_k(scores, k, temperature).persist()
+    names = members.agg(F.count_distinct("topic").alias("topics"))
+    loss = association(members, edges).agg(F.avg("loss").alias("association_loss"))
+    mass, word = members.groupBy("topic").agg(F.sum("m").alias("mass")), members.groupBy("term_id").agg(F.sum("m").alias("all"))
+    shared = members.join(word, "term_id").join(mass, "topic").agg(F.sum(F.col("m") * (F.col("all") - F.col("m")) / F.col("mass")).alias("shared"))
+    core = cores.select("topic", "term_id").distinct()
+    edge = scores.join(core, ["topic", "term_id"], "left_anti").groupBy("topic").agg(F.max("score").alias("edge"))
+    behind = scores.join(core, ["topic", "term_id"]).join(edge, "topic").agg(F.coalesce(F.avg(F.greatest(F.col("edge") + margin - F.col("score"), F.lit(0.0))), F.lit(0.0)).alias("prototype_margin"))
+    active = both_ways(edges).select(F.col("src").alias("term_id")).distinct()
+    loose = members.join(active, "term_id", "left_anti").agg(F.coalesce(F.sum("m"), F.lit(0.0)).alias("loose"))
+    centre = residual.groupBy("term_id").agg(F.avg("z").alias("mean"))
+    energy = residual.join(centre, "term_id").agg(F.coalesce(F.avg(F.pow((F.col("z") - F.col("mean")) / most_shift, 2)), F.lit(0.0)).alias("residual_energy"))
+    shown = top_words(scores, "score", k).select("topic", "term_id").persist()
+    repeats = shown.groupBy("term_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_slots"))
+    recall = core.join(shown.withColumn("hit", F.lit(1.0)), ["topic", "term_id"], "left").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("core_recall"))
+    one = names
+    for part in (loss, shared, behind, loose, energy, repeats, recall):
+        one = one.crossJoin(part)  # one row each
+    one = one.withColumn("overlap", F.col("shared") / F.greatest(F.col("topics") * (F.col("topics") - 1), F.lit(1))).withColumn("unsupported_mass", F.col("loose") / (F.col("topics") * k))
+    parts = ("overlap", "prototype_margin", "unsupported_mass", "residual_energy")
+    total = F.col("association_loss") + sum(w * F.col(p) for w, p in zip(weights, parts, strict=True))
+    return one.select("association_loss", *parts, total.alias("total"), "duplicate_slots", "core_recall")
+
+
 def decode(mass: DataFrame, affinity: DataFrame, scale: DataFrame) -> DataFrame:
     """(doc_id, term_id, p): document mass (doc_id, topic, m) times affinity (topic, term_id, p), an affine map per term (term_id, a, b),
     softmax over terms. As large as documents x terms: give it the documents and terms that are wanted."""
@@ -108,17 +147,52 @@ def conditioned(beta: DataFrame, residual: DataFrame, gate: float) -> DataFrame:
     return normalise(rows, "g", "p").select("stratum", "topic", "term_id", "p")
 
 
-def variant_registry(spark: SparkSession, quota: int, rho: float, calibration: str) -> DataFrame:
-    """The five paired variants and what each leaves out."""
-    rows = [("full", True, True, calibration), ("no_graph", False, True, "none"), ("no_pooled", True, False, calibration), ("no_calibration", True, True, "none"), ("parent", False, False, "none")]
-    return spark.createDataFrame([(n, quota if g else 0, rho if p else 0.0, c) for n, g, p, c in rows], "variant string, prototype_quota int, pooled_weight double, calibration string")
+def case_grid_audit(items: DataFrame, row: str, column: str, expected: int = 1) -> DataFrame:
+    """(row, column, items, status) of every cell of the grid of all rows and columns seen: PASS with exactly `expected` items, missing cells too."""
+    seen = items.where(F.col(row).isNotNull() & F.col(column).isNotNull())
+    grid = seen.select(row).distinct().crossJoin(seen.select(column).distinct())  # as large as the audit itself
+    counted = seen.groupBy(row, column).agg(F.count("*").alias("items"))
+    return grid.join(counted, [row, column], "left").na.fill(0, ["items"]).withColumn("status", F.when(F.col("items") == expected, "PASS").otherwise("FAIL"))
+
+
+def seeded_permutation(items: DataFrame, by: str, key: str, seed: str) -> DataFrame:
+    """items with place 0.. in each group: a permutation set by the seed and the keys alone. Keys must be unique in their group; it is numbered over
+    ranges, so no group is one task."""
+    mark = F.sha2(F.concat_ws("|", F.lit(seed), F.col(by).cast("string"), F.col(key).cast("string")), 256)
+    placed = ordinal(items.withColumn("_mark", mark), by, "_mark", key)
+    first = placed.groupBy(by).agg(F.min("position").alias("_first"))
+    both = placed.join(first.withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by")))
+    return both.withColumn("place", F.col("position") - F.col("_first")).drop("_mark", "position", "_first", "_by")
+
 
+def variant_registry(variants: DataFrame, quota: int, rho: float, calibration: str) -> DataFrame:
+    """(variant, prototype_quota, pooled_weight, calibration) of a table of variants (variant, graph, pooled, calibrated): what each keeps of the
+    full model's settings. A repeated or null variant is an error."""
+    if variants.groupBy("variant").count().where("count > 1 or variant is null").limit(1).count():
+        raise ValueError("variants are repeated or have no name")
+    return variants.select("variant", F.when(F.col("graph"), quota).otherwise(0).alias("prototype_quota"), F.when(F.col("pooled"), rho).otherwise(0.0).alias("pooled_weight"), F.when(F.col("graph") & F.col("calibrated"), calibration).otherwise("none").alias("calibration"))
 
-def access_ledger(spark: SparkSession, read: list[str], prohibited: list[str]) -> DataFrame:
-    """(artifact, access): what a stage may read and what it must not; an artifact on both lists is an error."""
-    if set(read) & set(prohibited):
-        raise ValueError(f"both read and prohibited: {sorted(set(read) & set(prohibited))}")
-    return spark.createDataFrame([(a, "read") for a in read] + [(a, "prohibited") for a in prohibited], "artifact string, access string")
+
+def access_ledger(accesses: DataFrame, prohibited: DataFrame) -> DataFrame:
+    """(artifact, access, reads) of accesses (artifact) and what must not be read (artifact): read, prohibited, or violation where a prohibited
+    artifact has been read."""
+    used = accesses.groupBy("artifact").agg(F.count("*").alias("reads"))
+    barred = prohibited.select("artifact").distinct().withColumn("_barred", F.lit(True))
+    access = F.when(F.col("_barred").isNull(), "read").when(F.col("reads").isNull(), "prohibited").otherwise("violation")
+    return used.join(barred, "artifact", "full").select("artifact", access.alias("access"), F.coalesce("reads", F.lit(0)).alias("reads"))
+
+
+def prototype_ceiling(cores: DataFrame, fit: DataFrame, held: DataFrame, edges: DataFrame, least_documents: int, window: int = 110) -> DataFrame:
+    """(topic, npmi, held_npmi, c_v, held_c_v, df_share, degree_share, edge_share): cores (topic, slot, term_id) scored as displayed words, in
+    their own order, on the fit and on the held-out cells."""
+    from railcorpus.operators import corpus, graph, topics
+
+    top = cores.select("topic", (F.col("slot") + 1).alias("rank"), "term_id").persist()
+    out = graph.top_word_support(top, edges, corpus.document_frequency(fit), least_documents)
+    for cells, name in ((fit, ""), (held, "held_")):
+        out = out.join(topics.document_npmi(cells, top).select("topic", F.col("npmi").alias(f"{name}npmi")), "topic", "left")
+        out = out.join(topics.cv_coherence(corpus.expand_tokens(cells), top, window).withColumnRenamed("c_v", f"{name}c_v"), "topic", "left")
+    return out
 
 
 def training_view(cells: DataFrame, forbidden: tuple[str, ...] = ("target", "stratum", "city", "split")) -> DataFrame:
@@ -133,26 +207,35 @@ class Comparator(Protocol):
 
 
 def comparators() -> dict[str, Callable]:
-    """The closed registry of methods, one signature."""
+    """The closed registry of methods, one signature: (topic, term_id, p) of the training view of cells."""
+    from railcorpus.operators import corpus as C
     from railcorpus.operators import models as M
 
-    return {
-        "lda": lambda cells, size, topics, seed: M.fit_lda(training_view(cells), size, topics, seed)[0],
-        "nmf": lambda cells, size, topics, seed: M.fit_nmf(training_view(cells), size, topics, seed=seed),
-    }
+    def biterm(cells, size, topics, seed):
+        return M.fit_btm(C.biterms(C.expand_tokens(cells), 15), size, topics, seed=seed)
+
+    def mixture(cells, size, topics, seed):
+        classes = M.fit_gsdmm(cells, size, topics, seed=seed)[1]
+        from railcorpus.operators.topics import class_distribution
+
+        return class_distribution(cells, classes)
+
+    fits = {"lda": lambda c, v, k, s: M.fit_lda(c, v, k, s)[0], "nmf": lambda c, v, k, s: M.fit_nmf(c, v, k, seed=s), "gsdmm": mixture, "btm": biterm}
+    return {name: (lambda cells, size, topics, seed, f=f: f(training_view(cells), size, topics, seed)) for name, f in fits.items()}
 
 
 def freeze(df: DataFrame, folder: str) -> DataFrame:
-    """Write df once beside its fingerprint; a second call reads it back and fails if it has been changed."""
+    """Write df once beside its fingerprint; a second call reads it back and fails if it has been changed. A folder without its mark is
+    what a broken write left: it is written anew."""
     spark = df.sparkSession
     mark = f"{folder}/mark"
     try:
         kept = spark.read.parquet(mark).first()
     except Exception as error:  # an absent path has its own class only on the server side
-        if "PATH_NOT_FOUND" not in str(error):
+        if not any(x in str(error) for x in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")):
             raise
-        df.write.parquet(f"{folder}/rows")
-        table_fingerprint(spark.read.parquet(f"{folder}/rows")).write.parquet(mark)
+        df.write.mode("overwrite").parquet(f"{folder}/rows")
+        table_fingerprint(spark.read.parquet(f"{folder}/rows")).write.mode("overwrite").parquet(mark)
         return spark.read.parquet(f"{folder}/rows")
     rows = spark.read.parquet(f"{folder}/rows")
     if table_fingerprint(rows).first() != kept:

@@ -63,21 +63,32 @@ def paired_effects(rows: DataFrame, pair: str, variant: str, value: str, full: s
 def bootstrap_mean(rows: DataFrame, by: str, value: str, resamples: int = 10_000, seed: int = 7) -> DataFrame:
     """(by, n, mean, low, high): percentile bootstrap of a mean.
 
-    A group is first counted by value, so a task holds its distinct values; resampled means are multinomial draws over them.
+    Rows are counted by value first; each value's copies then draw Poisson weights for all resamples from a seed of their own. Partitions
+    give sums by resample, so no task holds a group, and the result does not hang on the layout.
     """
-    counted = rows.where(F.col(value).isNotNull()).groupBy(by, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    rows = rows.where(F.col(value).isNotNull())
+    kind = rows.schema[by].dataType.simpleString()
+    counted = rows.groupBy(by, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c")).select("*", F.xxhash64(by, "v").alias("h"))
+
+    def part(frames):
+        held: dict = {}
+        for pdf in frames:
+            for g, v, c, h in zip(pdf[by], pdf["v"], pdf["c"], pdf["h"], strict=True):
+                w = np.random.Generator(np.random.PCG64([seed, h & (1 << 64) - 1])).poisson(c, resamples)
+                sums = held.setdefault(None if g is None or g != g else g, np.zeros((2, resamples)))
+                sums[0] += w * v
+                sums[1] += w
+        yield pd.DataFrame({by: list(held), "sums": [s.ravel() for s in held.values()]})
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("v")
-        v, c = pdf["v"].to_numpy(), pdf["c"].to_numpy()
-        n = int(c.sum())
-        rng = np.random.Generator(np.random.PCG64(seed))
-        means = np.concatenate([rng.multinomial(n, c / n, size=min(500, resamples - k)) @ v / n for k in range(0, resamples, 500)])
-        low, high = np.quantile(means, [0.025, 0.975])
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "n": [n], "mean": [float((c * v).sum() / n)], "low": [low], "high": [high]})
+        total, weight = np.sum(pdf["sums"].to_list(), 0).reshape(2, resamples)
+        means = total[weight > 0] / weight[weight > 0]
+        low, high = np.quantile(means, [0.025, 0.975]) if len(means) else (None, None)
+        return pd.DataFrame({by: [pdf[by].iloc[0]], "low": [low], "high": [high]})
 
-    kind = rows.schema[by].dataType.simpleString()
-    return counted.groupBy(by).applyInPandas(one, f"{by} {kind}, n long, mean double, low double, high double")
+    spread = counted.mapInPandas(part, f"{by} {kind}, sums array<double>").groupBy(by).applyInPandas(one, f"{by} {kind}, low double, high double")
+    plain = rows.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("n"), F.avg(F.col(value).cast("double")).alias("mean"))
+    return plain.join(spread, F.col("_by").eqNullSafe(F.col(by))).select(F.col("_by").alias(by), "n", "mean", "low", "high")
 
 
 def cluster_bootstrap(rows: DataFrame, by: str, item: str, value: str, resamples: int = 2000, seed: int = 7) -> DataFrame:
@@ -86,14 +97,15 @@ def cluster_bootstrap(rows: DataFrame, by: str, item: str, value: str, resamples
     Every item draws its own Poisson(1) weights from a hash of (item, resample), so items are never gathered and each resample is
     a sum over the whole table, combined map-side.
     """
-    items = rows.where(F.col(value).isNotNull() & F.col(item).isNotNull()).groupBy(by, item).agg(F.sum(value).alias("s"), F.count("*").alias("c"))
+    items = rows.where(F.col(value).isNotNull() & F.col(item).isNotNull()).groupBy(by, item).agg(F.sum(value).alias("_s"), F.count("*").alias("_c"))
     # Cumulative Poisson(1) probabilities.
     steps = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
-    u = F.pmod(F.xxhash64(F.col(item), F.col("k"), F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
-    draws = items.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("w", sum((u >= s).cast("int") for s in steps))
-    means = draws.groupBy(by, "k").agg(F.try_divide(F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("c"))).alias("m"))
-    spread = means.groupBy(by).agg(F.expr("percentile(m, 0.025)").alias("low"), F.expr("percentile(m, 0.975)").alias("high"))
-    return items.groupBy(by).agg(F.count("*").alias("items"), (F.sum("s") / F.sum("c")).alias("mean")).join(spread, by)
+    u = F.pmod(F.xxhash64(F.col(item), F.col("_k"), F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
+    draws = items.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("_w", sum((u >= s).cast("int") for s in steps))
+    means = draws.groupBy(by, "_k").agg(F.try_divide(F.sum(F.col("_w") * F.col("_s")), F.sum(F.col("_w") * F.col("_c"))).alias("_m"))
+    spread = means.groupBy(F.col(by).alias("_by")).agg(F.expr("percentile(_m, 0.025)").alias("low"), F.expr("percentile(_m, 0.975)").alias("high"))
+    plain = items.groupBy(by).agg(F.count("*").alias("items"), (F.sum("_s") / F.sum("_c")).alias("mean"))
+    return plain.join(spread, F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
 
 
 def krippendorff(ratings: DataFrame, item: str, value: str, ordinal: bool) -> DataFrame:
@@ -177,3 +189,48 @@ def coverage_gap(rows: DataFrame, key: str, other: DataFrame) -> DataFrame:
     """(shared, total, share): how many of rows' keys the other table has."""
     known = other.select(key).distinct().withColumn("_hit", F.lit(1))
     return rows.select(key).distinct().join(known, key, "left").agg(F.count("_hit").alias("shared"), F.count("*").alias("total"), (F.count("_hit") / F.count("*")).alias("share"))
+
+
+def run_diagnostics(runs: DataFrame, method: str, runtime: str, converged: Column, device: str) -> DataFrame:
+    """(method, runs, mean, sd, converged, devices) of a table of runs: runtime's mean and sample sd, how many converged, on which devices."""
+    return runs.groupBy(method).agg(F.count("*").alias("runs"), F.avg(runtime).alias("mean"), F.stddev_samp(runtime).alias("sd"), F.count_if(converged).alias("converged"), F.array_sort(F.collect_set(device)).alias("devices"))
+
+
+def finite(value: Column) -> Column:
+    """Neither null nor NaN nor infinite."""
+    return F.coalesce(~F.isnan(value) & ~F.abs(value).isin(float("inf")), F.lit(False))
+
+
+def final_diagnostics(rows: DataFrame, variant: str, seed: str, metrics: list[str], expected: DataFrame) -> DataFrame:
+    """(variant, metric, least, most, bad, seeds, whole): range of each metric, values that are not finite, and whether every expected seed
+    (one column) has a row and no other has."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics]))
+    long = rows.select(F.col(variant).alias("variant"), F.col(seed).alias("_seed"), pairs.alias("x")).select("variant", "_seed", "x.*")
+    known = expected.select(F.col(expected.columns[0]).alias("_seed"), F.lit(True).alias("_known")).distinct()
+    wanted = known.agg(F.count("*").alias("_wanted"))
+    good = F.when(finite(F.col("v")), F.col("v"))
+    out = long.join(known, "_seed", "left").groupBy("variant", "metric").agg(
+        F.min(good).alias("least"), F.max(good).alias("most"), F.count_if(~finite(F.col("v"))).alias("bad"), F.count_distinct("_seed").alias("seeds"), F.count_if(F.col("_known").isNull()).alias("_odd")
+    )
+    return out.crossJoin(F.broadcast(wanted)).withColumn("whole", (F.col("seeds") == F.col("_wanted")) & (F.col("_odd") == 0)).drop("_wanted", "_odd")  # one row
+
+
+def panel(ratings: DataFrame, by: str, item: str, value: str, vote: Column, resamples: int = 2000) -> DataFrame:
+    """(by, items, ratings, numerator, denominator, rate, mean, low, high): a panel's votes as a share of its ratings, and the mean rating with its
+    item-cluster bootstrap interval. Null ratings count nowhere."""
+    rated = ratings.where(F.col(value).isNotNull())
+    out = rated.groupBy(by).agg(F.count_distinct(item).alias("items"), F.count("*").alias("ratings"), F.count_if(vote).alias("numerator"), F.avg(value).alias("mean")).withColumn("denominator", F.col("ratings")).withColumn("rate", F.col("numerator") / F.col("denominator"))
+    spread = cluster_bootstrap(rated.select(by, item, F.col(value).cast("double").alias(value)), by, item, value, resamples).select(F.col(by).alias("_by"), "low", "high")
+    return out.join(spread, F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
+
+
+def reliability(ratings: DataFrame, item: str, outcomes: list[tuple[str, bool]], decimals: int = 3) -> DataFrame:
+    """(outcome, coefficient, value, reported, estimable) of each outcome column, ordinal or not; N/E where no disagreement can be expected."""
+    out = None
+    for column, ordinal in outcomes:
+        a = krippendorff(ratings, item, column, ordinal).select(
+            F.lit(column).alias("outcome"), F.lit(f"krippendorff_alpha_{'ordinal' if ordinal else 'nominal'}").alias("coefficient"), F.col("alpha").alias("value"),
+            F.when(F.col("alpha").isNull(), "N/E").otherwise(F.format_string(f"%.{decimals}f", "alpha")).alias("reported"), F.col("alpha").isNotNull().alias("estimable"),
+        )
+        out = a if out is None else out.unionByName(a)
+    return out

@@ -229,12 +229,33 @@ def soft_top_k(scores: DataFrame, k: int, temperature: float = 0.1, rounds: int
     return scores.join(found, "topic").select("topic", "term_id", (1 / (1 + F.exp(-(F.col("score") - F.col("t")) / temperature))).alias("m"))
 
 
-def association(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """(topic, association): mean edge weight under memberships (topic, term_id, m), and its negative mean log as loss."""
+def association(members: DataFrame, edges: DataFrame, eps: float = 1e-12) -> DataFrame:
+    """(topic, association, loss): mean edge weight under memberships (topic, term_id, m), and its negative log; the mean of loss over topics
+    is the rank-aware association loss."""
     x, y = members.select("topic", F.col("term_id").alias("src"), F.col("m").alias("m_src")), members.select("topic", F.col("term_id").alias("dst"), F.col("m").alias("m_dst"))
     inner = both_ways(edges).join(x, "src").join(y, ["topic", "dst"]).groupBy("topic").agg(F.sum(F.col("w") * F.col("m_src") * F.col("m_dst")).alias("inner"))
     mass = members.groupBy("topic").agg(F.sum("m").alias("mass"), F.sum(F.col("m") * F.col("m")).alias("square"))
-    return mass.join(inner, "topic", "left").select("topic", (F.coalesce("inner", F.lit(0.0)) / (F.col("mass") * F.col("mass") - F.col("square"))).alias("association"))
+    mean = F.coalesce("inner", F.lit(0.0)) / F.greatest(F.col("mass") * F.col("mass") - F.col("square"), F.lit(eps))
+    return mass.join(inner, "topic", "left").select("topic", mean.alias("association")).withColumn("loss", -F.log(F.col("association") + eps))
+
+
+def objective(nll: DataFrame, residual: DataFrame, share: DataFrame, gates: DataFrame, lexical: DataFrame, weights: tuple[float, float, float]) -> DataFrame:
+    """One row: nll, pooling, gate, lexical and their weighted total, the objective of a stratum-adapted topic model.
+
+    nll: one row (tokens, nll); residual: (stratum, topic, x) components of the strata's shifts; share: (stratum, w) weights of the strata; gates:
+    (topic, gate); lexical: (topic, loss). pooling is the strata's mean squared shift weighted by their shares, gate the mean gate, lexical the
+    mean loss. weights: of pooling, gate and lexical. A part without rows counts nothing.
+    """
+    square = residual.groupBy("stratum").agg(F.avg(F.col("x") * F.col("x")).alias("q")).join(share, "stratum")
+    pooling = square.agg((F.sum(F.col("w") * F.col("q")) / F.sum("w")).alias("pooling"))
+    parts = nll.select("nll").crossJoin(pooling).crossJoin(gates.agg(F.avg("gate").alias("gate"))).crossJoin(lexical.agg(F.avg("loss").alias("lexical")))  # one row each
+    parts = parts.na.fill(0.0, ["pooling", "gate", "lexical"])
+    return parts.withColumn("total", F.col("nll") + weights[0] * F.col("pooling") + weights[1] * F.col("gate") + weights[2] * F.col("lexical"))
+
+
+def softmax_affinity(logits: DataFrame) -> DataFrame:
+    """(topic, term_id, p) summing to 1 over topics for each term, of logits (topic, term_id, z)."""
+    return softmax(logits, ["term_id"], "z", "p").select("topic", "term_id", "p")
 
 
 def reporting_family(variant: Column) -> Column:
