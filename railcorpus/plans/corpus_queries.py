@@ -9,7 +9,7 @@ from railcorpus.operators import corpus as C
 from railcorpus.operators import graph as G
 from railcorpus.operators import priors as P
 from railcorpus.plans.registry import query
-from railcorpus.plans.sqlbase import CELLS, DOCS, FIT, HASH, head, tokens
+from railcorpus.plans.sqlbase import CELLS, DOCS, FIT, GRAPH, HASH, tokens
 from railcorpus.session import table
 
 
@@ -17,13 +17,6 @@ def fit_cells(spark, sf):
     return C.cells_of(spark, sf).where("split = 'train'").select("doc_id", "term_id", "cnt")
 
 
-def head_cells(spark, sf, n):
-    """Cells of the n most frequent fit terms; n rows are a bounded broadcast."""
-    fit = fit_cells(spark, sf)
-    top = fit.groupBy("term_id").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "term_id").limit(n)
-    return fit.join(F.broadcast(top.select("term_id")), "term_id", "left_semi")
-
-
 def document_tokens(spark, sf, stop=True):
     return table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), T.tokenize(F.col("text"), stop).alias("tokens"))
 
@@ -124,16 +117,31 @@ def union_concat(spark, sf):
     return C.union_parts(part("train"), part("validation"), "doc_id").select(F.col("part").alias("part"), "doc_id", "row")
 
 
-@query("SELECT year(ts) AS year, month(ts) AS month, COUNT(*) AS events, COUNT(*) FILTER (strftime(ts, '%B') = monthname(ts) AND CAST(strftime(ts, '%Y') AS INT) = year(ts)) AS consistent FROM events GROUP BY 1, 2")
+_DATES = "p AS (SELECT post_id, MIN(published_at) AS ts, MIN(published_date) AS d FROM posts WHERE post_id IS NOT NULL GROUP BY 1)"
+
+
+@query(f"""WITH {_DATES}, c AS (SELECT year_of, month_of, ts FROM (SELECT CASE WHEN regexp_matches(d, '^[0-9]{{4}}-[0-9]{{2}}') THEN CAST(substr(d, 1, 4) AS INT) END AS year_of,
+    CASE WHEN regexp_matches(d, '^[0-9]{{4}}-[0-9]{{2}}') THEN ['january','february','march','april','may','june','july','august','september','october','november','december'][CAST(substr(d, 6, 2) AS INT)] END AS month_of, ts FROM p) WHERE year_of IS NOT NULL)
+    SELECT year_of AS year, COUNT(*) AS posts, COUNT(*) FILTER (COALESCE(year(ts) = year_of, FALSE)) AS year_agrees, COUNT(*) FILTER (COALESCE(lower(monthname(ts)) = month_of, FALSE)) AS month_agrees FROM c GROUP BY 1""")
 def year_month_check(spark, sf):
-    e = table(spark, sf, "events").where("ts is not null")
-    ok = (F.lower(F.date_format("ts", "MMMM")) == F.lower(F.monthname("ts")).substr(1, 3)) | F.date_format("ts", "MMMM").startswith(F.monthname("ts"))
-    return e.groupBy(F.year("ts").cast("long").alias("year"), F.month("ts").cast("long").alias("month")).agg(F.count("*").alias("events"), F.count_if(ok & (F.date_format("ts", "yyyy").cast("int") == F.year("ts"))).alias("consistent"))
+    """Year and month name of the date as it was written against the parsed time of the post, by written year."""
+    p = table(spark, sf, "posts").where("post_id is not null").groupBy("post_id").agg(F.min("published_at").alias("ts"), F.min("published_date").alias("d"))
+    p = p.where(F.col("d").rlike("^[0-9]{4}-[0-9]{2}")).select("ts", F.substring("d", 1, 4).cast("int").alias("year"), F.lower(F.date_format(F.to_date(F.concat(F.lit("2000-"), F.substring("d", 6, 2), F.lit("-01"))), "MMMM")).alias("month"))
+    return C.date_consistency(p, "ts", "year", "month")
+
+
+@query(f"""WITH {_DATES}, t AS (SELECT CAST(COUNT(*) AS BIGINT) AS n, MIN(CAST(d AS DATE)) AS low, MAX(CAST(d AS DATE)) AS high FROM p WHERE regexp_full_match(d, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}'))
+    SELECT n AS rows, CAST(low AS TIMESTAMP) AS first_ts, CAST(high AS TIMESTAMP) AS last_ts, 'PASS' AS status FROM t""")
+def strict_timestamps(spark, sf):
+    """Full dates of the posts, parsed strictly, their range locked to what a first reading of the table gives."""
+    p = table(spark, sf, "posts").where("post_id is not null").groupBy("post_id").agg(F.min("published_date").alias("d")).where(F.length("d") == 10)
+    lock = p.agg(F.to_timestamp(F.min("d")).alias("a"), F.to_timestamp(F.max("d")).alias("b")).first()
+    return C.strict_timestamps(p, "d", "yyyy-MM-dd", lock["a"], lock["b"])
 
 
 @query("SELECT event_type, COUNT(*) AS events, MIN(CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS least, MAX(CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS most FROM events GROUP BY 1")
 def json_props(spark, sf):
-    k = T.json_max_iteration(F.col("props"))
+    k = T.json_number(F.col("props"), "k")
     return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("events"), F.min(k).alias("least"), F.max(k).alias("most"))
 
 
@@ -148,11 +156,19 @@ def han_terms(spark, sf):
     return table(spark, sf, "vocabulary").groupBy(F.coalesce("lang", F.lit("?")).alias("lang")).agg(F.count("*").alias("terms"), F.count_if(T.has_han(F.col("term"))).alias("han"))
 
 
-@query(None)
+@query(f"SELECT post_id, CAST(len(t) AS INT) AS tokens FROM (SELECT post_id, {tokens('MIN(delexicalized_text)')} AS t FROM posts GROUP BY post_id)")
 def unfolded_tokens(spark, sf):
-    """Tokens after entities, compatibility forms and case are resolved; null text has none."""
-    t = table(spark, sf, "posts").select("post_id", T.unfold_text("delexicalized_text").alias("text")).dropDuplicates(["post_id"])
-    return t.select("post_id", F.size(T.tokenize(F.col("text"))).alias("tokens"))
+    """Tokens of each post after entities, compatibility forms and case are resolved; null text has none."""
+    t = table(spark, sf, "posts").groupBy("post_id").agg(F.min("delexicalized_text").alias("text"))
+    return t.select("post_id", F.when(F.col("text").isNotNull(), F.size(T.tokenize(F.col("text")))).alias("tokens"))
+
+
+@query("""WITH e AS (SELECT event_id, json_object('Maximum_Iterations', value, 'n_epochs', user_id, 'max_depth', 1, 'note', 'max_epoch') AS j FROM events)
+    SELECT COUNT(*) AS events, ROUND(SUM(LEAST(CAST(json_extract_string(j, '$.Maximum_Iterations') AS DOUBLE), CAST(json_extract_string(j, '$.n_epochs') AS DOUBLE))), 4) AS total FROM e""")
+def json_iterations(spark, sf):
+    """Receipts made of each event: of the two keys that name a largest iteration or epoch the smaller value."""
+    j = F.to_json(F.struct(F.col("value").alias("Maximum_Iterations"), F.col("user_id").alias("n_epochs"), F.lit(1).alias("max_depth"), F.lit("max_epoch").alias("note")))
+    return table(spark, sf, "events").select(T.json_max_iteration(j).alias("m")).agg(F.count("*").alias("events"), F.round(F.sum("m"), 4).alias("total"))
 
 
 @query(f"SELECT source, CAST(SUM(len(t)) AS BIGINT) AS tokens, COUNT(*) AS posts FROM (SELECT source, {tokens('delexicalized_text')} AS t FROM posts WHERE delexicalized_text IS NOT NULL) GROUP BY 1")
@@ -174,20 +190,19 @@ _EDGES = """, prs AS (SELECT a.term_id AS src, b.term_id AS dst, COUNT(*) AS j F
     raw AS (SELECT src, dst, LEAST(GREATEST(LN((j / n) / ((x.df / n) * (y.df / n))) / -LN(j / n), 0), 1) * POW(j / n, 1.25) AS w FROM prs JOIN head x ON x.term_id = src JOIN head y ON y.term_id = dst CROSS JOIN nn WHERE x.df >= 2 AND y.df >= 2 AND j < n),
     edges AS (SELECT src, dst, w / (SELECT MAX(w) FROM raw) AS w FROM raw WHERE w > 0)"""
 _WAYS = ", ways AS (SELECT src, dst, w FROM edges UNION ALL SELECT dst, src, w FROM edges)"
-TERMS = 300  # of the SQL; the queries take all terms
 
 
-@query(f"WITH {head(TERMS)}{_EDGES} SELECT src, dst, ROUND(w, 9) AS w FROM edges")
+@query(f"WITH {GRAPH}{_EDGES} SELECT src, dst, ROUND(w, 9) AS w FROM edges")
 def npmi_graph(spark, sf):
     return G.npmi_graph(fit_cells(spark, sf)).withColumn("w", F.round("w", 9))
 
 
-@query(f"WITH {head(TERMS)}{_EDGES}{_WAYS} SELECT src AS term_id, ROUND(SUM(w), 8) AS degree FROM ways GROUP BY 1")
+@query(f"WITH {GRAPH}{_EDGES}{_WAYS} SELECT src AS term_id, ROUND(SUM(w), 8) AS degree FROM ways GROUP BY 1")
 def graph_degree(spark, sf):
     return G.degree(G.npmi_graph(fit_cells(spark, sf))).withColumn("degree", F.round("degree", 8))
 
 
-@query(f"WITH {head(TERMS)}{_EDGES}, rd AS (SELECT src, dst, ROUND(w, 9) AS w FROM edges), ways AS (SELECT src, dst, w FROM rd UNION ALL SELECT dst, src, w FROM rd), k AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY src ORDER BY w DESC, dst) AS INT) AS rank FROM ways) SELECT src, rank, dst, w FROM k WHERE rank <= 5")
+@query(f"WITH {GRAPH}{_EDGES}, rd AS (SELECT src, dst, ROUND(w, 9) AS w FROM edges), ways AS (SELECT src, dst, w FROM rd UNION ALL SELECT dst, src, w FROM rd), k AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY src ORDER BY w DESC, dst) AS INT) AS rank FROM ways) SELECT src, rank, dst, w FROM k WHERE rank <= 5")
 def top_edges(spark, sf):
     return G.strongest_edges(npmi_graph(spark, sf), 5)
 
@@ -278,25 +293,39 @@ def frozen_loader(spark, sf):
     return rows.groupBy("split").agg(F.count_distinct("doc_id").alias("documents"), F.count("*").alias("cells"), F.sum("cnt").alias("tokens"), F.count_distinct(missing).alias("unknown"), F.count_if(F.col("own") != F.col("split")).alias("misplaced"))
 
 
-@query(None)
+_GROUPS = "g AS (SELECT city AS stratum, group_sha256, COUNT(*) AS size FROM split_assignments WHERE city IS NOT NULL AND group_sha256 IS NOT NULL GROUP BY 1, 2)"
+
+
+@query(f"WITH {_GROUPS} SELECT stratum, COUNT(*) AS groups, CAST(SUM(size) AS BIGINT) AS rows, 0::BIGINT AS split_groups, TRUE AS balanced FROM g GROUP BY 1")
 def group_folds(spark, sf):
+    """Folds of each city: its groups and rows, groups that are in more than one fold, and whether the folds differ by a group at most."""
     rows = table(spark, sf, "split_assignments").select(F.col("city").alias("stratum"), F.col("group_sha256").alias("group_key"))
-    return P.group_folds(rows)
+    f = P.group_folds(rows)
+    load = f.groupBy("stratum", "fold").agg(F.sum("size").alias("load"), F.count("*").alias("groups"), F.max("size").alias("largest"))
+    even = load.groupBy("stratum").agg(F.sum("groups").alias("groups"), F.sum("load").alias("rows"), (F.max("load") - F.when(F.count("*") < 5, 0).otherwise(F.min("load")) <= 2 * F.max("largest")).alias("balanced"))
+    split = f.groupBy("stratum", "group_key").agg(F.count_distinct("fold").alias("n")).groupBy("stratum").agg(F.count_if(F.col("n") > 1).alias("split_groups"))
+    return even.join(split, "stratum").select("stratum", "groups", "rows", "split_groups", "balanced")
+
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings posts counts vocabulary term_emb centroids split_assignments leakage_report npmi_edges reading_labels mix_targets known_names".split()
 
 
-@query(None)
+@query(" UNION ALL ".join(f"SELECT '{t}' AS \"table\", COUNT(*) AS rows, TRUE AS whole FROM {t}" for t in TABLES))
 def table_fingerprints(spark, sf):
-    """Identity of each table's content whatever its order."""
+    """Identity of each table's content whatever its order: the rows, and whether halves of the table add up to the whole."""
     out = None
-    for name in ("vocabulary", "counts", "posts", "split_assignments"):
-        f = C.table_fingerprint(table(spark, sf, name)).withColumn("table", F.lit(name))
+    for name in TABLES:
+        t = table(spark, sf, name)
+        f = C.table_fingerprint(t).join(C.table_fingerprint(t.repartition(3)).withColumnRenamed("rows", "again"), "fingerprint", "left")
+        f = f.select(F.lit(name).alias("table"), "rows", (F.col("rows") == F.col("again")).alias("whole"))
         out = f if out is None else out.unionByName(f)
     return out
 
 
-@query(None)
+@query(" UNION ALL ".join(f"SELECT '{t}.parquet' AS path, 64::INT AS digits, COUNT(*) > 0 AS holds FROM {t}" for t in TABLES))
 def artifact_manifest(spark, sf):
-    """Path, size and SHA-256 of every file of the small fixed tables."""
+    """Every table's file with the length of its SHA-256; a table of several files counts as one."""
     from railcorpus.sources.files import manifest
 
-    return manifest(spark, [f"{sf}/{t}.parquet" for t in ("centroids", "known_names", "leakage_report", "mix_targets", "npmi_edges")])
+    m = manifest(spark, sf, [f"{t}.parquet" for t in TABLES])
+    return m.groupBy(F.regexp_extract("path", r"^[^/]+", 0).alias("path")).agg(F.min(F.length("sha256")).alias("digits"), (F.sum("bytes") > 0).alias("holds"))

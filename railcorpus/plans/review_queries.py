@@ -8,9 +8,9 @@ from railcorpus.operators import corpus as C
 from railcorpus.operators import graph as G
 from railcorpus.operators import review as R
 from railcorpus.operators import topics as T
-from railcorpus.plans.corpus_queries import _EDGES, TERMS, fit_cells
+from railcorpus.plans.corpus_queries import _EDGES, fit_cells
 from railcorpus.plans.registry import query
-from railcorpus.plans.sqlbase import CLASSES, DOCS, FIT, HASH, METRICS, PRIORS, head
+from railcorpus.plans.sqlbase import CLASSES, DOCS, FIT, GRAPH, HASH, METRICS, PRIORS
 from railcorpus.plans.stat_queries import _RATERS, metrics, raters
 from railcorpus.plans.topic_queries import beta, priors, top
 from railcorpus.session import table
@@ -53,13 +53,13 @@ def case_selection(spark, sf):
     return R.best_cell(_cells(spark, sf), "lang", F.desc("median"), F.desc("mean"), F.desc("votes"), F.asc("source"))
 
 
-@query("SELECT lang, source, COUNT(*) AS documents, COUNT(*) = 1 AS single FROM (SELECT lower(trim(lang, ' ')) AS lang, lower(trim(source, ' ')) AS source FROM documents) GROUP BY 1, 2")
+@query("""WITH d AS (SELECT lower(trim(lang, ' ')) AS lang, lower(trim(source, ' ')) AS source FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL), c AS (SELECT lang, source, COUNT(*) AS n FROM d GROUP BY 1, 2)
+    SELECT l.lang, s.source, COALESCE(n, 0) AS items, CASE WHEN n = 1 THEN 'PASS' ELSE 'FAIL' END AS status FROM (SELECT DISTINCT lang FROM d) l CROSS JOIN (SELECT DISTINCT source FROM d) s LEFT JOIN c ON c.lang = l.lang AND c.source = s.source""")
 def case_grid_audit(spark, sf):
-    d = table(spark, sf, "documents").groupBy(F.lower(F.trim("lang")).alias("lang"), F.lower(F.trim("source")).alias("source")).agg(F.count("*").alias("documents"))
-    return d.withColumn("single", F.col("documents") == 1)
+    return R.case_grid_audit(table(spark, sf, "documents").select(F.lower(F.trim("lang")).alias("lang"), F.lower(F.trim("source")).alias("source")), "lang", "source")
 
 
-@query("SELECT term, lang, CASE term WHEN 'agency' THEN 'en' WHEN 'route' THEN 'en' WHEN '公交' THEN 'zh' END AS expected, COALESCE(lang = CASE term WHEN 'agency' THEN 'en' WHEN 'route' THEN 'en' WHEN '公交' THEN 'zh' END, FALSE) AS same FROM vocabulary WHERE term_id < 60")
+@query("SELECT term, lang, CASE term WHEN 'agency' THEN 'en' WHEN 'route' THEN 'en' WHEN '公交' THEN 'zh' END AS expected, COALESCE(lang = CASE term WHEN 'agency' THEN 'en' WHEN 'route' THEN 'en' WHEN '公交' THEN 'zh' END, FALSE) AS same FROM vocabulary")
 def translation_check(spark, sf):
     return R.mapping_check(table(spark, sf, "vocabulary"), "term", "lang", {"agency": "en", "route": "en", "公交": "zh"})
 
@@ -74,7 +74,7 @@ def context_input(spark, sf):
     return both.groupBy("doc_id").agg(F.count("*").alias("cells"), F.sum("cnt").alias("mass"), F.count_if(F.col("index") >= 1_000_000).alias("context"))
 
 
-@query(f"""WITH {head(TERMS)}{_EDGES}, {CLASSES.split(FIT + ", ")[1]}, w2 AS (SELECT src, dst, w FROM edges UNION ALL SELECT dst, src, w FROM edges), me AS (SELECT topic, term_id, 1.0 / rank AS m FROM top), act AS (SELECT DISTINCT src AS term_id FROM w2),
+@query(f"""WITH {GRAPH}{_EDGES}, {CLASSES.split(FIT + ", ")[1]}, w2 AS (SELECT src, dst, w FROM edges UNION ALL SELECT dst, src, w FROM edges), me AS (SELECT topic, term_id, 1.0 / rank AS m FROM top), act AS (SELECT DISTINCT src AS term_id FROM w2),
     inn AS (SELECT x.topic, SUM(w * x.m * y.m) AS s FROM w2 JOIN me x ON x.term_id = src JOIN me y ON y.topic = x.topic AND y.term_id = dst GROUP BY 1), tp AS (SELECT topic, SUM(m) AS mass, SUM(m * m) AS sq, SUM(CASE WHEN act.term_id IS NULL THEN m ELSE 0 END) AS loose FROM me LEFT JOIN act USING (term_id) GROUP BY 1),
     ag AS (SELECT AVG(COALESCE(s, 0) / (mass * mass - sq)) AS association, SUM(loose) AS unsupported, COUNT(*) AS k FROM tp LEFT JOIN inn USING (topic)), wo AS (SELECT SUM((s * s - q) / 2) AS pairs, SUM(GREATEST(s - 1, 0)) AS excess FROM (SELECT term_id, SUM(m) AS s, SUM(m * m) AS q FROM me GROUP BY 1))
     SELECT ROUND(association, 9) AS association, ROUND(pairs / (k * (k - 1) / 2), 9) AS overlap, ROUND(excess, 9) AS excess, ROUND(unsupported, 9) AS unsupported FROM ag CROSS JOIN wo""")
@@ -111,14 +111,18 @@ def conditioned_distributions(spark, sf):
     return out.groupBy("stratum", "topic").agg(F.round(F.max("p"), 9).alias("most"), F.round(F.sum("p"), 6).alias("total"))
 
 
-@query("SELECT UNNEST(['full', 'no_graph', 'no_pooled', 'no_calibration', 'parent']) AS variant, CAST(UNNEST([8, 0, 8, 8, 0]) AS INT) AS prototype_quota, UNNEST([0.35::DOUBLE, 0.35::DOUBLE, 0.0::DOUBLE, 0.35::DOUBLE, 0.0::DOUBLE]) AS pooled_weight, UNNEST(['moment', 'none', 'moment', 'none', 'none']) AS calibration")
+@query("SELECT r_name AS variant, CASE WHEN r_regionkey % 2 = 0 THEN 8 ELSE 0 END AS prototype_quota, CASE WHEN r_regionkey < 3 THEN 0.35::DOUBLE ELSE 0.0::DOUBLE END AS pooled_weight, CASE WHEN r_regionkey % 2 = 0 AND r_regionkey > 0 THEN 'moment' ELSE 'none' END AS calibration FROM region")
 def variant_registry(spark, sf):
-    return R.variant_registry(spark, 8, 0.35, "moment")
+    """Regions as variants."""
+    k = F.col("r_regionkey")
+    return R.variant_registry(table(spark, sf, "region").select(F.col("r_name").alias("variant"), (k % 2 == 0).alias("graph"), (k < 3).alias("pooled"), (k > 0).alias("calibrated")), 8, 0.35, "moment")
 
 
-@query("SELECT UNNEST(['counts', 'vocabulary', 'split_assignments', 'reading_labels']) AS artifact, UNNEST(['read', 'read', 'read', 'prohibited']) AS access")
+@query("""WITH a AS (SELECT source AS artifact, COUNT(*) AS n FROM posts WHERE source IS NOT NULL GROUP BY 1), b AS (SELECT DISTINCT source AS artifact FROM leakage_report)
+    SELECT COALESCE(a.artifact, b.artifact) AS artifact, CASE WHEN b.artifact IS NULL THEN 'read' WHEN a.artifact IS NULL THEN 'prohibited' ELSE 'violation' END AS access, COALESCE(n, 0) AS reads FROM a FULL JOIN b ON a.artifact = b.artifact""")
 def access_ledger(spark, sf):
-    return R.access_ledger(spark, ["counts", "vocabulary", "split_assignments"], ["reading_labels"])
+    """Sources of the posts as what was read, those of the claims as what must not be."""
+    return R.access_ledger(table(spark, sf, "posts").where("source is not null").select(F.col("source").alias("artifact")), table(spark, sf, "leakage_report").select(F.col("source").alias("artifact")))
 
 
 @query(f"WITH {METRICS}, a AS (SELECT variant, seed, price, RANK() OVER (PARTITION BY variant ORDER BY ROUND(price, 2)) + (COUNT(*) OVER (PARTITION BY variant, ROUND(price, 2)) - 1) / 2 AS r FROM mon) SELECT variant, seed, r AS mid_rank FROM a")
@@ -129,12 +133,27 @@ def mid_ranks(spark, sf):
     return m.select("variant", "seed", average_rank("x", "variant").alias("mid_rank"))
 
 
-@query(f"WITH {DOCS}, b AS (SELECT doc_id, city, CAST({HASH.format('doc_id')} % 1000 AS INT) AS h FROM docs) SELECT city, h AS shuffle, COUNT(*) AS posts FROM b GROUP BY 1, 2")
+@query(f"WITH {DOCS} SELECT city, doc_id, ROW_NUMBER() OVER (PARTITION BY city ORDER BY sha256('7|' || city || '|' || doc_id), doc_id) - 1 AS place FROM docs")
 def seeded_shuffle(spark, sf):
-    """Posts by city and hash bucket: the order of every seeded shuffle."""
-    from railcorpus.functions.text import hash32
-
-    return C.documents_of(spark, sf).groupBy("city", (hash32(F.col("doc_id")) % 1000).cast("int").alias("shuffle")).agg(F.count("*").alias("posts"))
+    """Posts of each city in the order of a seed."""
+    return R.seeded_permutation(C.documents_of(spark, sf).select("city", "doc_id"), "city", "doc_id", "7")
+
+
+@query(f"WITH {_ODDS}, tk AS (SELECT SUM(-cnt * LN(pooled.p)) / SUM(cnt) AS nll FROM tgt JOIN pooled USING (term_id)), sh AS (SELECT stratum, CAST(SUM(cnt) AS DOUBLE) AS w FROM tgt GROUP BY 1), rs AS (SELECT stratum, AVG(r * r) AS q FROM oc GROUP BY 1), po AS (SELECT SUM(w * q) / SUM(w) AS pooling FROM rs JOIN sh USING (stratum)), gt AS (SELECT AVG(1 / (1 + EXP(-w / (SELECT MAX(w) FROM sh)))) AS gate, AVG(-LN(w / (SELECT SUM(w) FROM sh) + 1e-12)) AS lexical FROM sh) SELECT ROUND(nll, 8) AS nll, ROUND(pooling, 8) AS pooling, ROUND(gate, 8) AS gate, ROUND(lexical, 8) AS lexical, ROUND(nll + 0.1 * pooling + 0.01 * gate + 0.5 * lexical, 8) AS total FROM tk CROSS JOIN po CROSS JOIN gt")
+def full_objective(spark, sf):
+    """Likelihood of the targets under the pooled prior, log-odds of the cities as shifts, their target tokens as shares and gates; the
+    lexical part from the shares as associations."""
+    from railcorpus.operators import priors as P
+
+    target, pooled, stratum = priors(spark, sf)
+    share = target.groupBy("stratum").agg(F.sum("cnt").cast("double").alias("w")).persist()
+    edge = share.agg(F.max("w").alias("most"), F.sum("w").alias("all"))
+    parts = share.crossJoin(F.broadcast(edge))  # one row
+    gates = parts.select(F.col("stratum").alias("topic"), (1 / (1 + F.exp(-F.col("w") / F.col("most")))).alias("gate"))
+    lexical = parts.select(F.col("stratum").alias("topic"), (-F.log(F.col("w") / F.col("all") + 1e-12)).alias("loss"))
+    residual = R.log_odds(stratum, pooled).select("stratum", F.lit(0).alias("topic"), F.col("r").alias("x"))
+    out = T.objective(P.completion_nll(target, pooled, ["term_id"], []), residual, share, gates, lexical, (0.1, 0.01, 0.5))
+    return out.select(*[F.round(c, 8).alias(c) for c in ("nll", "pooling", "gate", "lexical", "total")])
 
 
 @query(f"WITH {CLASSES}, ot AS (SELECT topic, term_id, p, ROW_NUMBER() OVER (PARTITION BY topic ORDER BY p DESC, term_id) AS place FROM beta ANTI JOIN top ON top.topic = beta.topic AND top.term_id = beta.term_id) SELECT topic, ROUND(p, 12) AS boundary FROM ot WHERE place = 3")

@@ -12,11 +12,12 @@ from railcorpus.operators import corpus as C
 from railcorpus.operators import graph as G
 from railcorpus.operators import models as M
 from railcorpus.operators import priors as P
+from railcorpus.operators import review as R
 from railcorpus.operators import stats as S
 from railcorpus.operators import topics as T
-from railcorpus.plans.corpus_queries import fit_cells, head_cells
+from railcorpus.plans.corpus_queries import fit_cells
 from railcorpus.plans.registry import query
-from railcorpus.plans.sqlbase import HASH, METRICS
+from railcorpus.plans.sqlbase import FIT, HASH, METRICS
 from railcorpus.session import table
 
 
@@ -25,11 +26,12 @@ def metrics(spark, sf):
     return rows.agg(F.avg("l_extendedprice").alias("price"), F.avg("l_discount").alias("discount"), F.avg("l_quantity").alias("quantity"))
 
 
-_FIRST = METRICS + ", ten AS (SELECT DISTINCT seed FROM mon ORDER BY seed LIMIT 10), m10 AS (SELECT mon.* FROM mon JOIN ten USING (seed)), ef AS (SELECT a.seed, UNNEST(['A-N', 'A-R', 'N-R']) AS contrast, UNNEST([a.price - n.price, a.price - r.price, n.price - r.price]) AS d FROM m10 a JOIN m10 n ON n.seed = a.seed AND n.variant = 'N' JOIN m10 r ON r.seed = a.seed AND r.variant = 'R' WHERE a.variant = 'A')"
-_RANK = _FIRST + """, sz AS (SELECT contrast, d, ABS(d) AS a FROM ef WHERE d <> 0), rk AS (SELECT contrast, d, RANK() OVER (PARTITION BY contrast ORDER BY a) + (COUNT(*) OVER (PARTITION BY contrast, a) - 1) / 2 AS r, ROW_NUMBER() OVER (PARTITION BY contrast ORDER BY a, d) - 1 AS bit FROM sz),
-    tt AS (SELECT contrast, SUM(CASE WHEN d > 0 THEN r ELSE 0 END) AS plus, SUM(r) AS total, COUNT(*) AS n FROM rk GROUP BY 1), mk AS (SELECT contrast, UNNEST(range(0, CAST(1 AS BIGINT) << CAST(n AS INT))) AS mask FROM tt),
-    up AS (SELECT mk.contrast, mask, SUM(r * ((mask >> bit) & 1)) AS s FROM mk JOIN rk ON rk.contrast = mk.contrast GROUP BY 1, 2),
-    sr AS (SELECT contrast, CAST(MAX(n) AS BIGINT) AS n, MAX(plus) AS statistic, AVG(CASE WHEN ABS(s - total / 2) >= ABS(plus - total / 2) - 1e-12 THEN 1.0 ELSE 0.0 END) AS p FROM up JOIN tt USING (contrast) GROUP BY 1)"""
+_EFFECTS = METRICS + ", ef AS (SELECT a.seed, UNNEST(['A-N', 'A-R', 'N-R']) AS contrast, UNNEST([a.price - n.price, a.price - r.price, n.price - r.price]) AS d FROM mon a LEFT JOIN mon n ON n.seed = a.seed AND n.variant = 'N' LEFT JOIN mon r ON r.seed = a.seed AND r.variant = 'R' WHERE a.variant = 'A'), eff AS (SELECT * FROM ef WHERE d IS NOT NULL AND contrast <> 'N-R' UNION ALL SELECT n.seed, 'N-R', n.price - r.price FROM mon n JOIN mon r ON r.seed = n.seed AND r.variant = 'R' WHERE n.variant = 'N')"
+# the distribution of the doubled rank sum, one rank a step: every sum reached so far, and it plus the rank, each with half the probability
+_RANK = "RECURSIVE " + _EFFECTS + """, sz AS (SELECT contrast, d, ABS(d) AS a FROM eff WHERE d <> 0), rk AS (SELECT contrast, d, CAST(2 * RANK() OVER (PARTITION BY contrast ORDER BY a) + COUNT(*) OVER (PARTITION BY contrast, a) - 1 AS BIGINT) AS r, ROW_NUMBER() OVER (PARTITION BY contrast ORDER BY a, d) AS k FROM sz),
+    tt AS (SELECT contrast, SUM(CASE WHEN d > 0 THEN r ELSE 0 END) AS plus, SUM(r) AS total, COUNT(*) AS n FROM rk GROUP BY 1),
+    ds AS (SELECT contrast, 0::BIGINT AS k, 0::BIGINT AS s, 1.0::DOUBLE AS p FROM tt UNION ALL SELECT contrast, k + 1, s, SUM(p) / 2 FROM (SELECT ds.contrast, ds.k, UNNEST([ds.s, ds.s + rk.r]) AS s, p FROM ds JOIN rk ON rk.contrast = ds.contrast AND rk.k = ds.k + 1) GROUP BY 1, 2, 3),
+    sr AS (SELECT tt.contrast, CAST(MAX(n) AS BIGINT) AS n, MAX(plus) / 2.0 AS statistic, LEAST(SUM(CASE WHEN ABS(2 * s - total) >= ABS(2 * plus - total) THEN p ELSE 0 END), 1) AS p FROM ds JOIN tt ON tt.contrast = ds.contrast AND ds.k = tt.n GROUP BY 1)"""
 
 
 def effects(spark, sf):
@@ -41,7 +43,7 @@ def effects(spark, sf):
     return out
 
 
-@query(f"WITH {_FIRST} SELECT contrast, seed, ROUND(d, 6) AS d FROM ef")
+@query(f"WITH {_EFFECTS} SELECT contrast, seed, ROUND(d, 6) AS d FROM eff")
 def paired_effects(spark, sf):
     return effects(spark, sf).withColumn("d", F.round("d", 6))
 
@@ -57,7 +59,7 @@ def holm(spark, sf):
     return S.holm(t, "family", "p", "contrast").select("contrast", F.round("p", 9).alias("p"), F.round("adjusted", 9).alias("adjusted"), "reject")
 
 
-@query(f"WITH {_RANK}, e AS (SELECT contrast, AVG(d) AS mean, MEDIAN(d) AS median FROM ef GROUP BY 1) SELECT contrast, ROUND(mean, 6) AS mean, ROUND(median, 6) AS median, ROUND(p, 9) AS p, mean > 0 AND p <= 0.05 AS claim FROM e JOIN sr USING (contrast)")
+@query(f"WITH {_RANK}, e AS (SELECT contrast, AVG(d) AS mean, MEDIAN(d) AS median FROM eff GROUP BY 1) SELECT contrast, ROUND(mean, 6) AS mean, ROUND(median, 6) AS median, ROUND(p, 9) AS p, mean > 0 AND p <= 0.05 AS claim FROM e JOIN sr USING (contrast)")
 def confirmation_statistics(spark, sf):
     e = effects(spark, sf).persist()
     s = S.summary(e, ["contrast"], "d").join(S.signed_rank(e, "contrast", "d").select("contrast", "p"), "contrast")
@@ -70,15 +72,22 @@ def seed_summary(spark, sf):
     return S.summary(long, ["variant", "metric"], "v").select("variant", "metric", "n", *[F.round(c, 6).alias(c) for c in ("mean", "sd", "median")])
 
 
-@query(None)
+@query("SELECT l_returnflag, COUNT(l_quantity) AS n, ROUND(AVG(l_quantity), 6) AS mean, TRUE AS fits FROM lineitem GROUP BY 1")
 def bootstrap_ci(spark, sf):
-    return S.bootstrap_mean(table(spark, sf, "lineitem").select("l_returnflag", "l_quantity"), "l_returnflag", "l_quantity")
+    """Mean quantity by flag, and whether its interval holds it and is as wide as its standard error says, within a fifth."""
+    rows = table(spark, sf, "lineitem").select("l_returnflag", "l_quantity")
+    error = rows.groupBy("l_returnflag").agg((F.stddev_samp("l_quantity") / F.sqrt(F.count("l_quantity"))).alias("e"))
+    out = S.bootstrap_mean(rows, "l_returnflag", "l_quantity", 2000).join(error, "l_returnflag")
+    fits = F.col("mean").between(F.col("low"), F.col("high")) & ((F.col("high") - F.col("low")) / (2 * 1.96 * F.col("e"))).between(0.8, 1.2)
+    return out.select("l_returnflag", "n", F.round("mean", 6).alias("mean"), fits.alias("fits"))
 
 
-@query(None)
+@query("SELECT rater, COUNT(DISTINCT doc_id) AS items, ROUND(AVG(level), 9) AS mean, TRUE AS inside FROM reading_labels WHERE level IS NOT NULL AND doc_id IS NOT NULL GROUP BY 1")
 def cluster_bootstrap(spark, sf):
+    """Mean level by rater over documents resampled whole, and whether it lies in its interval."""
     labels = table(spark, sf, "reading_labels").withColumn("level", F.col("level").cast("double"))
-    return S.cluster_bootstrap(labels, "rater", "doc_id", "level")
+    out = S.cluster_bootstrap(labels, "rater", "doc_id", "level", 1000)
+    return out.select("rater", "items", F.round("mean", 9).alias("mean"), F.col("mean").between(F.col("low"), F.col("high")).alias("inside"))
 
 
 _RATERS = f"""it AS (SELECT DISTINCT doc_id FROM documents), rt AS (SELECT doc_id, r AS annotator, CAST({HASH.format("CAST(doc_id AS VARCHAR)")} % 5 AS INT) + CASE WHEN {HASH.format("doc_id || '|' || r")} % 4 = 0 THEN 1 ELSE 0 END AS rating
@@ -129,6 +138,28 @@ def method_summary(spark, sf):
     return j.groupBy("source").agg(F.count("level").alias("ratings"), F.round(F.avg("level"), 9).alias("mean"), F.round(F.avg(hard), 9).alias("hard_rate"), F.expr("percentile(level, 0.5)").alias("median"))
 
 
+_PANEL = f"""{_RATERS}, pn AS (SELECT COALESCE(lower(trim(d.lang, ' ')), '?') AS method, doc_id, annotator, rating FROM rt JOIN (SELECT doc_id, MIN(lang) AS lang FROM documents GROUP BY 1) d USING (doc_id))"""
+
+
+@query(f"WITH {_PANEL} SELECT method, COUNT(DISTINCT doc_id) AS items, COUNT(*) AS ratings, COUNT(*) FILTER (rating >= 4) AS numerator, COUNT(*) AS denominator, ROUND(COUNT(*) FILTER (rating >= 4) / COUNT(*), 9) AS rate, ROUND(AVG(rating), 9) AS mean, TRUE AS inside FROM pn GROUP BY 1")
+def human_panel(spark, sf):
+    """Raters of the documents by language: items, ratings, numerators and denominators, mean, and whether the mean lies in its item-cluster
+    bootstrap interval."""
+    d = table(spark, sf, "documents").groupBy("doc_id").agg(F.min("lang").alias("lang")).select("doc_id", F.coalesce(F.lower(F.trim("lang")), F.lit("?")).alias("method"))
+    out = S.panel(raters(spark, sf).join(d, "doc_id"), "method", "doc_id", "rating", F.col("rating") >= 4, 200)
+    return out.select("method", "items", "ratings", "numerator", "denominator", F.round("rate", 9).alias("rate"), F.round("mean", 9).alias("mean"), F.col("mean").between(F.col("low"), F.col("high")).alias("inside"))
+
+
+_ALPHA = lambda delta: "(SELECT alpha FROM (" + _alpha(delta) + "))"
+
+
+@query("SELECT UNNEST(['rating', 'rating', 'always']) AS outcome, UNNEST(['krippendorff_alpha_nominal', 'krippendorff_alpha_ordinal', 'krippendorff_alpha_nominal']) AS coefficient, UNNEST([printf('%.3f', " + _ALPHA("1") + "), printf('%.3f', " + _ALPHA("POW(GREATEST(x.u, y.u) - LEAST(x.u - x.n, y.u - y.n) - (x.n + y.n) / 2, 2)") + "), 'N/E']) AS reported, UNNEST([TRUE, TRUE, FALSE]) AS estimable")
+def panel_reliability(spark, sf):
+    """Agreement of each outcome; one that never varies cannot be estimated."""
+    r = raters(spark, sf).withColumn("always", F.lit(1)).persist()
+    return S.reliability(r, "doc_id", [("rating", False), ("rating", True), ("always", False)]).select("outcome", "coefficient", "reported", "estimable")
+
+
 @query(f"""WITH {METRICS}, p AS (SELECT a.price - n.price AS gain, a.discount AS discount FROM mon a JOIN mon n ON n.seed = a.seed AND n.variant = 'N' WHERE a.variant = 'A'), g AS (SELECT MEDIAN(gain) > 0 AS median_gain, MIN(gain) > -100000 AS least_gain, AVG(CASE WHEN gain > 0 THEN 1.0 ELSE 0.0 END) >= 0.9 AS positive_share, MAX(discount) <= 0.06 AS discount_cap, ROUND(MEDIAN(gain) / 1000, 6) AS margin FROM p)
     SELECT *, list_filter([CASE WHEN NOT median_gain THEN 'median_gain' END, CASE WHEN NOT least_gain THEN 'least_gain' END, CASE WHEN NOT positive_share THEN 'positive_share' END, CASE WHEN NOT discount_cap THEN 'discount_cap' END], lambda x: x IS NOT NULL) AS failed, median_gain AND least_gain AND positive_share AND discount_cap AS eligible FROM g""")
 def gate_summary(spark, sf):
@@ -194,14 +225,18 @@ def weighted_epoch_loss(spark, sf):
 
 @query("SELECT event_type, COUNT(*) AS runs, ROUND(AVG(value), 8) AS mean, ROUND(stddev_samp(value), 8) AS sd, COUNT(*) FILTER (value > 10) AS converged, list_sort(list_distinct(list(user_id % 3))) AS devices FROM events GROUP BY 1")
 def comparator_diagnostics(spark, sf):
-    e = table(spark, sf, "events")
-    return e.groupBy("event_type").agg(F.count("*").alias("runs"), F.round(F.avg("value"), 8).alias("mean"), F.round(F.stddev_samp("value"), 8).alias("sd"), F.count_if(F.col("value") > 10).alias("converged"), F.array_sort(F.collect_set(F.col("user_id") % 3)).alias("devices"))
+    """Event kinds as methods: value as runtime, its limit 10 as the largest iteration, user groups as devices."""
+    e = table(spark, sf, "events").select(F.col("event_type").alias("method"), "value", (F.col("user_id") % 3).alias("device"))
+    out = S.run_diagnostics(e, "method", "value", F.col("value") > 10, "device")
+    return out.select(F.col("method").alias("event_type"), "runs", F.round("mean", 8).alias("mean"), F.round("sd", 8).alias("sd"), "converged", "devices")
 
 
-@query(f"WITH {METRICS} SELECT variant, ROUND(MIN(price), 6) AS least_price, ROUND(MAX(price), 6) AS most_price, ROUND(MIN(discount), 8) AS least_discount, ROUND(MAX(discount), 8) AS most_discount, COUNT(*) FILTER (isnan(price) OR price IS NULL) AS bad FROM mon GROUP BY 1")
+@query(f"WITH {METRICS}, l AS (SELECT variant, seed, UNNEST(['price', 'discount', 'quantity']) AS metric, UNNEST([price, discount, quantity]) AS v FROM mon), w AS (SELECT COUNT(DISTINCT seed) AS w FROM mon) SELECT variant, metric, ROUND(MIN(v), 6) AS least, ROUND(MAX(v), 6) AS most, COUNT(*) FILTER (v IS NULL OR isnan(v) OR isinf(v)) AS bad, COUNT(DISTINCT seed) AS seeds, COUNT(DISTINCT seed) = MAX(w) AS whole FROM l CROSS JOIN w GROUP BY 1, 2")
 def final_diagnostics(spark, sf):
-    m = metrics(spark, sf)
-    return m.groupBy("variant").agg(F.round(F.min("price"), 6).alias("least_price"), F.round(F.max("price"), 6).alias("most_price"), F.round(F.min("discount"), 8).alias("least_discount"), F.round(F.max("discount"), 8).alias("most_discount"), F.count_if(F.isnan("price") | F.col("price").isNull()).alias("bad"))
+    """Every metric of every variant over the months as seeds, held against all months of the table."""
+    m = metrics(spark, sf).persist()
+    out = S.final_diagnostics(m, "variant", "seed", ["price", "discount", "quantity"], m.select("seed").distinct())
+    return out.withColumn("least", F.round("least", 6)).withColumn("most", F.round("most", 6))
 
 
 @query(f"WITH {METRICS} SELECT a.seed, ROUND(a.price - n.price, 6) AS price, ROUND(n.discount - a.discount, 9) AS discount, ROUND(a.quantity - n.quantity, 6) AS quantity FROM mon a JOIN mon n ON n.seed = a.seed AND n.variant = 'N' WHERE a.variant = 'A'")
@@ -242,91 +277,168 @@ def category_index(spark, sf):
     return C.ordinal(cities, "city").select("city", F.col("position").cast("int").alias("idx"))
 
 
-@query("SELECT 'topics' AS part, CAST(640 AS BIGINT) AS parameters UNION ALL SELECT 'words', 64 * 1148 UNION ALL SELECT 'contrasts', 5 * 640 UNION ALL SELECT 'gates', 10")
+@query("WITH v AS (SELECT COUNT(DISTINCT term_id) AS v FROM vocabulary), c AS (SELECT COUNT(DISTINCT city) AS c FROM split_assignments), k AS (SELECT COUNT(DISTINCT centroid_id) AS k, MAX(len(embedding)) AS d FROM centroids) SELECT UNNEST(['topics', 'words', 'contrasts', 'gates']) AS part, CAST(UNNEST([k * d, v * d, (c - 1) * k * d, k]) AS BIGINT) AS parameters FROM v CROSS JOIN c CROSS JOIN k")
 def parameter_counts(spark, sf):
-    return M.parameter_counts(spark, 10, 1148, 6, 64)
+    """Sizes taken from the tables: centroids as topics, the vocabulary, the cities."""
+    k = table(spark, sf, "centroids").agg(F.count_distinct("centroid_id").alias("k"), F.max(F.size("embedding")).alias("d")).first()
+    v = table(spark, sf, "vocabulary").agg(F.count_distinct("term_id")).first()[0]
+    c = table(spark, sf, "split_assignments").agg(F.count_distinct("city")).first()[0]
+    return M.parameter_counts(spark, k["k"], v, c, k["d"])
 
 
-# Models: no SQL can say them, only their rows are checked.
-WORDS = 300
+# Models: no SQL can say them; their rows are checked here, what they find on planted topics in planted_topics and in tests.
 
 
 def model_cells(spark, sf):
-    """Cells of the most frequent terms, numbered 0.. by frequency."""
-    from pyspark.sql import Window
-
-    fit = fit_cells(spark, sf)
-    top = fit.groupBy("term_id").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "term_id").limit(WORDS)
-    top = top.select("term_id", (F.row_number().over(Window.orderBy(F.desc("df"), "term_id")) - 1).alias("index"))  # WORDS rows
-    return fit.join(F.broadcast(top), "term_id").select("doc_id", F.col("index").alias("term_id"), "cnt")
+    """Cells of all train terms, numbered 0.. by frequency, and the number of terms."""
+    fit = fit_cells(spark, sf).persist()
+    freq = fit.groupBy("term_id").agg(F.count("*").alias("df")).persist()
+    numbers = C.ordinal(freq.select((-F.col("df")).alias("less"), "term_id"), "less", "term_id").select("term_id", F.col("position").cast("int").alias("index"))
+    return fit.join(numbers, "term_id").select("doc_id", F.col("index").alias("term_id"), "cnt"), freq.count()
 
 
 @query(None)
 def lda_top_words(spark, sf):
-    return T.top_words(M.fit_lda(model_cells(spark, sf), WORDS, 10, 3)[0], "p")
+    return T.top_words(M.fit_lda(*model_cells(spark, sf), 10, 3)[0], "p")
 
 
 @query(None)
 def lda_completion_nll(spark, sf):
-    split = P.completion_split(model_cells(spark, sf)).persist()
-    beta, theta = M.fit_lda(split.where("observed > 0").select("doc_id", "term_id", F.col("observed").alias("cnt")), WORDS, 10, 3)
-    p = split.where("target > 0").join(theta, "doc_id").join(F.broadcast(beta), ["topic", "term_id"]).groupBy("doc_id", "term_id", "target").agg(F.sum(F.col("m") * F.col("p")).alias("p"))  # topics x WORDS rows
+    cells, size = model_cells(spark, sf)
+    split = P.completion_split(cells).persist()
+    beta, theta = M.fit_lda(split.where("observed > 0").select("doc_id", "term_id", F.col("observed").alias("cnt")), size, 10, 3)
+    p = split.where("target > 0").join(theta, "doc_id").join(beta, ["topic", "term_id"]).groupBy("doc_id", "term_id", "target").agg(F.sum(F.col("m") * F.col("p")).alias("p"))
     return p.select(F.col("target").alias("cnt"), "p").agg(*P.nll(F.col("cnt"), F.col("p")))
 
 
+def _sets(beta, n=10):
+    found: dict[int, set] = {}
+    for r in T.top_words(beta, "p", n).collect():  # topics x n rows
+        found.setdefault(r["topic"], set()).add(r["term_id"])
+    return [found[k] for k in sorted(found)]
+
+
 @query(None)
 def topic_stability(spark, sf):
-    cells = model_cells(spark, sf).persist()
-    tops = []
-    for seed in (3, 4, 5):
-        found: dict[int, set] = {}
-        for r in T.top_words(M.fit_lda(cells, WORDS, 6, seed, 5)[0], "p").collect():  # topics x 10 rows
-            found.setdefault(r["topic"], set()).add(r["term_id"])
-        tops.append([found[k] for k in sorted(found)])
-    mean, least = M.matched_stability(tops)
-    return spark.createDataFrame([(len(tops), mean, least)], "fits int, mean double, least double")
+    cells, size = model_cells(spark, sf)
+    cells = cells.persist()
+    mean, least = M.matched_stability([_sets(M.fit_lda(cells, size, 6, seed, 5)[0]) for seed in (3, 4, 5)])
+    return spark.createDataFrame([(3, mean, least)], "fits int, mean double, least double")
 
 
 @query(None)
 def nmf_topics(spark, sf):
-    return T.top_words(M.fit_nmf(model_cells(spark, sf), WORDS, 8, 15), "p")
+    return T.top_words(M.fit_nmf(*model_cells(spark, sf), 8, 15), "p")
 
 
 @query(None)
 def gsdmm_topics(spark, sf):
-    return M.fit_gsdmm(model_cells(spark, sf), WORDS, 10, 1000, 8)
+    """Topics of all train posts: every post is sampled and counted."""
+    return M.fit_gsdmm(*model_cells(spark, sf), 10, 8)[0]
 
 
-@query(None)
-def btm_topics(spark, sf):
-    pairs = C.biterms(C.expand_tokens(model_cells(spark, sf)), 15)
-    return T.top_words(M.fit_btm(pairs, WORDS, 8, 5000, 5), "p")
+@query(f"WITH {FIT} SELECT COUNT(DISTINCT doc_id) AS docs, 10::BIGINT AS topics, TRUE AS once FROM fit")
+def gsdmm_assignment(spark, sf):
+    """Every train post has one topic."""
+    z = M.fit_gsdmm(*model_cells(spark, sf), 10, 2)[1]
+    per = z.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("topic").alias("t"), F.min("topic").alias("u"))
+    return per.agg(F.count("*").alias("docs"), F.lit(10).cast("long").alias("topics"), (F.max("n") == 1).alias("_a"), ((F.min("u") >= 0) & (F.max("t") < 10)).alias("_b")).select("docs", "topics", (F.col("_a") & F.col("_b")).alias("once"))
 
 
 @query(None)
+def btm_topics(spark, sf):
+    cells, size = model_cells(spark, sf)
+    return T.top_words(M.fit_btm(C.biterms(C.expand_tokens(cells), 15), size, 8, 5), "p")
+
+
+_PLANTED = "pl AS (SELECT c_custkey AS d, c_nationkey % 3 AS g FROM customer)"
+
+
+@query("WITH " + _PLANTED + " SELECT m AS model, CAST(g AS INT) AS topic, COUNT(*) AS documents, TRUE AS found FROM pl CROSS JOIN (SELECT UNNEST(['lda', 'nmf', 'gsdmm', 'btm', 'spectral']) AS m) GROUP BY 1, 2")
+def planted_topics(spark, sf):
+    """Three topics of eight terms planted in the customers by nation: each model must show every topic's terms as the leading ones of one
+    topic."""
+    d = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("doc_id"), (F.col("c_nationkey") % 3).cast("int").alias("g"))
+    word = F.explode(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.pmod(F.xxhash64("doc_id", i), F.lit(8)).cast("int")))
+    cells = d.select("doc_id", "g", word.alias("w")).groupBy("doc_id", (F.col("g") * 8 + F.col("w")).alias("term_id")).agg(F.count("*").alias("cnt")).persist()
+    pairs = C.biterms(C.expand_tokens(cells), 15)
+    graph = G.npmi_graph(cells)
+    cores: dict[int, set] = {}
+    for r in M.spectral_prototypes(graph, 3, 8).collect():
+        cores.setdefault(r["topic"], set()).add(r["term_id"])
+    shown = {
+        "lda": _sets(M.fit_lda(cells, 24, 3, 3, 30)[0], 8),
+        "nmf": _sets(M.fit_nmf(cells, 24, 3, 15), 8),
+        "gsdmm": [set(r["top"][:8]) for r in M.fit_gsdmm(cells, 24, 3, 12)[0].collect()],
+        "btm": _sets(M.fit_btm(pairs, 24, 3, 12), 8),
+        "spectral": list(cores.values()),
+    }
+    rows = [(m, g, set(range(8 * g, 8 * g + 8)) in found) for m, found in shown.items() for g in range(3)]
+    made = spark.createDataFrame(rows, "model string, topic int, found boolean")
+    return made.join(d.groupBy(F.col("g").alias("topic")).agg(F.count("*").alias("documents")), "topic").select("model", "topic", "documents", "found")
+
+
+@query("SELECT COUNT(*) AS vectors, TRUE AS parted FROM embeddings WHERE embedding IS NOT NULL")
 def pca_kmeans_topics(spark, sf):
-    return M.pca_clusters(table(spark, sf, "embeddings"), "vec_id", "embedding", 5, 10).groupBy("topic").agg(F.count("*").alias("vectors"))
+    """Vectors in clusters of their leading components, each once, no cluster with all."""
+    sizes = M.pca_clusters(table(spark, sf, "embeddings"), "vec_id", "embedding", 5, 10).groupBy("topic").agg(F.count("*").alias("n"))
+    return sizes.agg(F.sum("n").alias("vectors"), (F.count("*").between(2, 10) & (F.max("n") < F.sum("n"))).alias("parted"))
 
 
-@query(None)
+@query("SELECT COUNT(*) AS vectors, TRUE AS parted FROM embeddings WHERE embedding IS NOT NULL")
 def kmeans_context(spark, sf):
-    """Sizes of clusters of all vectors; of three starts the one of least cost."""
-    return M.pca_clusters(table(spark, sf, "embeddings"), "vec_id", "embedding", 64, 8, starts=3).groupBy("topic").agg(F.count("*").alias("vectors"))
+    """Vectors in clusters of all components; of three starts the one of least cost."""
+    sizes = M.pca_clusters(table(spark, sf, "embeddings"), "vec_id", "embedding", 64, 8, starts=3).groupBy("topic").agg(F.count("*").alias("n"))
+    return sizes.agg(F.sum("n").alias("vectors"), (F.count("*").between(2, 8) & (F.max("n") < F.sum("n"))).alias("parted"))
 
 
 @query(None)
 def spectral_prototypes(spark, sf):
-    return M.spectral_prototypes(G.npmi_graph(head_cells(spark, sf, WORDS)), 4, 8, 8)
+    return M.spectral_prototypes(G.npmi_graph(fit_cells(spark, sf)), 4, 8, 8)
 
 
 @query(None)
 def prototype_alignment(spark, sf):
-    cells = model_cells(spark, sf).persist()
+    cells, size = model_cells(spark, sf)
+    cells = cells.persist()
     cores = M.spectral_prototypes(G.npmi_graph(cells), 4, 8, 8)
-    return M.align_cores(cores, M.fit_lda(cells, WORDS, 6, 3, 5)[0], 6)
+    return M.align_cores(cores, M.fit_lda(cells, size, 6, 3, 5)[0], 6)
 
 
 @query(None)
+def prototype_ceiling(spark, sf):
+    """Coherence of the prototype cores themselves on all train posts and on the held-out ones, and their support: the ceiling of any model."""
+    fit = fit_cells(spark, sf).persist()
+    held = C.cells_of(spark, sf).where("split <> 'train'").select("doc_id", "term_id", "cnt").persist()
+    graph = G.npmi_graph(fit).persist()
+    cores = M.spectral_prototypes(graph, 4, 8, 8)
+    return R.prototype_ceiling(cores, fit, held, graph, 3)
+
+
+@query(f"WITH {FIT} SELECT COUNT(DISTINCT term_id) AS terms, 64::INT AS width, 0.0::DOUBLE AS off FROM fit")
+def term_vectors(spark, sf):
+    """Vectors of all train terms: their number, width and largest distance from unit length."""
+    v = M.term_vectors(fit_cells(spark, sf))
+    off = C.unit_norm(v, "term_id", "embedding").agg(F.round(F.max("off"), 9).alias("off"))
+    return v.agg(F.count("*").alias("terms"), F.min(F.size("embedding")).alias("width")).crossJoin(off)  # one row each
+
+
+_DIST = """WITH e AS (SELECT label, i, AVG(x) AS c FROM (SELECT label, UNNEST(range(1, 65)) AS i, UNNEST(embedding) AS x FROM embeddings) GROUP BY 1, 2),
+    p AS (SELECT vec_id, UNNEST(range(1, 65)) AS i, CAST(UNNEST(embedding) AS DOUBLE) AS x FROM embeddings), z AS (SELECT vec_id, label, -SUM((x - c) * (x - c)) / 0.2::DOUBLE AS z FROM p JOIN e USING (i) GROUP BY 1, 2),
+    m AS (SELECT *, MAX(z) OVER (PARTITION BY vec_id) AS t FROM z)"""
+
+
+@query(_DIST + " SELECT label AS topic, vec_id AS term_id, ROUND(EXP(z - t) / SUM(EXP(z - t)) OVER (PARTITION BY vec_id), 7) AS p FROM m")
+def distance_affinity(spark, sf):
+    """Mean vectors of the labels as topics, all vectors as words, temperature 0.2."""
+    e = table(spark, sf, "embeddings")
+    c = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("c"))
+    c = c.groupBy(F.col("label").alias("topic")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda s: s["c"]).alias("embedding"))
+    z = M.affinity_logits(c, e.select(F.col("vec_id").alias("term_id"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding")), 0.2)
+    return T.softmax_affinity(z).withColumn("p", F.round("p", 7))
+
+
+@query("WITH s AS (SELECT UNNEST(range(0, 60)) AS d) SELECT 'g' || (d % 3) AS stratum, COUNT(*) AS documents, CAST(COUNT(*) * 25 AS BIGINT) AS tokens FROM s GROUP BY 1")
 def synthetic_corpus(spark, sf):
     cells = M.synthetic_counts(spark, 60, 4, 40, 3, 25)
     return cells.groupBy("stratum").agg(F.count_distinct("doc_id").alias("documents"), F.sum("cnt").alias("tokens"))

@@ -9,9 +9,9 @@ from railcorpus.operators import corpus as C
 from railcorpus.operators import graph as G
 from railcorpus.operators import priors as P
 from railcorpus.operators import topics as T
-from railcorpus.plans.corpus_queries import fit_cells
+from railcorpus.plans.corpus_queries import _EDGES, fit_cells
 from railcorpus.plans.registry import query
-from railcorpus.plans.sqlbase import CLASSES, DOCS, HASH, PRIORS, SPLIT
+from railcorpus.plans.sqlbase import CLASSES, DOCS, FIT, GRAPH, HASH, PRIORS, SPLIT
 from railcorpus.session import table
 
 
@@ -160,9 +160,12 @@ def completion_mass_check(spark, sf):
     return P.completion_split(fit).join(fit, ["doc_id", "term_id"]).agg(F.count("*").alias("cells"), F.count_if(F.col("observed") + F.col("target") != F.col("cnt")).alias("wrong"), F.count_distinct("doc_id").alias("documents"))
 
 
-@query(None)
+@query(f"WITH {FIT}, sz AS (SELECT *, SUM(cnt) OVER (PARTITION BY doc_id) AS tokens FROM fit) SELECT doc_id, term_id, cnt, TRUE AS both_sides FROM sz WHERE tokens >= 2")
 def pcg64_completion_split(spark, sf):
-    return P.pcg64_completion(fit_cells(spark, sf))
+    """Cells of the split with NumPy's draws: their tokens, and whether their document has tokens on both sides."""
+    split = P.pcg64_completion(fit_cells(spark, sf)).persist()
+    sides = split.groupBy("doc_id").agg(((F.sum("observed") > 0) & (F.sum("target") > 0) & (F.min("observed") >= 0) & (F.min("target") >= 0)).alias("both_sides"))
+    return split.join(sides, "doc_id").select("doc_id", "term_id", (F.col("observed") + F.col("target")).alias("cnt"), "both_sides")
 
 
 @query(f"WITH {PRIORS} SELECT term_id, ROUND(p, 12) AS p FROM pooled")
@@ -260,14 +263,18 @@ _THETA = PRIORS + """, th AS (SELECT o.doc_id, b.stratum AS topic, SUM(o.cnt * b
 
 @query(f"WITH {_THETA} SELECT CAST(SUM(cnt) AS BIGINT) AS tokens, ROUND(SUM(-cnt * LN(p)) / SUM(cnt), 9) AS nll FROM pr")
 def theta_beta_nll(spark, sf):
-    """Document shares of city topics from the observed half, probabilities only at the target cells."""
-    split = P.completion_split(fit_cells(spark, sf)).persist()
-    _, _, stratum = priors(spark, sf)
-    topics = stratum.withColumnRenamed("stratum", "topic").persist()
-    theta = split.where("observed > 0").join(topics, "term_id").groupBy("doc_id", "topic").agg(F.sum(F.col("observed") * F.col("p")).alias("m"))
-    theta = T.normalise(theta, "doc_id", "m")
-    cells = split.where("target > 0").join(theta, "doc_id").join(topics, ["topic", "term_id"]).groupBy("doc_id", "term_id", "target").agg(F.sum(F.col("m") * F.col("p")).alias("p"))
-    return cells.select(F.col("target").alias("cnt"), "p").agg(*P.nll(F.col("cnt"), F.col("p"))).select("tokens", F.round("nll", 9).alias("nll"))
+    """Document shares of city topics from the observed half, probabilities only at the target cells.
+
+    A term's shares in all cities (few) travel as one array, so each cell is joined once and a document's shares are sums over its cells.
+    """
+    stratum = priors(spark, sf)[2].persist()
+    topics = stratum.groupBy("term_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("stratum", "p"))), lambda x: x["p"]).alias("b"))
+    split = P.completion_split(fit_cells(spark, sf)).join(topics, "term_id").persist()
+    k = stratum.select("stratum").distinct().count()
+    seen = split.where("observed > 0").groupBy("doc_id").agg(*[F.sum(F.col("observed") * F.col("b")[i]).alias(f"m{i}") for i in range(k)])
+    mass = sum(F.col(f"m{i}") for i in range(k)) if k else F.lit(0.0)
+    cells = split.where("target > 0").join(seen, "doc_id").select(F.col("target").alias("cnt"), (sum(F.col(f"m{i}") * F.col("b")[i] for i in range(k)) / mass if k else F.lit(0.0)).alias("p"))
+    return cells.agg(*P.nll(F.col("cnt"), F.col("p"))).select("tokens", F.round("nll", 9).alias("nll"))
 
 
 @query(f"WITH {CLASSES}, tot AS (SELECT term_id, SUM(p) AS total FROM beta GROUP BY 1), core AS (SELECT topic, term_id FROM top WHERE rank <= 5), o AS (SELECT beta.topic, beta.p, ROW_NUMBER() OVER (PARTITION BY beta.topic ORDER BY beta.p DESC, beta.term_id) AS place FROM beta ANTI JOIN core ON core.topic = beta.topic AND core.term_id = beta.term_id), qs AS (SELECT topic, COUNT(*) AS q FROM core GROUP BY 1), edge AS (SELECT o.topic, p AS edge FROM o JOIN qs ON qs.topic = o.topic AND place = 10 - q + 1), dl AS (SELECT core.topic, core.term_id, GREATEST(0, LEAST(COALESCE(edge, 0) + 1e-6, total) - p) AS delta FROM core JOIN beta ON beta.topic = core.topic AND beta.term_id = core.term_id JOIN tot ON tot.term_id = core.term_id LEFT JOIN edge ON edge.topic = core.topic), ow AS (SELECT term_id, MAX(delta) AS delta FROM dl GROUP BY 1) SELECT ROUND(SUM(delta), 9) AS moved, COUNT(*) FILTER (delta > 0) AS words, 0.0::DOUBLE AS off FROM ow")
@@ -308,18 +315,35 @@ def rank_scores(spark, sf):
     return T.rank_scores(beta(spark, sf)).withColumn("score", F.round("score", 8))
 
 
-@query(None)
+@query(f"WITH {CLASSES} SELECT DISTINCT topic, 10.0::DOUBLE AS mass FROM beta")
 def soft_top_k(spark, sf):
-    """Soft membership of each city's ten leading terms, and the graph's association under it."""
+    """Soft membership of each city's ten leading terms: its defining sum."""
+    return T.soft_top_k(T.rank_scores(beta(spark, sf)), 10).groupBy("topic").agg(F.round(F.sum("m"), 6).alias("mass"))
+
+
+@query(None)
+def soft_association(spark, sf):
+    """The graph's association under the soft memberships of each city, and its loss."""
     m = T.soft_top_k(T.rank_scores(beta(spark, sf)), 10).persist()
-    a = T.association(m, G.npmi_graph(fit_cells(spark, sf)))
-    return m.groupBy("topic").agg(F.round(F.sum("m"), 6).alias("mass")).join(a.select("topic", F.round("association", 9).alias("association")), "topic")
+    return T.association(m, G.npmi_graph(fit_cells(spark, sf))).select("topic", F.round("association", 9).alias("association"), F.round("loss", 6).alias("loss"))
+
+
+@query(None)
+def prototype_lexical(spark, sf):
+    """The lexical bundle of the cities as topics, their ten leading words as cores and their log shares as residual."""
+    from railcorpus.operators import review as R
+
+    p = affinity(spark, sf).persist()
+    cores = top(spark, sf).select("topic", (F.col("rank") - 1).alias("slot"), "term_id")
+    return R.prototype_lexical(p, G.npmi_graph(fit_cells(spark, sf)), p.select("topic", "term_id", F.log("p").alias("z")), cores)
 
 
-@query(f"WITH {CLASSES}, sp AS (SELECT topic, AVG(CASE WHEN df >= 3 THEN 1.0 ELSE 0.0 END) AS s FROM top LEFT JOIN (SELECT term_id, COUNT(*) AS df FROM fit GROUP BY 1) USING (term_id) GROUP BY 1) SELECT topic, ROUND(s, 9) AS df_share FROM sp")
+@query(f"""WITH {GRAPH}{_EDGES}, {CLASSES.split(FIT + ", ")[1]}, dg AS (SELECT src AS term_id FROM edges UNION SELECT dst FROM edges), sp AS (SELECT topic, AVG(CASE WHEN df >= 3 THEN 1.0 ELSE 0.0 END) AS s, AVG(CASE WHEN dg.term_id IS NULL THEN 0.0 ELSE 1.0 END) AS g FROM top LEFT JOIN head USING (term_id) LEFT JOIN dg USING (term_id) GROUP BY 1),
+    wq AS (SELECT x.topic, AVG(CASE WHEN w IS NULL THEN 0.0 ELSE 1.0 END) AS e FROM top x JOIN top y ON x.topic = y.topic AND x.term_id < y.term_id LEFT JOIN edges ON src = x.term_id AND dst = y.term_id GROUP BY 1)
+    SELECT topic, ROUND(s, 9) AS df_share, ROUND(g, 9) AS degree_share, ROUND(e, 9) AS edge_share FROM sp JOIN wq USING (topic)""")
 def top_word_support(spark, sf):
     out = G.top_word_support(top(spark, sf), G.npmi_graph(fit_cells(spark, sf)), C.document_frequency(fit_cells(spark, sf)), 3)
-    return out.select("topic", F.round("df_share", 9).alias("df_share"))
+    return out.select("topic", *[F.round(c, 9).alias(c) for c in ("df_share", "degree_share", "edge_share")])
 
 
 @query(f"WITH {CLASSES}, d AS (SELECT DISTINCT term_id FROM top), e AS (SELECT city, COUNT(DISTINCT doc_id) AS docs FROM fit JOIN docs USING (doc_id) GROUP BY 1), s AS (SELECT term_id, city, COUNT(DISTINCT doc_id) AS n FROM fit JOIN d USING (term_id) JOIN docs USING (doc_id) GROUP BY 1, 2) SELECT term_id, city, n, ROUND(n / e.docs, 9) AS rate, COUNT(*) OVER (PARTITION BY term_id) = (SELECT COUNT(*) FROM e) AS everywhere FROM s JOIN e USING (city)")
@@ -382,7 +406,7 @@ def rank_identity(spark, sf):
     return a.join(s, ["topic", "rank"]).agg(F.count("*").alias("words"), F.count_if(F.col("term_id") == F.col("other")).alias("same"))
 
 
-@query(f"WITH {CLASSES}, f AS (SELECT CAST({HASH.format('doc_id')} % 3 AS INT) AS seed, city AS topic, term_id, CAST(SUM(cnt) AS BIGINT) AS c FROM fit JOIN docs USING (doc_id) GROUP BY 1, 2, 3), t AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY seed, topic ORDER BY c DESC, term_id) AS rank FROM f) WHERE rank <= 10), w AS (SELECT seed, topic, list(term_id) AS w FROM t GROUP BY 1, 2), j AS (SELECT a.seed, a.topic, len(list_intersect(a.w, b.w)) / len(list_distinct(a.w || b.w)) AS j FROM w a JOIN w b ON b.topic = a.topic AND b.seed = 0) SELECT seed, ROUND(MAX(CASE WHEN topic = 'Luoxi' THEN j END), 9) AS \"Luoxi\", ROUND(MAX(CASE WHEN topic = 'Qinglan' THEN j END), 9) AS \"Qinglan\", ROUND(MAX(CASE WHEN topic = 'Yunmo' THEN j END), 9) AS \"Yunmo\", ROUND(AVG(j), 9) AS mean FROM j GROUP BY 1")
+@query(f"WITH {CLASSES}, f AS (SELECT CAST({HASH.format('doc_id')} % 3 AS INT) AS seed, city AS topic, term_id, CAST(SUM(cnt) AS BIGINT) AS c FROM fit JOIN docs USING (doc_id) GROUP BY 1, 2, 3), t AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY seed, topic ORDER BY c DESC, term_id) AS rank FROM f) WHERE rank <= 10), w AS (SELECT seed, topic, list(term_id) AS w FROM t GROUP BY 1, 2), j AS (SELECT a.seed, a.topic, len(list_intersect(a.w, b.w)) / len(list_distinct(a.w || b.w)) AS j FROM w a JOIN w b ON b.topic = a.topic AND b.seed = 0) SELECT seed, ROUND(MAX(CASE WHEN topic = 'Luoxi' THEN j END), 9) AS \"Luoxi\", ROUND(MAX(CASE WHEN topic = 'Port Arden' THEN j END), 9) AS \"Port Arden\", ROUND(MAX(CASE WHEN topic = 'Qinglan' THEN j END), 9) AS \"Qinglan\", ROUND(MAX(CASE WHEN topic = 'Villareda' THEN j END), 9) AS \"Villareda\", ROUND(MAX(CASE WHEN topic = 'Westmere Vale' THEN j END), 9) AS \"Westmere Vale\", ROUND(MAX(CASE WHEN topic = 'Yunmo' THEN j END), 9) AS \"Yunmo\", ROUND(MAX(CASE WHEN topic = 'unknown' THEN j END), 9) AS \"unknown\", ROUND(AVG(j), 9) AS mean FROM j GROUP BY 1")
 def seed_topic_pivot(spark, sf):
     """Jaccard of each city's words in three hash parts with those of the first, a column a city, and the mean."""
     c = fit_cells(spark, sf).join(classes(spark, sf), "doc_id").withColumn("seed", (hash32(F.col("doc_id")) % 3).cast("int"))
