@@ -110,9 +110,9 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 0) -> tuple[DataFrame,
     drawn = drawn.withColumn("at", F.when(F.col("rank") == 0, CERTAIN).otherwise(octave)).withColumn("fine", F.floor(FINE_RANKS * (place - F.col("at"))).cast("int"))
     # the bin of ranks in which a source is full, then the fine bin inside it: what is left to sort is a few documents a source
     drawn = drawn.persist(StorageLevel.MEMORY_AND_DISK)
-    cut = _full(drawn.where("rank is not null").withColumn("before", F.lit(0).cast("long")), "at")
+    cut = spark.createDataFrame(_full(drawn.where("rank is not null").withColumn("before", F.lit(0).cast("long")), "at").collect(), "source string, cut_at int, before long")
     drawn = drawn.join(F.broadcast(cut), "source", "left")  # at most one row a target
-    finer = _full(drawn.where((F.col("at") == F.col("cut_at")) & (F.col("at") != CERTAIN)), "fine")
+    finer = spark.createDataFrame(_full(drawn.where((F.col("at") == F.col("cut_at")) & (F.col("at") != CERTAIN)), "fine").collect(), "source string, cut_fine int, before long")
     drawn = drawn.drop("before").join(F.broadcast(finer), "source", "left")
     last = (F.col("at") == F.col("cut_at")) & (F.col("fine") == F.col("cut_fine"))
     edge = drawn.where(last).withColumn("upto", F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("rank", "id").rowsBetween(Window.unboundedPreceding, 0)))

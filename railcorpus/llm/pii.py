@@ -189,14 +189,15 @@ def candidates(posts: DataFrame, names: list[tuple[str, str]]) -> DataFrame:
     return posts.select("id", F.col("text").cast("string")).mapInArrow(run, "id string, start int, end int, class string, node string, seed double, patterns array<string>")
 
 
-def score(found: DataFrame, rounds: int = 5, least: float = 0.6) -> DataFrame:
+def score(found: DataFrame, rounds: int = 8, least: float = 0.6) -> DataFrame:
     """(class, node, patterns, context, share) of the accepted candidates.
 
     A pattern's score is the share of its candidates whose instance is a seed or already supported; instances sure to be, or supported
     as, of another kind count against it, unknown ones by the class's weight (fully for words behind, which are mostly the next
     sentence's); a pattern met only once or twice, with one instance, counts less. A
     candidate's context is its best pattern. An instance's share is that of its candidates in reliable context. Patterns in
-    INTRODUCE are reliable from the start.
+    INTRODUCE are reliable in the first round; from then on the data say how reliable they are. Rounds end when no instance changes
+    sides, at most after `rounds`.
     """
     spark = found.sparkSession
     ensure_checkpoint_dir(spark)
@@ -207,7 +208,7 @@ def score(found: DataFrame, rounds: int = 5, least: float = 0.6) -> DataFrame:
     sure = F.lit(False)
     for kind, patterns in INTRODUCE.items():
         sure = sure | (F.col("class") == kind) & F.col("pattern").isin(*patterns)
-    context = None
+    context = before = None
     other = F.when(F.col("class") == "phone", "id_number").when(F.col("class") == "id_number", "phone")
     for turn in range(rounds):
         rival = nodes.where("good").select(other.alias("class"), "node", F.lit(True).alias("rival")).where("class is not null")
@@ -225,12 +226,16 @@ def score(found: DataFrame, rounds: int = 5, least: float = 0.6) -> DataFrame:
         nodes = context.groupBy("class", "node").agg(F.max("seed").alias("seed"), firm.alias("firm"), (firm / F.sum("n")).alias("share")).join(rules, "class")
         known = F.col("seed") >= 0
         nodes = nodes.select("class", "node", "seed", F.when(known, F.col("seed")).otherwise(F.col("share")).alias("share"), F.when(known, F.col("seed") > 0).otherwise((F.col("firm") > 1) & (F.col("share") >= F.col("supports"))).alias("good"))
+        after = nodes.where("good").agg(F.count("*"), F.sum(F.xxhash64("class", "node").cast("decimal(20,0)"))).first()
+        if turn and after == before:  # the next round would give the same
+            break
+        before = after
     scored = context.join(nodes.select("class", "node", "share"), ["class", "node"]).join(rules, "class")
     fits = (F.col("context") >= least) & (F.col("share") >= F.col("floor")) | (F.col("share") >= F.col("accepts"))
     return scored.where((F.col("seed") != 0) & fits).select("class", "node", "patterns", "context", "share")
 
 
-def entities(posts: DataFrame, names: list[tuple[str, str]], rounds: int = 5) -> DataFrame:
+def entities(posts: DataFrame, names: list[tuple[str, str]], rounds: int = 8) -> DataFrame:
     """(id, start, end, kind) of what is accepted."""
     found = candidates(posts, names).persist(StorageLevel.MEMORY_AND_DISK)
     good = score(found, rounds)
@@ -256,7 +261,7 @@ def redact(posts: DataFrame, spans: DataFrame) -> DataFrame:
     return _marked(posts.select("id", F.col("text").cast("string").alias("text")).join(marks, "id", "left"))
 
 
-def redacted(posts: DataFrame, names: list[tuple[str, str]], rounds: int = 5) -> DataFrame:
+def redacted(posts: DataFrame, names: list[tuple[str, str]], rounds: int = 8) -> DataFrame:
     """Posts (id, text) with typed placeholders for what is found in them. Every row stays, also where ids are null or repeated with
     different texts: spans belong to the text, not to the id."""
     keyed = posts.select("id", F.col("text").cast("string").alias("text"), F.sha2("text", 256).alias("key"))
