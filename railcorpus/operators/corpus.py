@@ -182,6 +182,24 @@ def strict_timestamps(rows: DataFrame, column: str, form: str, first=None, last=
     return out.withColumn("status", F.when(held, "PASS").otherwise("FAIL"))
 
 
+def partition_contract(documents: DataFrame, cells: DataFrame, strata: list[str], development: DataFrame) -> DataFrame:
+    """(check, observed, status) of a held-out partition: documents (doc_id, stratum) and their cells (doc_id, term_id, cnt) against the development
+    documents (doc_id). Breaches of: a document has an id, its own one, an expected stratum, a cell, and no place in development; a cell has a
+    whole positive count and a document."""
+    d = documents.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("stratum").alias("stratum"))
+    held = cells.groupBy(F.col("doc_id").alias("_d")).agg(F.count("*").alias("cells"), F.count_if(~F.coalesce((F.col("cnt") >= 1) & (F.col("cnt") == F.floor("cnt")), F.lit(False))).alias("bad"))
+    dev = development.select(F.col("doc_id").alias("_v")).where("_v is not null").distinct()
+    j = d.join(held, F.col("doc_id").eqNullSafe(F.col("_d")), "full").join(dev, F.col("doc_id") == F.col("_v"), "left")
+    own = F.col("n").isNotNull()
+    counted = j.agg(
+        F.coalesce(F.sum(F.when(own & F.col("doc_id").isNull(), F.col("n"))), F.lit(0)).alias("id_present"), F.coalesce(F.sum(F.when(own, F.col("n") - 1)), F.lit(0)).alias("id_unique"),
+        F.count_if(own & ~F.coalesce(F.col("stratum").isin(*strata), F.lit(False))).alias("stratum_expected"), F.count_if(own & F.col("cells").isNull()).alias("not_empty"),
+        F.count_if(own & F.col("_v").isNotNull()).alias("not_in_development"), F.coalesce(F.sum("bad"), F.lit(0)).alias("count_whole"), F.count_if(~own).alias("cell_has_document"),
+    )
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("check"), F.col(c).cast("long").alias("observed")) for c in counted.columns]))
+    return counted.select(rows.alias("x")).select("x.*").withColumn("status", F.when(F.col("observed") == 0, "PASS").otherwise("FAIL"))
+
+
 def date_consistency(rows: DataFrame, ts: str, year: str, month: str) -> DataFrame:
     """(year, posts, year_agrees, month_agrees): a year column and a column of month names, in any case, against a timestamp, by year. A null
     timestamp agrees with nothing."""

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from railcorpus.operators.corpus import ordinal, table_fingerprint
 from railcorpus.operators.graph import both_ways
 from railcorpus.operators.topics import normalise, softmax
+from railcorpus.sources.files import signed, verify_signed
 
 
 def join_once(left: DataFrame, right: DataFrame, key: str, one_to_one: bool = False) -> DataFrame:
@@ -117,13 +118,20 @@ def prototype_lexical(
     shown = top_words(scores, "score", k).select("topic", "term_id").persist()
     repeats = shown.groupBy("term_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_slots"))
     recall = core.join(shown.withColumn("hit", F.lit(1.0)), ["topic", "term_id"], "left").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("core_recall"))
-    one = names
-    for part in (loss, shared, behind, loose, energy, repeats, recall):
-        one = one.crossJoin(part)  # one row each
-    one = one.withColumn("overlap", F.col("shared") / F.greatest(F.col("topics") * (F.col("topics") - 1), F.lit(1))).withColumn("unsupported_mass", F.col("loose") / (F.col("topics") * k))
-    parts = ("overlap", "prototype_margin", "unsupported_mass", "residual_energy")
-    total = F.col("association_loss") + sum(w * F.col(p) for w, p in zip(weights, parts, strict=True))
-    return one.select("association_loss", *parts, total.alias("total"), "duplicate_slots", "core_recall")
+    got: dict = {}
+    for part in (names, loss, shared, behind, loose, energy, repeats, recall):
+        got.update(part.first().asDict())  # one row each
+    topics = got["topics"]
+    values = {
+        "overlap": (got["shared"] or 0.0) / max(topics * (topics - 1), 1),
+        "prototype_margin": got["prototype_margin"],
+        "unsupported_mass": got["loose"] / max(topics * k, 1),
+        "residual_energy": got["residual_energy"],
+    }
+    loss_ = got["association_loss"] or 0.0
+    total = loss_ + sum(w * v for w, v in zip(weights, values.values(), strict=True))
+    schema = "association_loss double, overlap double, prototype_margin double, unsupported_mass double, residual_energy double, total double, duplicate_slots long, core_recall double"
+    return affinity.sparkSession.createDataFrame([(loss_, *map(float, values.values()), total, got["duplicate_slots"], got["core_recall"])], schema)
 
 
 def decode(mass: DataFrame, affinity: DataFrame, scale: DataFrame) -> DataFrame:
@@ -165,6 +173,46 @@ def seeded_permutation(items: DataFrame, by: str, key: str, seed: str) -> DataFr
     return both.withColumn("place", F.col("position") - F.col("_first")).drop("_mark", "position", "_first", "_by")
 
 
+def packet(items: DataFrame, key: str, shown: list[str], secret: list[str], seed: str) -> tuple[DataFrame, DataFrame]:
+    """A blinded form (item_id, *shown) in an order set by the seed, and its answers (item_id, key, *secret). Keys must be unique; nothing of the
+    answers is in the form."""
+    placed = seeded_permutation(items.withColumn("_all", F.lit("all")), "_all", key, seed).withColumn("item_id", F.format_string("item_%04d", F.col("place") + 1))
+    return placed.select("item_id", *shown), placed.select("item_id", key, *secret)
+
+
+def scored(returned: DataFrame, form: DataFrame, answers: DataFrame, locked: list[str]) -> DataFrame:
+    """Returned forms joined to their answers by item_id, once their locked columns are as issued: a missing, added or changed item is an
+    error. returned may hold several raters' rows of an item, each of which is held against the form."""
+    issued = form.select("item_id", *locked)
+    for problem, rows in (("missing", issued.join(returned, "item_id", "left_anti")), ("added", returned.join(issued, "item_id", "left_anti"))):
+        if rows.limit(1).count():
+            raise ValueError(f"items are {problem}")
+    same = F.lit(True)
+    for c in locked:
+        same = same & F.coalesce(F.col(f"r.{c}").cast("string"), F.lit("")).eqNullSafe(F.coalesce(F.col(f"i.{c}").cast("string"), F.lit("")))
+    if returned.alias("r").join(issued.alias("i"), F.col("r.item_id") == F.col("i.item_id")).where(~same).limit(1).count():
+        raise ValueError("locked columns have been changed")
+    return join_once(returned, answers, "item_id")
+
+
+def envelope(meta: dict, **tables: DataFrame) -> dict:
+    """A signed record of tables by their rows and fingerprint beside meta: what is registered before, or handed in after, a rating."""
+    marks = {name: list(table_fingerprint(df).first()) for name, df in sorted(tables.items())}
+    return signed({**meta, "tables": marks})
+
+
+def open_envelope(record: dict, **tables: DataFrame) -> dict:
+    """The record's meta, if its signature and every table it names hold; any other case is an error."""
+    if not verify_signed(record):
+        raise ValueError("the record has been changed")
+    if set(record["tables"]) != set(tables):
+        raise ValueError("the record names other tables")
+    changed = [name for name, df in sorted(tables.items()) if list(table_fingerprint(df).first()) != record["tables"][name]]
+    if changed:
+        raise ValueError(f"tables have been changed: {changed}")
+    return {k: v for k, v in record.items() if k not in ("tables", "sha256")}
+
+
 def variant_registry(variants: DataFrame, quota: int, rho: float, calibration: str) -> DataFrame:
     """(variant, prototype_quota, pooled_weight, calibration) of a table of variants (variant, graph, pooled, calibrated): what each keeps of the
     full model's settings. A repeated or null variant is an error."""

@@ -216,17 +216,35 @@ def rank_scores(p: DataFrame, eps: float = 1e-12) -> DataFrame:
     return c.join(rms, "topic").select("topic", "term_id", (F.col("c") / F.col("rms")).alias("score"))
 
 
-def soft_top_k(scores: DataFrame, k: int, temperature: float = 0.1, rounds: int = 60) -> DataFrame:
-    """(topic, term_id, m): sigmoid((score - t) / temperature) with t such that the memberships of a topic sum to k, by bisection.
+def soft_top_k(scores: DataFrame, k: int, temperature: float = 0.1, rounds: int = 40) -> DataFrame:
+    """(topic, term_id, m): sigmoid((score - t) / temperature) with t such that the memberships of a topic sum to k.
 
-    Every round is one aggregate over topics; only topics (few) are joined back.
+    t is found by Newton steps kept inside a bracket. Each is one aggregate over the scores; two numbers a topic reach the driver, and no task
+    holds a topic's vocabulary. A topic with k terms or fewer takes all of them.
     """
-    bounds = scores.groupBy("topic").agg((F.min("score") - 10 * temperature).alias("lo"), (F.max("score") + 10 * temperature).alias("hi"))
-    parts = scores.groupBy("topic").agg(F.collect_list(F.round("score", 12)).alias("s")).join(bounds, "topic")
-    mass = lambda t: F.aggregate("s", F.lit(0.0), lambda a, x: a + 1 / (1 + F.exp(-(x - t) / temperature)))
-    step = lambda b, _: F.when(mass((b["lo"] + b["hi"]) / 2) > k, F.struct(((b["lo"] + b["hi"]) / 2).alias("lo"), b["hi"].alias("hi"))).otherwise(F.struct(b["lo"].alias("lo"), ((b["lo"] + b["hi"]) / 2).alias("hi")))
-    found = parts.select("topic", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct("lo", "hi"), step).alias("b")).select("topic", ((F.col("b.lo") + F.col("b.hi")) / 2).alias("t"))
-    return scores.join(found, "topic").select("topic", "term_id", (1 / (1 + F.exp(-(F.col("score") - F.col("t")) / temperature))).alias("m"))
+    spark = scores.sparkSession
+    scores = scores.persist()
+    ends = scores.groupBy("topic").agg(F.min("score").alias("lo"), F.max("score").alias("hi")).collect()  # one row a topic
+    low = {r["topic"]: r["lo"] - 20 * temperature for r in ends}
+    high = {r["topic"]: r["hi"] + 20 * temperature for r in ends}
+    at = {t: (low[t] + high[t]) / 2 for t in low}
+    schema = f"topic {scores.schema['topic'].dataType.simpleString()}, t double"
+    m = 1 / (1 + F.exp(-(F.col("score") - F.col("t")) / temperature))
+    for _ in range(rounds):
+        met = scores.join(F.broadcast(spark.createDataFrame(list(at.items()), schema)), "topic").groupBy("topic").agg(F.sum(m).alias("f"), F.sum(m * (1 - m)).alias("g")).collect()  # one row a topic
+        open_ = False
+        for r in met:
+            t, off = r["topic"], r["f"] - k
+            if abs(off) <= 1e-9 * k or high[t] - low[t] < 1e-12:
+                continue
+            open_ = True
+            (low if off > 0 else high)[t] = at[t]
+            step = at[t] + off * temperature / max(r["g"], 1e-300)
+            at[t] = step if low[t] < step < high[t] else (low[t] + high[t]) / 2
+        if not open_:
+            break
+    found = spark.createDataFrame(list(at.items()), schema)
+    return scores.join(F.broadcast(found), "topic").select("topic", "term_id", m.alias("m"))
 
 
 def association(members: DataFrame, edges: DataFrame, eps: float = 1e-12) -> DataFrame:
@@ -267,3 +285,10 @@ def frozen_variants(parent: Column, native: Column, calibrated: Column, pooled:
     """Map of the five paired variants' probabilities."""
     mix = lambda p: (1 - rho) * p + rho * pooled
     return F.create_map(F.lit("full"), mix(calibrated), F.lit("no_graph"), mix(parent), F.lit("no_pooled"), calibrated, F.lit("no_calibration"), mix(native), F.lit("parent"), parent)
+
+
+def stratum_variants(parent: Column, graph: Column, stratum: Column, pooled: Column, rho: float) -> Column:
+    """Map of the five variants that back off to a stratum's prior: with and without the graph, without back-off, with the pooled prior instead, and
+    the parent alone."""
+    mix = lambda p, prior: (1 - rho) * p + rho * prior
+    return F.create_map(F.lit("graph_stratum"), mix(graph, stratum), F.lit("stratum"), mix(parent, stratum), F.lit("graph"), graph, F.lit("graph_pooled"), mix(graph, pooled), F.lit("parent"), parent)

@@ -226,6 +226,17 @@ def count_checks(spark, sf):
     return C.check_table(rows, {"positive_counts": F.col("cnt") >= 1, "term_present": F.col("term_id").isNotNull(), "term_known": F.col("term_id").isNull() | F.col("known"), "split_known": F.col("split").isin("train", "validation", "test")})
 
 
+@query(f"""WITH {DOCS}, d AS (SELECT doc_id, city, split FROM docs), t AS (SELECT * FROM d WHERE split = 'test'), c AS (SELECT doc_id, COUNT(*) AS cells, COUNT(*) FILTER (NOT COALESCE(cnt >= 1, FALSE)) AS bad FROM counts WHERE split = 'test' GROUP BY 1),
+    n AS (SELECT (SELECT COUNT(*) FROM t WHERE city NOT IN ('Luoxi', 'Qinglan', 'Yunmo')) AS s, (SELECT COUNT(*) FROM t WHERE doc_id NOT IN (SELECT doc_id FROM c WHERE doc_id IS NOT NULL)) AS e, (SELECT COUNT(*) FROM t JOIN d x ON x.doc_id = t.doc_id AND x.split <> 'test') AS v, (SELECT CAST(SUM(bad) AS BIGINT) FROM c) AS b, (SELECT COUNT(*) FROM c WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM t)) AS o)
+    SELECT "check", observed, CASE WHEN observed = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM (SELECT UNNEST(['id_present', 'id_unique', 'stratum_expected', 'not_empty', 'not_in_development', 'count_whole', 'cell_has_document']) AS "check", UNNEST([0, 0, s, e, v, b, o]) AS observed FROM n)""")
+def partition_contract(spark, sf):
+    """The test posts and all their counts as delivered, with three cities expected."""
+    d = C.documents_of(spark, sf)
+    test = d.where("split = 'test'").select("doc_id", F.col("city").alias("stratum"))
+    cells = table(spark, sf, "counts").where("split = 'test'").select("doc_id", "term_id", "cnt")
+    return C.partition_contract(test, cells, ["Luoxi", "Qinglan", "Yunmo"], d.where("split <> 'test'").select("doc_id"))
+
+
 @query("""WITH i AS (SELECT doc_id, lang, source FROM documents), r AS (SELECT doc_id, CASE WHEN doc_id % 50 = 7 THEN 'changed' ELSE lang END AS lang, source FROM i WHERE doc_id % 100 <> 3)
     SELECT COALESCE(r.doc_id, i.doc_id) AS doc_id, CASE WHEN r.doc_id IS NULL THEN 'missing' WHEN i.doc_id IS NULL THEN 'added' ELSE 'changed' END AS problem FROM r FULL JOIN i ON r.doc_id = i.doc_id
     WHERE r.doc_id IS NULL OR i.doc_id IS NULL OR COALESCE(r.lang, '') <> COALESCE(i.lang, '') OR COALESCE(r.source, '') <> COALESCE(i.source, '')""")
@@ -312,11 +323,11 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 @query(" UNION ALL ".join(f"SELECT '{t}' AS \"table\", COUNT(*) AS rows, TRUE AS whole FROM {t}" for t in TABLES))
 def table_fingerprints(spark, sf):
-    """Identity of each table's content whatever its order: the rows, and whether halves of the table add up to the whole."""
+    """Identity of each table's content: the rows, and whether it is the same with the columns in another order."""
     out = None
     for name in TABLES:
         t = table(spark, sf, name)
-        f = C.table_fingerprint(t).join(C.table_fingerprint(t.repartition(3)).withColumnRenamed("rows", "again"), "fingerprint", "left")
+        f = C.table_fingerprint(t).join(C.table_fingerprint(t.select(*reversed(t.columns))).withColumnRenamed("rows", "again"), "fingerprint", "left")
         f = f.select(F.lit(name).alias("table"), "rows", (F.col("rows") == F.col("again")).alias("whole"))
         out = f if out is None else out.unionByName(f)
     return out

@@ -139,6 +139,14 @@ def seeded_shuffle(spark, sf):
     return R.seeded_permutation(C.documents_of(spark, sf).select("city", "doc_id"), "city", "doc_id", "7")
 
 
+@query(f"WITH {CLASSES}, it AS (SELECT topic, string_agg(CAST(term_id AS VARCHAR), ' ' ORDER BY rank) AS words, MIN(term_id) AS least FROM top GROUP BY 1) SELECT printf('item_%04d', ROW_NUMBER() OVER (ORDER BY sha256('packet|all|' || topic), topic)) AS item_id, words, topic, least FROM it")
+def blind_packet(spark, sf):
+    """Cities' leading words as blinded items, joined to their answers again once the returned form is seen to be as issued."""
+    words = top(spark, sf).groupBy("topic").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term_id"))), lambda x: x["term_id"].cast("string")), " ").alias("words"), F.min("term_id").alias("least"))
+    form, answers = (d.persist() for d in R.packet(words.persist(), "topic", ["words"], ["least"], "packet"))
+    return R.scored(form, form, answers, ["words"])
+
+
 @query(f"WITH {_ODDS}, tk AS (SELECT SUM(-cnt * LN(pooled.p)) / SUM(cnt) AS nll FROM tgt JOIN pooled USING (term_id)), sh AS (SELECT stratum, CAST(SUM(cnt) AS DOUBLE) AS w FROM tgt GROUP BY 1), rs AS (SELECT stratum, AVG(r * r) AS q FROM oc GROUP BY 1), po AS (SELECT SUM(w * q) / SUM(w) AS pooling FROM rs JOIN sh USING (stratum)), gt AS (SELECT AVG(1 / (1 + EXP(-w / (SELECT MAX(w) FROM sh)))) AS gate, AVG(-LN(w / (SELECT SUM(w) FROM sh) + 1e-12)) AS lexical FROM sh) SELECT ROUND(nll, 8) AS nll, ROUND(pooling, 8) AS pooling, ROUND(gate, 8) AS gate, ROUND(lexical, 8) AS lexical, ROUND(nll + 0.1 * pooling + 0.01 * gate + 0.5 * lexical, 8) AS total FROM tk CROSS JOIN po CROSS JOIN gt")
 def full_objective(spark, sf):
     """Likelihood of the targets under the pooled prior, log-odds of the cities as shifts, their target tokens as shares and gates; the

@@ -249,6 +249,16 @@ def variants_union(spark, sf):
     return five.groupBy("variant", T.reporting_family(F.col("variant")).alias("family")).agg(F.round(F.sum(-F.col("cnt") * F.log("x")) / F.sum("cnt"), 9).alias("nll"))
 
 
+@query(f"WITH {PRIORS}, c AS (SELECT cnt, pooled.p AS q, stratum.p AS p FROM tgt JOIN pooled USING (term_id) JOIN stratum ON stratum.stratum = tgt.stratum AND stratum.term_id = tgt.term_id), v5 AS (SELECT cnt, UNNEST(['graph_stratum', 'stratum', 'graph', 'graph_pooled', 'parent']) AS variant, UNNEST([0.8 * (0.5 * p + 0.5 * q) + 0.2 * p, 0.8 * q + 0.2 * p, 0.5 * p + 0.5 * q, 0.8 * (0.5 * p + 0.5 * q) + 0.2 * q, q]) AS x FROM c) SELECT variant, ROUND(SUM(-cnt * LN(x)) / SUM(cnt), 9) AS nll FROM v5 GROUP BY 1")
+def stratum_variants(spark, sf):
+    """Likelihood of the five variants with back-off to the city; the pooled prior stands for the parent, its mean with the city's for the graph."""
+    target, pooled, stratum = priors(spark, sf)
+    c = target.join(pooled.withColumnRenamed("p", "q"), "term_id").join(stratum, ["stratum", "term_id"])
+    p, q = F.col("p"), F.col("q")
+    five = c.select("cnt", F.explode(T.stratum_variants(q, 0.5 * p + 0.5 * q, p, q, 0.2)).alias("variant", "x"))
+    return five.groupBy("variant").agg(F.round(F.sum(-F.col("cnt") * F.log("x")) / F.sum("cnt"), 9).alias("nll"))
+
+
 @query(f"WITH {PRIORS}, g AS (SELECT tgt.stratum, SUM(-cnt * LN(pooled.p)) / SUM(cnt) AS a, SUM(-cnt * LN(stratum.p)) / SUM(cnt) AS b FROM tgt JOIN pooled USING (term_id) JOIN stratum ON stratum.stratum = tgt.stratum AND stratum.term_id = tgt.term_id GROUP BY 1) SELECT stratum, ROUND(b, 9) AS full_nll, ROUND(a - b, 9) AS effect FROM g")
 def stratum_effects(spark, sf):
     target, pooled, stratum = priors(spark, sf)
@@ -335,7 +345,7 @@ def prototype_lexical(spark, sf):
 
     p = affinity(spark, sf).persist()
     cores = top(spark, sf).select("topic", (F.col("rank") - 1).alias("slot"), "term_id")
-    return R.prototype_lexical(p, G.npmi_graph(fit_cells(spark, sf)), p.select("topic", "term_id", F.log("p").alias("z")), cores)
+    return R.prototype_lexical(p, G.npmi_graph(fit_cells(spark, sf)).persist(), p.select("topic", "term_id", F.log("p").alias("z")), cores)
 
 
 @query(f"""WITH {GRAPH}{_EDGES}, {CLASSES.split(FIT + ", ")[1]}, dg AS (SELECT src AS term_id FROM edges UNION SELECT dst FROM edges), sp AS (SELECT topic, AVG(CASE WHEN df >= 3 THEN 1.0 ELSE 0.0 END) AS s, AVG(CASE WHEN dg.term_id IS NULL THEN 0.0 ELSE 1.0 END) AS g FROM top LEFT JOIN head USING (term_id) LEFT JOIN dg USING (term_id) GROUP BY 1),

@@ -90,8 +90,15 @@ def read_json_document(path: str) -> dict:
 
 
 def load_settings(path: str, locked: dict) -> dict:
-    """A JSON settings file whose locked values must be as given (dotted keys)."""
-    found = read_json_document(path)
+    """A settings file (JSON, or YAML where a parser is installed) whose locked values must be as given (dotted keys)."""
+    if path.endswith((".yaml", ".yml")):
+        try:
+            import yaml
+        except ImportError:
+            raise ValueError("no YAML parser is installed") from None
+        found = yaml.safe_load(Path(path).read_text("utf-8-sig"))
+    else:
+        found = read_json_document(path)
     for key, want in locked.items():
         at = found
         for part in key.split("."):

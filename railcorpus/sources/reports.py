@@ -49,9 +49,12 @@ def _text(x: float, y: float, s: object) -> str:
     return f'<text x="{x:.1f}" y="{y:.1f}" font-size="11">{escape(str(s))}</text>'
 
 
-def heatmap_svg(df: DataFrame, row: str, column: str, value: str, most: int = 2000, cell: int = 44) -> str:
-    """Rows by columns, shaded by value; an absent or null cell is grey."""
-    found = {(r[row], r[column]): r[value] for r in few_rows(df.select(row, column, value), most)}
+def heatmap_svg(df: DataFrame, row: str, column: str, value: str, most: int = 2000, cell: int = 44, marker: str | None = None) -> str:
+    """Rows by columns, shaded by value; an absent or null cell is grey. Cells whose boolean marker column holds get a dot, such as the topics
+    of a city with enough votes."""
+    kept = few_rows(df.select(row, column, value, *([marker] if marker else [])), most)
+    found = {(r[row], r[column]): r[value] for r in kept}
+    marked = {(r[row], r[column]) for r in kept if marker and r[marker]}
     rows, columns = sorted({k[0] for k in found}, key=str), sorted({k[1] for k in found}, key=str)
     known = [v for v in found.values() if v is not None] or [0.0]
     low, span = min(known), (max(known) - min(known)) or 1.0
@@ -63,6 +66,8 @@ def heatmap_svg(df: DataFrame, row: str, column: str, value: str, most: int = 20
             shade = "#bbbbbb" if v is None else f"rgb({int(245 - 200 * (v - low) / span)},{int(250 - 120 * (v - low) / span)},255)"
             body.append(f'<rect x="{120 + j * cell}" y="{20 + i * cell}" width="{cell - 2}" height="{cell - 2}" fill="{shade}"/>')
             body.append(_text(124 + j * cell, 44 + i * cell, "NA" if v is None else f"{v:.2f}"))
+            if (r, c) in marked:
+                body.append(f'<circle cx="{112 + (j + 1) * cell}" cy="{28 + i * cell}" r="3" fill="#aa2222"/>')
     return _svg(140 + cell * len(columns), 40 + cell * len(rows), body)
 
 
@@ -89,6 +94,27 @@ def band_svg(df: DataFrame, x: str, mid: str, low: str, high: str, most: int = 2
     return _svg(520, 260, [f'<polygon points="{line(high)} {back}" fill="#cdd9ee"/>', f'<polyline points="{line(mid)}" fill="none" stroke="#224488"/>', _text(40, 250, x0), _text(470, 250, x1)])
 
 
+def whisker_panels_svg(panels: list[tuple[str, DataFrame]], x: str, mid: str, low: str, high: str, most: int = 200) -> str:
+    """Panels side by side, each with a metric by setting: a dot at mid and a whisker from low to high. Null values leave their place empty."""
+    body, tall = [], 200
+    for k, (title, df) in enumerate(panels):
+        rows = sorted(few_rows(df.select(x, mid, low, high), most), key=lambda r: (r[x] is None, r[x]))
+        known = [r for r in rows if None not in (r[mid], r[low], r[high])]
+        left = 20 + 260 * k
+        body.append(_text(left, 16, title))
+        if not known:
+            continue
+        y0, span = min(r[low] for r in known), (max(r[high] for r in known) - min(r[low] for r in known)) or 1.0
+        at = lambda v: 30 + (tall - 60) * (1 - (v - y0) / span)
+        for i, r in enumerate(rows):
+            px = left + 20 + 210 * i / max(len(rows) - 1, 1)
+            body.append(_text(px - 6, tall - 8, r[x]))
+            if r in known:
+                body.append(f'<path d="M{px:.1f} {at(r[low]):.1f} V{at(r[high]):.1f} m-4 0 h8 M{px - 4:.1f} {at(r[low]):.1f} h8" stroke="#224488" fill="none"/>')
+                body.append(f'<circle cx="{px:.1f}" cy="{at(r[mid]):.1f}" r="3" fill="#224488"/>')
+    return _svg(40 + 260 * len(panels), tall, body)
+
+
 def chain_svg(panels: list[tuple[str, str]]) -> str:
     """Titled boxes from left to right, such as post, words, requirement and action."""
     body = []

@@ -285,3 +285,37 @@ def test_prototype_lexical_terms(spark):
     assert abs(out.total - (assoc + 0.5 * over + 2 * margin + 3 * loose + 0.25 * energy)) < 1e-6
     assert out.duplicate_slots == k * topics - len(set(shown.ravel().tolist()))
     assert abs(out.core_recall - np.mean([[t in shown[i] for t in core[i]] for i in range(topics)])) < 1e-12
+
+
+def test_packets_and_envelopes(spark):
+    items = spark.createDataFrame([(f"t{k}", f"w{k} x", k % 2 == 0) for k in range(12)], "topic string, words string, good boolean")
+    form, answers = R.packet(items, "topic", ["words"], ["good"], "s")
+    assert form.columns == ["item_id", "words"] and answers.columns == ["item_id", "topic", "good"]
+    ids = [r.item_id for r in form.orderBy("item_id").collect()]
+    assert ids == [f"item_{k:04d}" for k in range(1, 13)] and [r.words for r in form.orderBy("item_id").collect()] != [f"w{k} x" for k in range(12)]
+    rated = form.withColumn("rater", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    out = R.scored(rated, form, answers, ["words"])
+    assert out.count() == 24 and out.where("words <> concat('w', substr(topic, 2), ' x')").count() == 0
+    for broken in (rated.where("item_id <> 'item_0001'"), rated.withColumn("item_id", F.concat("item_id", F.lit("x"))), rated.withColumn("words", F.lit("other"))):
+        with pytest.raises(ValueError):
+            R.scored(broken, form, answers, ["words"])
+    record = R.envelope({"stage": "ratings"}, form=form, answers=answers)
+    assert R.open_envelope(record, form=form, answers=answers) == {"stage": "ratings"}
+    for wrong in ({"form": form}, {"form": form.limit(3), "answers": answers}):
+        with pytest.raises(ValueError):
+            R.open_envelope(record, **wrong)
+    with pytest.raises(ValueError):
+        R.open_envelope({**record, "stage": "other"}, form=form, answers=answers)
+
+
+def test_partition_contract(spark):
+    make = lambda rows, schema: spark.createDataFrame(rows, schema)
+    run = lambda d, c, v: {r.check: r.observed for r in C.partition_contract(make(d, "doc_id string, stratum string"), make(c, "doc_id string, term_id int, cnt long"), ["x", "y"], make(v, "doc_id string")).collect()}
+    assert set(run([("a", "x"), ("b", "y")], [("a", 1, 1), ("b", 1, 2)], [("z",), (None,)]).values()) == {0} == set(run([], [], []).values())
+    bad = run([("a", "x"), ("a", "x"), (None, "y"), ("c", "q"), ("d", None)], [("a", 1, 0), ("a", 2, None), ("e", 1, 1), ("c", 1, 1)], [("c",)])
+    assert bad == {"id_present": 1, "id_unique": 1, "stratum_expected": 2, "not_empty": 2, "not_in_development": 1, "count_whole": 2, "cell_has_document": 1}
+
+
+def test_stratum_variants(spark):
+    v = spark.range(1).select(T.stratum_variants(F.lit(0.1), F.lit(0.2), F.lit(0.4), F.lit(0.8), 0.5)).first()[0]
+    assert {k: round(x, 12) for k, x in v.items()} == {"graph_stratum": 0.3, "stratum": 0.25, "graph": 0.2, "graph_pooled": 0.5, "parent": 0.1}

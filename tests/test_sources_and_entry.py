@@ -52,6 +52,11 @@ def test_sinks(spark, tmp_path):
     assert "\\multicolumn" in reports.latex_table({"A_1": df})
     assert "NA" in reports.heatmap_svg(df.selectExpr("k", "'c' as c", "v"), "k", "c", "v")
     assert reports.bars_svg(df, "k", "v").count("<rect") == 2
+    marked = spark.createDataFrame([("t", "a", 3.0, True), ("t", "b", 4.0, None), ("u", "a", None, False)], "t string, c string, v double, yes boolean")
+    assert reports.heatmap_svg(marked, "t", "c", "v", marker="yes").count("<circle") == 1 and "<circle" not in reports.heatmap_svg(marked, "t", "c", "v")
+    grid = spark.createDataFrame([(4, 1.0, 0.5, 2.0), (8, 2.0, 1.0, 3.0), (9, None, None, None)], "q int, m double, l double, h double")
+    panels = reports.whisker_panels_svg([("by quota", grid), ("none", grid.limit(0))], "q", "m", "l", "h")
+    assert panels.count("<circle") == 2 == panels.count("<path") and "by quota" in panels
     assert "polyline" in reports.band_svg(spark.createDataFrame([(1, 2.0, 1.0, 3.0), (2, 1.0, 0.0, 4.0)], "x int, m double, l double, h double"), "x", "m", "l", "h")
     assert reports.chain_svg([("post", "text"), ("words", "a b")]).count("<rect") == 2
     with pytest.raises(ValueError):
