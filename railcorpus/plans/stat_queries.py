@@ -364,13 +364,13 @@ def planted_topics(spark, sf):
     pairs = C.biterms(C.expand_tokens(cells), 15)
     graph = G.npmi_graph(cells)
     cores: dict[int, set] = {}
-    for r in M.spectral_prototypes(graph, 3, 8).collect():
+    for r in M.spectral_prototypes(graph, 3, 8, rounds=8).collect():
         cores.setdefault(r["topic"], set()).add(r["term_id"])
     shown = {
-        "lda": _sets(M.fit_lda(cells, 24, 3, 3, 30)[0], 8),
-        "nmf": _sets(M.fit_nmf(cells, 24, 3, 15), 8),
-        "gsdmm": [set(r["top"][:8]) for r in M.fit_gsdmm(cells, 24, 3, 12)[0].collect()],
-        "btm": _sets(M.fit_btm(pairs, 24, 3, 12), 8),
+        "lda": _sets(M.fit_lda(cells, 24, 3, 3, 20)[0], 8),
+        "nmf": _sets(M.fit_nmf(cells, 24, 3, 8), 8),
+        "gsdmm": [set(r["top"][:8]) for r in M.fit_gsdmm(cells, 24, 3, 8)[0].collect()],
+        "btm": _sets(M.fit_btm(pairs, 24, 3, 8), 8),
         "spectral": list(cores.values()),
     }
     rows = [(m, g, set(range(8 * g, 8 * g + 8)) in found) for m, found in shown.items() for g in range(3)]
