@@ -34,6 +34,8 @@ INTRODUCE = {
     "phone": ("L1tel", "L1phone", "L1mobile", "L1whatsapp", "L2电话", "L2手机"),
 }
 
+SEEN = 3.0  # good candidates that a seed pattern brings with it: soon outweighed by what a large collection shows
+
 PHONES = ("(3d) 3d-4d", "3d-3d-4d", "3d.3d.4d")
 
 # By class: weight of unknown instances against a pattern; share of reliable candidates from which an instance supports patterns;
@@ -196,7 +198,7 @@ def score(found: DataFrame, rounds: int = 8, least: float = 0.6) -> DataFrame:
     as, of another kind count against it, unknown ones by the class's weight (fully for words behind, which are mostly the next
     sentence's); a pattern met only once or twice, with one instance, counts less. A
     candidate's context is its best pattern. An instance's share is that of its candidates in reliable context. Patterns in
-    INTRODUCE are reliable in the first round; from then on the data say how reliable they are. Rounds end when no instance changes
+    INTRODUCE are reliable in the first round; from then on they count SEEN good candidates more than the data show. Rounds end when no instance changes
     sides, at most after `rounds`.
     """
     spark = found.sparkSession
@@ -217,8 +219,9 @@ def score(found: DataFrame, rounds: int = 8, least: float = 0.6) -> DataFrame:
             F.sum(F.when(F.col("good"), F.col("n")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("against"), F.col("n")).otherwise(0)).alias("neg"), F.sum("n").alias("n"), F.count_if("good").alias("kinds")
         ).join(rules, "class")
         unknown = F.when(F.col("pattern").startswith("R"), 1.0).otherwise(F.col("w")) * (F.col("n") - F.col("pos") - F.col("neg"))
-        share = F.col("pos") / (F.col("pos") + F.col("neg") + unknown + 0.3)
-        single = ~F.col("pattern").startswith("S") & (F.col("kinds") < 2) & (F.col("pos") < 3)
+        prior = F.when(sure, SEEN).otherwise(0.0)
+        share = (F.col("pos") + prior) / (F.col("pos") + F.col("neg") + unknown + 0.3 + prior)
+        single = ~F.col("pattern").startswith("S") & (F.col("kinds") < 2) & (F.col("pos") < 3) & ~sure
         rated = rated.select("class", "pattern", F.when(sure & F.lit(turn == 0), 1.0).otherwise(share * F.when(single, 0.85).otherwise(1.0)).alias("p"))
         context = seen.withColumn("pattern", F.explode_outer("patterns")).join(rated, ["class", "pattern"], "left").groupBy("class", "node", "patterns", "n", "seed").agg(F.coalesce(F.max("p"), F.lit(0.0)).alias("context"))
         context = context.checkpoint()
