@@ -48,6 +48,17 @@ def jensen_bound(parent_nll: Column, prior_nll: Column, rho: Column) -> Column:
     return (1 - rho) * parent_nll + rho * prior_nll
 
 
+def mixture_gains(cells: DataFrame, rhos: DataFrame) -> DataFrame:
+    """(fold, rho, nll, gain) of target cells (fold, cnt, p, q) under the mixtures of p and q by rhos (rho): the gain over rho 0 of the same fold.
+
+    The anchor is read off the fold's own few rows. Joined from a second sum, the two would differ in their last bits, and rho 0 gain on itself.
+    """
+    grid = cells.crossJoin(F.broadcast(rhos))  # a few rows
+    g = grid.groupBy("fold", "rho").agg((F.sum(-F.col("cnt") * F.log(mixture(F.col("p"), F.col("q"), F.col("rho")))) / F.sum("cnt")).alias("nll"))
+    anchor = F.max(F.when(F.col("rho") == 0, F.col("nll"))).over(Window.partitionBy("fold"))  # one row a rho
+    return g.withColumn("gain", anchor - F.col("nll"))
+
+
 def nll(cnt: Column, p: Column) -> list[Column]:
     """Aggregates tokens, nll (nats a token) and perplexity of target counts under p."""
     loss = F.sum(-cnt * F.log(F.least(F.greatest(p, F.lit(FLOOR)), F.lit(1.0)))) / F.sum(cnt)

@@ -221,9 +221,8 @@ _FOLDS = PRIORS + f", ff AS (SELECT tgt.*, CAST({HASH.format('doc_id')} % 5 AS I
 def rho_fold_grid(spark, sf):
     """Gains over the anchor rho 0 by fold, and the rho of the largest median gain."""
     target, pooled, stratum = priors(spark, sf)
-    c = P.folds(target, 5).join(pooled.withColumnRenamed("p", "q"), "term_id").join(stratum, ["stratum", "term_id"]).crossJoin(F.broadcast(rho_table(spark)))  # four rows
-    g = c.groupBy("fold", "rho").agg((F.sum(-F.col("cnt") * F.log(P.mixture(F.col("p"), F.col("q"), F.col("rho")))) / F.sum("cnt")).alias("nll"))
-    gain = g.join(g.where("rho = 0").select("fold", F.col("nll").alias("anchor")), "fold").withColumn("gain", F.col("anchor") - F.col("nll"))
+    c = P.folds(target, 5).join(pooled.withColumnRenamed("p", "q"), "term_id").join(stratum, ["stratum", "term_id"])
+    gain = P.mixture_gains(c, rho_table(spark))
     s = gain.groupBy("rho").agg(F.round(F.expr("percentile(gain, 0.5)"), 9).alias("median_gain"), F.round(F.min("gain"), 9).alias("least_gain"), F.round(F.avg((F.col("gain") > 0).cast("double")), 9).alias("positive_share"))
     best = s.agg(F.max_by("rho", F.struct("median_gain", -F.col("rho"))).alias("best"))
     return s.crossJoin(F.broadcast(best)).select("rho", "median_gain", "least_gain", "positive_share", (F.col("rho") == F.col("best")).alias("chosen"))

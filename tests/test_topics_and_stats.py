@@ -294,3 +294,14 @@ def test_pivot_has_a_column_for_each_city(spark, tmp_path):
     out = topic_queries.seed_topic_pivot(spark, str(tmp_path))
     assert out.columns == ["seed", "Elsewhere", "Luoxi", "Port Arden", "unknown", "mean"]
     assert {r.seed: (r["Luoxi"], r["Port Arden"], r["unknown"], r["mean"]) for r in out.collect()} == {k: (1.0, 1.0, 1.0, 1.0) for k in range(3)}
+
+
+def test_rho_0_gains_nothing_on_itself(spark):
+    cells = spark.range(0, 60000, 1, 16).select((F.col("id") % 50).cast("int").alias("fold"), (F.col("id") % 3 + 1).alias("cnt"), (F.rand(1) * 0.1 + 1e-6).alias("p"), (F.rand(2) * 0.1 + 1e-6).alias("q"))
+    rhos = spark.createDataFrame([(0.0,), (0.5,)], "rho double")
+    gains = P.mixture_gains(cells.repartition(16), rhos)
+    plan = gains._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (") == 1  # the sums of a fold are made once: whatever their order, the anchor is the same number
+    got = gains.collect()
+    assert len(got) == 100 and {r.gain for r in got if r.rho == 0} == {0.0}
+    assert all(r.gain != 0 for r in got if r.rho > 0)
