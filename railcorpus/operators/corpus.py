@@ -84,9 +84,12 @@ def chronological_blocks(rows: DataFrame, blocks: int, *order: str) -> DataFrame
 
 
 def ordinal(rows: DataFrame, *order: str) -> DataFrame:
-    """rows with position 0.. in the order (which must be unique), numbered without a single-task sort."""
+    """rows with position 0.. in the order (which must be unique), numbered without a single-task sort.
+
+    The ranges are kept: made twice, for the rows and for their sizes, their bounds are drawn anew and the positions have gaps and repeats.
+    """
     ranged = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
-    here = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1)
+    here = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1).persist()
     sizes = here.groupBy("_range").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a partition
     return here.join(F.broadcast(before.select("_range", "_before")), "_range").withColumn("position", F.col("_at") + F.col("_before")).drop("_range", "_at", "_before")

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from railcorpus.operators import corpus as C
 from railcorpus.operators import models as M
 from railcorpus.operators import priors as P
 from railcorpus.operators import stats as S
@@ -305,3 +306,14 @@ def test_rho_0_gains_nothing_on_itself(spark):
     got = gains.collect()
     assert len(got) == 100 and {r.gain for r in got if r.rho == 0} == {0.0}
     assert all(r.gain != 0 for r in got if r.rho > 0)
+
+
+def test_positions_are_whole_over_many_ranges(spark):
+    rows = spark.range(0, 300000, 1, 8).select(F.xxhash64("id").alias("key"), F.repeat(F.lit("x"), 30).alias("wide"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that a small table has several ranges
+    try:
+        placed = C.ordinal(rows.groupBy("key").agg(F.max("wide").alias("wide")), "key")
+        got = placed.agg(F.count("*"), F.count_distinct("position"), F.min("position"), F.max("position"), F.count("wide")).first()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert tuple(got) == (300000, 300000, 0, 299999, 300000)
