@@ -11,9 +11,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.clustering import LDA, KMeans
-from pyspark.ml.feature import PCA, CountVectorizerModel, Normalizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import PCA, Normalizer
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,28 +102,163 @@ def _long(spark: SparkSession, p: np.ndarray) -> DataFrame:
     return spark.createDataFrame(pd.DataFrame({"topic": np.repeat(np.arange(topics), size), "term_id": np.tile(np.arange(size), topics), "p": p.ravel()}), "topic int, term_id int, p double")
 
 
-def vectors(cells: DataFrame, size: int) -> DataFrame:
-    """(doc_id, features) sparse count vectors; term_id is the index, below size."""
-    pairs = numbered(cells, size).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("term_id", "cnt"))).alias("p"))
-    words = F.flatten(F.transform("p", lambda x: F.array_repeat(x["term_id"].cast("string"), x["cnt"].cast("int"))))
-    model = CountVectorizerModel.from_vocabulary([str(i) for i in range(size)], inputCol="words", outputCol="features")
-    return model.transform(pairs.select("doc_id", words.alias("words"))).select("doc_id", "features")
+def _psi(x: np.ndarray) -> np.ndarray:
+    """Digamma of positive numbers."""
+    x = np.array(x, float)
+    out = np.zeros_like(x)
+    while (small := x < 6).any():
+        out -= np.where(small, 1 / x, 0.0)
+        x += small
+    y = 1 / (x * x)
+    return out + np.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y * (1 / 240 - y / 132))))
+
+
+def _psi1(x: np.ndarray) -> np.ndarray:
+    """Derivative of the digamma of positive numbers."""
+    x = np.array(x, float)
+    out = np.zeros_like(x)
+    while (small := x < 6).any():
+        out += np.where(small, 1 / (x * x), 0.0)
+        x += small
+    y = 1 / (x * x)
+    return out + 1 / x + y / 2 + y / x * (1 / 6 - y * (1 / 30 - y * (1 / 42 - y / 30)))
+
+
+def _mix(model, t: np.ndarray, n: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Variational parameters of documents with n cells (t, x) each, documents x topics, and the expected topic weights of the cells."""
+    lam, total, alpha = model
+    b = np.exp(_psi(lam[t]) - _psi(total))
+    g = alpha + np.add.reduceat(x, np.cumsum(n) - n)[:, None] / len(alpha)
+    at, old, cells = np.arange(len(n)), g, b
+    while len(at):  # each document until its own parameters rest
+        e = np.exp(_psi(old) - _psi(old.sum(1, keepdims=True)))
+        s = x / np.maximum(np.einsum("ij,ij->i", np.repeat(e, n, axis=0), cells), 1e-100)
+        new = alpha + e * np.add.reduceat(cells * s[:, None], np.cumsum(n) - n, axis=0)
+        g[at] = new
+        go = np.abs(new - old).mean(1) > 1e-3
+        held = np.repeat(go, n)
+        at, old, cells, x, n = at[go], new[go], cells[held], x[held], n[go]
+    return g, b
+
+
+def _online_lda(docs: DataFrame, size: int, topics: int, seed: int, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The model of online variational LDA over docs (doc_id, t, x): term weights (size x topics), their sums, and the documents' prior, which is
+    learned too.
+
+    Documents fall into `rounds` batches by hash, a round a batch, so every document counts once wherever it lies. The driver holds the term
+    weights once, as 4-byte numbers; a round sends it the sums of the terms its batch holds, slice by slice. Step sizes are MLlib's.
+    """
+    spark = docs.sparkSession
+    step = max(SLICE // topics, 1)
+    lam = np.random.Generator(np.random.PCG64(seed)).standard_gamma(100.0, (size, topics), dtype=np.float32)
+    lam *= np.float32(0.01)
+    alpha, eta = np.full(topics, 1.0 / topics), 1.0 / topics
+    documents = docs.count()
+    schema = "slice int, terms binary, sums binary"
+
+    def rows_of(found):
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*found, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["slice", "terms", "sums"])
+
+    def by_term(t, v):
+        order = np.argsort(t, kind="stable")
+        t = t[order]
+        first = np.flatnonzero(np.diff(t, prepend=-1))
+        return t[first], np.add.reduceat(v[order], first, axis=0)
+
+    for turn in range(rounds):
+        shared = spark.sparkContext.broadcast((lam, lam.sum(0, dtype=float), alpha))
+
+        def part(batches, shared=shared):
+            model, held, logs, seen = shared.value, [], np.zeros(topics), 0
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                t, n, _ = _ragged(batch.column(0))
+                x = _ragged(batch.column(1))[0]
+                g, b = _mix(model, t, n, x)
+                log = _psi(g) - _psi(g.sum(1, keepdims=True))
+                b = b * np.repeat(np.exp(log), n, axis=0)
+                held.append(by_term(t, b * (x / np.maximum(b.sum(1), 1e-100))[:, None]))
+                logs, seen = logs + log.sum(0), seen + len(n)
+                if sum(len(h[0]) for h in held) > 4 * SLICE:
+                    held = [by_term(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))]
+            if not seen:
+                return
+            t, v = by_term(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+            yield rows_of([(-1, b"", np.append(logs, seen).tobytes())])
+            cuts = np.flatnonzero(np.diff(t // step, prepend=-1))
+            for a, z in zip(cuts, [*cuts[1:], len(t)], strict=True):
+                yield rows_of([(int(t[a] // step), t[a:z].astype("i4").tobytes(), v[a:z].astype("f4").tobytes())])
+
+        def merge(batches):
+            held: dict[int, list] = {}
+            for batch in batches:
+                for k, t, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    held.setdefault(k, []).append((t, v))
+            for k, found in held.items():
+                if k < 0:
+                    yield rows_of([(k, b"", sum(np.frombuffer(v) for _, v in found).tobytes())])
+                else:
+                    t, v = by_term(np.concatenate([np.frombuffer(t, "i4") for t, _ in found]), np.concatenate([np.frombuffer(v, "f4").reshape(-1, topics) for _, v in found]).astype(float))
+                    yield rows_of([(k, t.astype("i4").tobytes(), v.astype("f4").tobytes())])
+
+        mine = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(seed), F.lit("batch")), F.lit(rounds)) == turn).select("t", "x")
+        found = mine.mapInArrow(part, schema).repartition("slice").mapInArrow(merge, schema).collect()  # at most size x topics numbers
+        shared.destroy()
+        told = [np.frombuffer(r["sums"]) for r in found if r["slice"] < 0]
+        if not told:
+            continue
+        logs, seen = told[0][:-1], told[0][-1]
+        weight = (1024 + turn + 1) ** -0.51
+        lam *= np.float32(1 - weight)
+        lam += np.float32(weight * eta)
+        for r in found:
+            if r["slice"] >= 0:
+                lam[np.frombuffer(r["terms"], "i4")] += np.float32(weight * documents / seen) * np.frombuffer(r["sums"], "f4").reshape(-1, topics)
+        del found
+        slope = seen * (logs / seen - _psi(alpha) + _psi(alpha.sum()))  # a Newton step of the prior
+        q = -seen * _psi1(alpha)
+        moved = alpha - weight * (slope - (slope / q).sum() / (1 / (seen * _psi1(alpha.sum())) + (1 / q).sum())) / q
+        alpha = moved if (moved > 0).all() else alpha
+    return lam, lam.sum(0, dtype=float), alpha
+
+
+def _shares(docs: DataFrame, model) -> DataFrame:
+    """(doc_id, m) of docs (doc_id, t, x): each document's topic shares as an array."""
+
+    def part(batches):
+        for batch in batches:
+            if batch.num_rows:
+                t, n, _ = _ragged(batch.column(1))
+                g = _mix(model.value, t, n, _ragged(batch.column(2))[0])[0]
+                g /= g.sum(1, keepdims=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(np.arange(len(g) + 1, dtype=np.int32) * g.shape[1], g.ravel())], ["doc_id", "m"])
+
+    return docs.select("doc_id", "t", "x").mapInArrow(part, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, m array<double>")
 
 
 def fit_lda(cells: DataFrame, size: int, topics: int, seed: int, rounds: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(topic, term_id, p) and (doc_id, topic, m) of online variational LDA; topics ordered by share, then by their first word."""
-    data = vectors(cells, size).sortWithinPartitions("doc_id").persist()
-    model = LDA(k=topics, maxIter=rounds, seed=seed, optimizer="online", docConcentration=[1.0 / topics], topicConcentration=1.0 / topics).fit(data)
-    beta = model.topicsMatrix().toArray()  # size x topics
-    beta = beta / beta.sum(0)
-    theta = model.transform(data).select("doc_id", vector_to_array("topicDistribution").alias("t"))
-    share = np.array(theta.agg(*[F.avg(F.col("t")[k]) for k in range(topics)]).first())
-    order = sorted(range(topics), key=lambda k: (-round(share[k], 9), int(beta[:, k].argmax())))
+    """(topic, term_id, p) and (doc_id, topic, m) of online variational LDA; topics ordered by share, then by their first word. Both tables are
+    made on the executors."""
+    docs = packed(cells, size).persist()
+    lam, total, alpha = _online_lda(docs, size, topics, seed, rounds)
     spark = cells.sparkSession
-    long = pd.DataFrame({"topic": np.repeat(np.arange(topics), size), "term_id": np.tile(np.arange(size), topics), "p": beta[:, order].T.ravel()})
-    words = spark.createDataFrame(long, "topic int, term_id int, p double")
-    docs = theta.select("doc_id", F.posexplode(F.array(*[F.col("t")[k] for k in order])).alias("topic", "m"))
-    return words, docs
+    model = spark.sparkContext.broadcast((lam, total, alpha))
+    theta = _shares(docs, model).persist()
+    share = theta.agg(*[F.avg(F.col("m")[k]) for k in range(topics)]).first()
+    order = sorted(range(topics), key=lambda k: (-round(share[k] or 0.0, 9), int(lam[:, k].argmax()) if size else 0))
+    step = SLICE // 4
+
+    def words(batches):
+        lam, total, _ = model.value
+        for batch in batches:
+            for s in batch.column(0).to_pylist():
+                for place, k in enumerate(order):
+                    p = lam[s * step : (s + 1) * step, k] / total[k]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), place, np.int32)), pa.array(np.arange(s * step, s * step + len(p), dtype=np.int32)), pa.array(p)], ["topic", "term_id", "p"])
+
+    beta = spark.range(0, -(-size // step)).mapInArrow(words, "topic int, term_id int, p double")
+    return beta, theta.select("doc_id", F.posexplode(F.array(*[F.col("m")[k] for k in order])).alias("topic", "m"))
 
 
 def fit_nmf(cells: DataFrame, size: int, topics: int, rounds: int = 30, seed: int = 7) -> DataFrame:

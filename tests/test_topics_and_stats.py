@@ -317,3 +317,9 @@ def test_positions_are_whole_over_many_ranges(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert tuple(got) == (300000, 300000, 0, 299999, 300000)
+
+
+def test_lda_does_not_hang_on_the_layout(spark):
+    cells = cells_of(spark, [[3, 2, 2, 0, 0, 0] if i % 2 else [0, 0, 0, 2, 3, 2] for i in range(40)])
+    a, b = ({(r.topic, r.term_id): r.p for r in M.fit_lda(c, 6, 2, 3, 10)[0].collect()} for c in (cells, cells.repartition(7, F.rand(5))))
+    assert len(a) == 12 and all(abs(a[k] - b[k]) < 1e-5 for k in a)
