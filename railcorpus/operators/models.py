@@ -261,6 +261,31 @@ def fit_lda(cells: DataFrame, size: int, topics: int, seed: int, rounds: int = 1
     return beta, theta.select("doc_id", F.posexplode(F.array(*[F.col("m")[k] for k in order])).alias("topic", "m"))
 
 
+def lda_completion(split: DataFrame, size: int, topics: int, seed: int, rounds: int = 10) -> DataFrame:
+    """(cnt, p) of every target cell of split (doc_id, term_id, observed, target) under online variational LDA of the observed ones.
+
+    A document's observed and target cells lie in one row, so its shares and its targets' probabilities are one pass: neither topics x
+    documents nor topics x cells rows are made.
+    """
+    pairs = numbered(split, size).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("term_id").cast("int").alias("t"), F.col("observed").cast("double").alias("x"), F.col("target").cast("long").alias("y")))).alias("p"))
+    seen, left = F.filter("p", lambda c: c["x"] > 0), F.filter("p", lambda c: c["y"] > 0)
+    docs = pairs.select("doc_id", seen.alias("s"), left.alias("l")).where("size(s) > 0").select("doc_id", F.col("s.t").alias("t"), F.col("s.x").alias("x"), F.col("l.t").alias("u"), F.col("l.y").alias("y")).persist()
+    model = split.sparkSession.sparkContext.broadcast(_online_lda(docs, size, topics, seed, rounds))
+
+    def part(batches):
+        lam, total, _ = model.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t, n, _ = _ragged(batch.column(0))
+            g = _mix(model.value, t, n, _ragged(batch.column(1))[0])[0]
+            u, m, _ = _ragged(batch.column(2))
+            p = np.einsum("ij,ij->i", np.repeat(g / g.sum(1, keepdims=True), m, axis=0), lam[u] / total)
+            yield pa.RecordBatch.from_arrays([pa.array(_ragged(batch.column(3))[0]), pa.array(p)], ["cnt", "p"])
+
+    return docs.select("t", "x", "u", "y").mapInArrow(part, "cnt long, p double")
+
+
 def fit_nmf(cells: DataFrame, size: int, topics: int, rounds: int = 30, seed: int = 7) -> DataFrame:
     """(topic, term_id, p): non-negative factors of smooth-idf, unit-length TF-IDF.
 

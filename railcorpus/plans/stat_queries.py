@@ -305,10 +305,8 @@ def lda_top_words(spark, sf):
 @query(None)
 def lda_completion_nll(spark, sf):
     cells, size = model_cells(spark, sf)
-    split = P.completion_split(cells).persist()
-    beta, theta = M.fit_lda(split.where("observed > 0").select("doc_id", "term_id", F.col("observed").alias("cnt")), size, 10, 3)
-    p = split.where("target > 0").join(theta, "doc_id").join(beta, ["topic", "term_id"]).groupBy("doc_id", "term_id", "target").agg(F.sum(F.col("m") * F.col("p")).alias("p"))
-    return p.select(F.col("target").alias("cnt"), "p").agg(*P.nll(F.col("cnt"), F.col("p")))
+    split = P.completion_split(cells)
+    return M.lda_completion(split, size, 10, 3).agg(*P.nll(F.col("cnt"), F.col("p")))
 
 
 def _sets(beta, n=10):

@@ -323,3 +323,13 @@ def test_lda_does_not_hang_on_the_layout(spark):
     cells = cells_of(spark, [[3, 2, 2, 0, 0, 0] if i % 2 else [0, 0, 0, 2, 3, 2] for i in range(40)])
     a, b = ({(r.topic, r.term_id): r.p for r in M.fit_lda(c, 6, 2, 3, 10)[0].collect()} for c in (cells, cells.repartition(7, F.rand(5))))
     assert len(a) == 12 and all(abs(a[k] - b[k]) < 1e-5 for k in a)
+
+
+def test_lda_completion_is_theta_times_beta(spark):
+    cells = cells_of(spark, [[3, 2, 2, 0, 0, 1] if i % 2 else [0, 1, 0, 2, 3, 2] for i in range(40)])
+    split = P.completion_split(cells).persist()
+    beta, theta = M.fit_lda(split.where("observed > 0").select("doc_id", "term_id", F.col("observed").alias("cnt")), 6, 2, 3)
+    b, m = {(r.topic, r.term_id): r.p for r in beta.collect()}, {(r.doc_id, r.topic): r.m for r in theta.collect()}
+    want = sorted((r.target, sum(m[r.doc_id, k] * b[k, r.term_id] for k in (0, 1))) for r in split.where("target > 0").collect())
+    got = sorted((r.cnt, r.p) for r in M.lda_completion(split, 6, 2, 3).collect())
+    assert len(got) == len(want) > 40 and np.allclose(got, want, atol=1e-5)
