@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from railcorpus.session import ensure_checkpoint_dir
 
 SLICE = 1 << 16
+#: Edges of a range of terms.
+CHUNK = 1 << 20
 
 
 def assign(score: np.ndarray) -> list[int]:
@@ -453,45 +455,95 @@ def spectral_prototypes(edges: DataFrame, topics: int, words: int = 10, least: i
     Terms with an edge are split by the leading eigenvectors of the normalised graph, labelled by pivoted QR; a core starts at its cluster's
     most connected word and grows by mean edge to the core plus centrality. Eigenvectors come from subspace iteration with `spare` columns
     more than topics: each round is one pass over the edges, and only terms x columns numbers are held on the driver.
+
+    Edges are laid out once, both ways, in ranges of their first term with about as many edges each. So the sums of a term are made in one
+    task, and a round has no shuffle.
     """
     spark = edges.sparkSession
+    ensure_checkpoint_dir(spark)
     schema = "topic int, slot int, term_id int"
-    edges = edges.select(F.col("src").cast("long"), F.col("dst").cast("long"), F.col("w").cast("double")).persist()
-    terms = np.array(sorted(r[0] for r in edges.select(F.explode(F.array("src", "dst"))).distinct().collect()), np.int64)  # one number a term
+    cached = edges.is_cached
+    edges = edges.select(F.col("src").cast("long"), F.col("dst").cast("long"), F.col("w").cast("double"))
+    edges = edges if cached else edges.persist()
+    ways = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+    met = ways.groupBy("src").agg(F.count("*").alias("n"), F.sum("w").alias("w")).toArrow()  # three numbers a term
+    order = np.argsort(met.column(0).to_numpy())
+    terms, root = met.column(0).to_numpy()[order].astype(np.int64), np.sqrt(met.column(2).to_numpy()[order])
+    upto = np.cumsum(met.column(1).to_numpy()[order])
+    del met
     size = len(terms)
     if size < topics * words:
-        edges.unpersist()
+        if not cached:
+            edges.unpersist()
         return spark.createDataFrame([], schema)
-    named = spark.sparkContext.broadcast(terms)
-
-    def ends(batch):
-        return np.searchsorted(named.value, batch.column(0).to_numpy()), np.searchsorted(named.value, batch.column(1).to_numpy()), batch.column(2).to_numpy()
-
-    def both(cells, i, j, w):
-        cells += np.bincount(i, w, size) + np.bincount(j, w, size)
-
-    def degree_of(cells, batch):
-        both(cells, *ends(batch))
+    ranges = int(max(spark.sparkContext.defaultParallelism, -(-upto[-1] // CHUNK)))
+    named = spark.sparkContext.broadcast((terms, np.searchsorted(upto, np.arange(1, ranges) * (upto[-1] / ranges))))
 
-    root = np.sqrt(summed(edges, degree_of, size))
+    def index(batches):
+        terms, cuts = named.value
+        for batch in batches:
+            i, j = (np.searchsorted(terms, batch.column(c).to_numpy()).astype(np.int32) for c in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(cuts, i).astype(np.int32)), pa.array(i), pa.array(j), batch.column(2)], ["range", "i", "j", "w"])
+
+    def lay(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        whole = pa.Table.from_batches(held)
+        del held
+        i, j, w = (whole.column(c).to_numpy() for c in ("i", "j", "w"))
+        del whole
+        at = np.lexsort((j, i))
+        i, j, w = i[at], j[at], w[at]
+        starts = np.flatnonzero(np.diff(i, prepend=-1))
+        for a in range(0, len(starts), CHUNK):
+            first, to = starts[a], starts[a + CHUNK] if a + CHUNK < len(starts) else len(i)
+            mine = starts[a : a + CHUNK]
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (i[mine], mine - first, j[first:to], w[first:to])], ["own", "starts", "j", "w"])
+
+    laid = ways.mapInArrow(index, "range int, i int, j int, w double").repartition(ranges, "range").mapInArrow(lay, "own binary, starts binary, j binary, w binary")
+    laid = laid.checkpoint().persist()  # the driver keeps a plan for each round: that of the graph with all it is made of is large
+    if not cached:
+        edges.unpersist()
 
-    def times(x):
-        """The normalised graph times x."""
-        shared = spark.sparkContext.broadcast(np.ascontiguousarray(x / root[:, None]))
+    def passed(fill, kind="f8"):
+        """(own, values) of every laid range, values being what fill gives of its edges: a list of arrays, each as long as own."""
 
-        def fill(cells, batch):
-            i, j, w = ends(batch)
-            x = shared.value
-            for k in range(x.shape[1]):
-                cells[k * size : (k + 1) * size] += np.bincount(i, w * x[j, k], size) + np.bincount(j, w * x[i, k], size)
+        def part(batches):
+            for batch in batches:
+                for own, starts, j, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    own, values = fill(np.frombuffer(own, "i4"), np.frombuffer(starts, "i8"), np.frombuffer(j, "i4"), np.frombuffer(w))
+                    yield pa.RecordBatch.from_arrays([pa.array([own.tobytes()], pa.binary()), pa.array([np.ascontiguousarray(values, kind).tobytes()], pa.binary())], ["own", "sums"])
+
+        for r in laid.mapInArrow(part, "own binary, sums binary").collect():  # terms x columns numbers
+            own = np.frombuffer(r["own"], "i4")
+            yield own, np.frombuffer(r["sums"], kind).reshape(-1, len(own)) if len(own) else np.zeros((1, 0))
+
+    def times(q):
+        """(own, rows) of the normalised graph times q, whose values travel as 4-byte numbers."""
+        shared = spark.sparkContext.broadcast(np.ascontiguousarray((q / root[:, None]).T, "f4"))
+        fill = lambda own, starts, j, w: (own, [np.add.reduceat(w * x[j], starts) for x in shared.value])
+        for own, sums in passed(fill, "f4"):
+            yield own, sums.T / root[own, None]
+        shared.destroy()
 
-        return summed(edges, fill, size * x.shape[1]).reshape(x.shape[1], size).T / root[:, None]
+    def upright(q):
+        """q with orthonormal columns, by its small matrix of products: no second matrix of its size."""
+        d, u = np.linalg.eigh(q.T @ q)
+        turn = u / np.sqrt(np.maximum(d, 1e-14 * d[-1]))
+        for a in range(0, size, SLICE):
+            q[a : a + SLICE] = q[a : a + SLICE] @ turn
+        return q
 
-    q = np.linalg.qr(np.random.Generator(np.random.PCG64(seed)).normal(size=(size, min(size, topics + spare))))[0]
+    q = upright(np.random.Generator(np.random.PCG64(seed)).normal(size=(size, min(size, topics + spare))))
     for _ in range(rounds):
-        q = np.linalg.qr(q + times(q))[0]  # the graph's eigenvalues are -1..1: shifted, the largest are the leading ones
-    small = np.linalg.eigh(q.T @ times(q))
-    vecs = q @ small[1][:, -topics:]
+        for own, moved in times(q):  # the graph's eigenvalues are -1..1: shifted, the largest are the leading ones
+            q[own] += moved
+        q = upright(upright(q))
+    product = np.zeros((q.shape[1],) * 2)
+    for own, moved in times(q):
+        product += q[own].T @ moved
+    vecs = q @ np.linalg.eigh((product + product.T) / 2)[1][:, -topics:]
     pivots, left = [], vecs.T.copy()
     for _ in range(topics):  # the rows that span the eigenvectors best
         p = int((left**2).sum(0).argmax())
@@ -501,13 +553,9 @@ def spectral_prototypes(edges: DataFrame, topics: int, words: int = 10, least: i
     u, _, vt = np.linalg.svd(vecs[pivots].T)
     label = np.abs(vecs @ (u @ vt)).argmax(1)
     known = spark.sparkContext.broadcast(label)
-
-    def inner_of(cells, batch):
-        i, j, w = ends(batch)
-        same = known.value[i] == known.value[j]
-        both(cells, i[same], j[same], w[same])
-
-    inner = summed(edges, inner_of, size)
+    inner = np.zeros(size)
+    for own, sums in passed(lambda own, starts, j, w: (own, [np.add.reduceat(np.where(known.value[j] == np.repeat(known.value[own], np.diff(starts, append=len(j))), w, 0.0), starts)])):
+        inner[own] = sums[0]
     owns = {k: own for k in range(topics) if len(own := np.flatnonzero(label == k)) >= max(least or words, words)}
     weight = np.zeros(size)
     for own in owns.values():
@@ -517,19 +565,18 @@ def spectral_prototypes(edges: DataFrame, topics: int, words: int = 10, least: i
     for _ in range(words - 1 if cores else 0):
         last = spark.sparkContext.broadcast(np.array([c[-1] for c in cores.values()]))
 
-        def met_by(cells, batch, last=last):
-            i, j, w = ends(batch)
-            same = known.value[i] == known.value[j]
-            for a, b in ((i, j), (j, i)):
-                hit = same & np.isin(a, last.value)
-                cells += np.bincount(b[hit], w[hit], size)
+        def met_by(own, starts, j, w, last=last):
+            i = np.repeat(own, np.diff(starts, append=len(j)))
+            hit = np.isin(i, last.value) & (known.value[i] == known.value[j])
+            return j[hit], [w[hit]]
 
-        met += summed(edges, met_by, size)
+        for own, sums in passed(met_by):
+            met += np.bincount(own, sums[0], size)
         for k, own in owns.items():
             gain = met[own] / len(cores[k]) + centrality * weight[own]
             gain[np.isin(own, cores[k])] = -np.inf
             cores[k].append(int(own[gain.argmax()]))
-    edges.unpersist()
+    laid.unpersist()
     return spark.createDataFrame([(k, s, int(terms[c])) for k, core in cores.items() for s, c in enumerate(core)], schema)
 
 

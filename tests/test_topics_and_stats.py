@@ -333,3 +333,14 @@ def test_lda_completion_is_theta_times_beta(spark):
     want = sorted((r.target, sum(m[r.doc_id, k] * b[k, r.term_id] for k in (0, 1))) for r in split.where("target > 0").collect())
     got = sorted((r.cnt, r.p) for r in M.lda_completion(split, 6, 2, 3).collect())
     assert len(got) == len(want) > 40 and np.allclose(got, want, atol=1e-5)
+
+
+def test_spectral_prototypes_over_many_ranges(spark, monkeypatch):
+    """Ranges of a few edges each, in any layout, give the cores that one range gives."""
+    rows = [(8 * k + i, 8 * k + j, 1.0 - 0.01 * (i + 2 * j)) for k in range(4) for i in range(8) for j in range(i + 1, 8)] + [(0, 9, 0.01), (10, 20, 0.01), (17, 25, 0.01)]
+    edges = spark.createDataFrame(rows, "src int, dst int, w double")
+    found = []
+    for chunk in (1 << 20, 5):
+        monkeypatch.setattr(M, "CHUNK", chunk)
+        found.append(sorted(map(tuple, M.spectral_prototypes(edges.repartition(3, F.rand(chunk)), 4, 5, 5).collect())))
+    assert found[0] == found[1] and len(found[0]) == 20
